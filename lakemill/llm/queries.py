@@ -6,7 +6,10 @@ from lakemill.llm import op05_mixing
 from lakemill.llm.op03_toxicity import op3_toxicity
 from lakemill.llm.op04_quality import op4_quality
 from lakemill.llm.op05_mixing import op5_mixing
+from lakemill.llm.op08_license import op8_license
+from lakemill.llm.op09_simhash import op9_simhash
+from lakemill.llm.op10_pii import op10_pii
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op4_quality, op5_mixing)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op4_quality, op5_mixing, op8_license, op9_simhash, op10_pii)}
 
 SQL = {"op5_mixing": op05_mixing.SQL.format(documents="documents")}
