@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lakemill.llm.common import batch, chunks, keep_checkpoint_dir, mix, prefix_sums, stretch_hash, table, utf8
 
-LENGTH, KMER = 400, 64
+LENGTH, KMER = 400, 32
 #: Different contexts of an anchor beyond which its crowd is split; bytes of a bucket.
 CROWD, BUCKET_BYTES = 1500, 1 << 21
 #: Starts in a range of a crowd's first split.
@@ -66,23 +66,22 @@ def sliding(x: np.ndarray, width: int, f: np.ufunc, pad: int) -> np.ndarray:
 
 def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, kmer: int = KMER) -> tuple[np.ndarray, ...]:
     """Row, place in the row, hash and context hash of the anchors of all strings of ``length`` bytes inside the rows."""
-    n, width, top = len(data), length - kmer + 1, np.iinfo(np.uint64).max
+    n, width, top = len(data), length - kmer + 1, np.iinfo(np.uint32).max
     if n < length:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
     sums, down = prefix_sums(data)
-    first = np.arange(n - kmer + 1)
-    hashes = stretch_hash(sums, down, first, first + kmer)
-    np.minimum(hashes, top - 1, out=hashes)
-    least = sliding(hashes, width, np.minimum, top)[: n - length + 1]
+    hashes = mix((sums[kmer:] - sums[:-kmer]) * down[: n - kmer + 1])
+    order = np.minimum((hashes >> np.uint64(32)).astype(np.uint32), top - 1)  # anchors are least in the upper half
+    least = sliding(order, width, np.minimum, top)[: n - length + 1]
     valid = np.zeros(n + 1, np.int32)  # strings that start here lie inside a row
     long = np.diff(starts) >= length
     np.add.at(valid, starts[:-1][long], 1)
     np.add.at(valid, starts[1:][long] - length + 1, -1)
     least[np.cumsum(valid)[: len(least)] == 0] = 0
     # A place is an anchor if its hash is the least of some string: the largest least of the strings around it.
-    padded = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(max(0, len(hashes) - len(least)), np.uint64)])
-    best = sliding(padded, width, np.maximum, 0)[: len(hashes)]
-    place = np.flatnonzero(best == hashes)
+    padded = np.concatenate([np.zeros(width - 1, np.uint32), least, np.zeros(max(0, len(order) - len(least)), np.uint32)])
+    best = sliding(padded, width, np.maximum, 0)[: len(order)]
+    place = np.flatnonzero(best == order)
     row = np.searchsorted(starts, place, side="right") - 1
     low, high = np.maximum(starts[row], place - (length - kmer)), np.minimum(starts[row + 1], place + length)
     context = mix(stretch_hash(sums, down, low, high) + (place - low).astype(np.uint64))
@@ -103,20 +102,23 @@ def find_anchors(documents: DataFrame, length: int, kmer: int) -> DataFrame:
     return documents.select("rid", "text").mapInArrow(run, "rid long, pos int, h long, c long")
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Of a text whose separators are symbols of their own, by doubling; only what is unsettled is sorted again."""
-    n = len(text)
-    width = int(text.max()) + 1
-    packed, depth = text.astype(np.int64), 1
-    while width < 1 << 31 and depth < 4:  # as many symbols as fit
-        after = np.zeros(n, np.int64)
-        after[:-depth] = packed[depth:] + 1
-        packed, width, depth = packed * (width + 1) + after, width * (width + 1) + width, depth * 2
-        if width >= 1 << 31:
-            break
-    order = np.argsort(packed, kind="stable")
+def suffix_array(text: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """By doubling; only what is unsettled is sorted again.
+
+    text: symbols from 1 on, 0 for a separator; separators are in the order of
+    their places. rest: how far each place is from the next separator.
+    """
+    n, depth = len(text), 7
+    padded, packed = np.concatenate([text, np.zeros(depth, text.dtype)]), np.zeros(n, np.int64)
+    for k in range(depth):
+        packed = (packed << 9) | padded[k : k + n]
+    short = rest < depth
+    packed[short] &= ~((np.int64(1) << (9 * (depth - rest[short]))) - 1)  # nothing counts beyond a separator
+    order = np.argsort(packed)
+    slots = np.flatnonzero(short[order])  # equal up to a separator: by place
+    order[slots] = order[slots][np.lexsort((order[slots], packed[order[slots]]))]
     new = np.ones(n, bool)
-    new[1:] = packed[order][1:] != packed[order][:-1]
+    new[1:] = (packed[order][1:] != packed[order][:-1]) | short[order][1:]
     first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.empty(n, np.int64)
     rank[order] = first
@@ -129,7 +131,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         who = order[slots]
         ahead = who + depth
         key = rank[who] * (n + 1) + np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        again = np.argsort(key, kind="stable")
+        again = np.argsort(key)
         who, key = who[again], key[again]
         order[slots] = who
         fresh = np.ones(len(slots), bool)
@@ -160,25 +162,23 @@ def run_index(segments: list[np.ndarray]) -> dict[str, np.ndarray]:
     lengths = np.array([len(s) for s in segments])
     begin = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
     end = begin + lengths
-    many = len(segments)
     raw = np.zeros(int(end[-1]) + 1, np.uint8)
-    text = np.empty(len(raw), np.int32)
     for s, a, b in zip(segments, begin, end, strict=True):
         raw[a:b] = s
-    text[:] = raw
-    text += many
-    text[end] = np.arange(many)
-    order = suffix_array(text)
+    text = raw.astype(np.int64) + 1
+    text[end] = 0
+    rest = np.repeat(end, lengths + 1) - np.arange(len(raw))
+    order = suffix_array(text, rest)
     before = text[order - 1]  # the transform; before the first symbol stands the last separator
+    before[before == 0] = -order[before == 0]  # separators are symbols of their own
     head = np.ones(len(order), bool)
     head[1:] = before[1:] != before[:-1]
     head[0] = False  # nothing stands before the first suffix
     heads = np.flatnonzero(head)
     sample, neighbour = order[heads], order[heads - 1]
     own = np.sort(np.concatenate([[0], np.flatnonzero(head)]))
-    rest = end[np.searchsorted(end, sample)] - sample, end[np.searchsorted(end, neighbour)] - neighbour
     sums, down = prefix_sums(raw)
-    match = common_prefix(sums, down, sample, neighbour, np.minimum(*rest))
+    match = common_prefix(sums, down, sample, neighbour, np.minimum(rest[sample], rest[neighbour]))
     by_text = np.argsort(sample)
     return {"begin": begin, "end": end, "sample": sample[by_text], "neighbour": neighbour[by_text], "match": match[by_text], "runs": own, "size": np.array(len(raw))}
 
@@ -257,7 +257,11 @@ def _contexts(length: int, kmer: int, buckets: int):
 
 
 def _crowd_keys(length: int, kmer: int, width: int, single: bool):
-    """Hashes of what strings around a crowd's anchor share: of each range of starts, or of each start of the ranges that are given."""
+    """Hashes of what strings around a crowd's anchor share: of each range of starts, or of each start of the ranges that are given.
+
+    whole: the hash of all bytes that strings of the range cover, if the row has
+    them all; rows that agree in it agree in all strings of the range.
+    """
     last = length - kmer
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,37 +280,51 @@ def _crowd_keys(length: int, kmer: int, width: int, single: bool):
                     a = given[low:high] * width + k if single else np.full(high - low, k * width)
                     b = a if single else np.minimum(a + width - 1, last)
                     ok = np.flatnonzero((np.maximum(a, least) <= np.minimum(b, most)) & (a <= last))
-                    key = mix(stretch_hash(sums, down, p[ok] - a[ok], p[ok] + length - b[ok]) + h[low:high][ok].view(np.uint64) + a[ok].astype(np.uint64))
-                    if len(ok):
-                        yield batch(rid=rid[low:high][ok], pos=pos[low:high][ok], h=h[low:high][ok], part=a[ok] if single else np.full(len(ok), k), key=key.view(np.int64))
+                    if not len(ok):
+                        continue
+                    a, b, q, salt = a[ok], b[ok], p[ok], h[low:high][ok].view(np.uint64) + a[ok].astype(np.uint64)
+                    key = mix(stretch_hash(sums, down, q - a, q + length - b) + salt)
+                    x, y = np.maximum(q - b, s[ok]), np.minimum(q + length - a, e[ok])
+                    whole = mix(stretch_hash(sums, down, x, y) + key + (q - x).astype(np.uint64))
+                    yield batch(rid=rid[low:high][ok], pos=pos[low:high][ok], h=h[low:high][ok], part=a if single else np.full(len(ok), k), key=key.view(np.int64), whole=whole.view(np.int64))
 
     return run
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """The rows whose key stands more than once."""
-    often = rows.groupBy("key").count().where(F.col("count") > 1).select("key")
-    return rows.join(often, "key", "left_semi")
-
-
 def crowd_marks(contexts: DataFrame, length: int, kmer: int, width: int = RANGE) -> DataFrame:
-    """(rid, start, end) of the repeated strings around the anchors of crowds, given as (rid, at, h, pos, bytes)."""
-    schema = "rid long, pos long, h long, part long, key long"
-    ranges = _shared(contexts.mapInArrow(_crowd_keys(length, kmer, width, False), schema)).select("rid", "pos", "h", "part")
-    again = contexts.join(ranges, ["rid", "pos", "h"]).select("rid", "at", "h", "pos", "bytes", "part")
-    starts = _shared(again.mapInArrow(_crowd_keys(length, kmer, width, True), schema))
-    return starts.select("rid", (F.col("pos") - F.col("part")).alias("start"), (F.col("pos") - F.col("part") + length).alias("end"))
+    """(rid, start, end) of the repeated strings around the anchors of crowds, given as (rid, at, h, pos, bytes).
+
+    Marks may reach beyond the document's ends; they are cut there.
+    """
+    schema = "rid long, pos long, h long, part long, key long, whole long"
+    ranges = stored(contexts.mapInArrow(_crowd_keys(length, kmer, width, False), schema))
+    kinds = ranges.groupBy("key", "whole").agg(F.count("*").alias("m"), *(F.first(c).alias(c) for c in ("rid", "pos", "h", "part")))
+    shared = kinds.groupBy("key").agg(F.sum("m").alias("n"), F.count("*").alias("d")).where(F.col("n") > 1).select("key", "d")
+    kinds = stored(kinds.join(shared, "key"))
+    alike = ranges.join(kinds.where(F.col("m") > 1).select("key", "whole"), ["key", "whole"], "left_semi").select(
+        "rid",
+        F.greatest(F.lit(0), F.col("pos") - (F.col("part") + 1) * width + 1, F.col("pos") - (length - kmer)).alias("start"),
+        (F.col("pos") - F.col("part") * width + length).alias("end"),
+    )
+    again = contexts.join(kinds.where(F.col("d") > 1).select("rid", "pos", "h", "part"), ["rid", "pos", "h"]).select("rid", "at", "h", "pos", "bytes", "part")
+    starts = stored(again.mapInArrow(_crowd_keys(length, kmer, width, True), schema).select("rid", "pos", "part", "key"))
+    often = starts.groupBy("key").count().where(F.col("count") > 1).select("key")
+    single = starts.join(often, "key", "left_semi").select("rid", (F.col("pos") - F.col("part")).alias("start"), (F.col("pos") - F.col("part") + length).alias("end"))
+    return alike.unionByName(single)
 
 
 def repeated_spans(documents: DataFrame, length: int = LENGTH, kmer: int = KMER, crowd: int = CROWD, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(rid, start, end) of byte stretches, possibly overlapping, whose union is what repeated strings cover.
 
-    Documents are given as (rid, text); rows with equal rid have equal texts.
+    Documents are given as (rid, doc_id, text); rows with equal rid have equal
+    texts. All their columns go with the texts to the rows' anchors, so that the
+    caller's own join with the documents uses the same exchange.
     """
     found = stored(find_anchors(documents, length, kmer))
-    kinds = found.groupBy("h", "c").agg(F.count("*").alias("m"), F.min(F.struct("rid", "pos")).alias("one"))
-    crowds = kinds.groupBy("h").agg(F.sum("m").alias("n"), F.count("*").alias("d")).where(F.col("n") > 1)
-    kinds = stored(kinds.join(crowds, "h").select("h", "c", "m", "d", "one.rid", "one.pos"))
+    # Both first values come from the same row.
+    kinds = found.groupBy("h", "c").agg(F.count("*").alias("m"), F.first("rid").alias("rid"), F.first("pos").alias("pos"))
+    crowds = kinds.groupBy("h").agg(F.sum("m").alias("n"), F.count("*").alias("d")).where(F.col("n") > 1).select("h", "d")
+    kinds = stored(kinds.join(crowds, "h").select("h", "c", "m", "d", "rid", "pos"))
     whole = found.join(kinds.where(F.col("m") > 1).select("h", "c"), ["h", "c"], "left_semi").select("rid", "pos").distinct()
     spans = whole.select("rid", F.greatest(F.lit(0), F.col("pos") - (length - kmer)).cast("long").alias("start"), (F.col("pos") + length).cast("long").alias("end"))
     several = kinds.where(F.col("d") > 1)
@@ -315,12 +333,12 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, kmer: int = KMER,
     if not amount[0]:
         return spans
     buckets = max(1, -(-amount[0] * (2 * length - kmer) // bucket_bytes))
-    joined = documents.join(chosen.hint("shuffle_hash"), "rid").select("rid", "text", "chosen")
-    contexts = stored(joined.mapInArrow(_contexts(length, kmer, buckets), "bucket long, rid long, at long, h long, pos long, bytes binary"))
+    joined = documents.join(chosen.hint("shuffle_hash"), "rid").select("rid", "text", "chosen", *(c for c in documents.columns if c not in ("rid", "text")))
+    contexts = joined.mapInArrow(_contexts(length, kmer, buckets), "bucket long, rid long, at long, h long, pos long, bytes binary")
     indexed = contexts.where("bucket >= 0").dropDuplicates(["bucket", "rid", "at"]).groupBy("bucket").applyInArrow(_marks_of_bucket(length), "rid long, start long, end long")
     spans = spans.unionByName(indexed)
     if amount[1] > crowd:
-        alone = contexts.where("bucket < 0").dropDuplicates(["rid", "h", "pos"]).select("rid", "at", "h", "pos", "bytes")
+        alone = stored(contexts.where("bucket < 0").dropDuplicates(["rid", "h", "pos"]).select("rid", "at", "h", "pos", "bytes"))
         spans = spans.unionByName(crowd_marks(alone, length, kmer))
     return spans
 
@@ -336,7 +354,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, kmer: int = KMER,
     doc_id and text are ignored.
     """
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.xxhash64(F.col("doc_id").cast("string"), "text"))
-    spans = repeated_spans(rows.select("rid", "text"), length, kmer, crowd, bucket_bytes)
+    spans = repeated_spans(rows, length, kmer, crowd, bucket_bytes)
     marks = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
     joined = rows.join(marks.hint("shuffle_hash"), "rid", "left").select("doc_id", "text", "marks")
 
