@@ -9,10 +9,11 @@ from lakemill.llm.op06_decontamination import op6_decontamination
 from lakemill.llm.op03_toxicity import op3_toxicity
 from lakemill.llm.op04_quality import op4_quality
 from lakemill.llm.op05_mixing import op5_mixing
+from lakemill.llm.op07_attention import op7_attention
 from lakemill.llm.op08_license import op8_license
 from lakemill.llm.op09_simhash import op9_simhash
 from lakemill.llm.op10_pii import op10_pii
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_suffix_dedup, op3_toxicity, op4_quality, op5_mixing, op6_decontamination, op8_license, op9_simhash, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_suffix_dedup, op3_toxicity, op4_quality, op5_mixing, op6_decontamination, op7_attention, op8_license, op9_simhash, op10_pii)}
 
 SQL = {"op5_mixing": op05_mixing.SQL.format(documents="documents")}
