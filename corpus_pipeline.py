@@ -1,14 +1,69 @@
-"""The corpus pipeline: quality, near-duplicates, benchmark leaks, personal data, mix."""
+"""The corpus pipeline: quality, near-duplicates, benchmark leaks, personal data, mix.
+
+Each stage takes (spark, docs, sf_dir) and returns a table; run() writes each
+stage's rows as Parquet in the shared folder and gives the next stage what was
+written. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lakemill.llm import near_copies, op04_quality, op05_mixing, op06_decontamination, op10_pii
+from lakemill.llm.common import keep_checkpoint_dir, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    net = op04_quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    scored = op04_quality.score_quality(docs, net, names=("quality_score_", "quality_accepted_"))
+    return scored.where(F.col("quality_accepted_") == 1).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return near_copies.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item."""
+    marked = op06_decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"), names=("leak_item_", "leak_share_", "leak_found_"))
+    return marked.where(~F.col("leak_found_")).select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind."""
+    return op10_pii.redact(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training mix: every document with the words taken of it and its training position, in training order; documents' text goes along."""
+    mixed = op05_mixing.mix_documents(docs, keep_text=True)
+    return op05_mixing.in_training_order(mixed)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("mixing", mixing),
+]
+
+#: The learned, graph and text stages have no SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Documents through every stage."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of a data folder through all stages."""
+    keep_checkpoint_dir(spark)
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = f"{folder}/{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -118,7 +118,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, sample: tuple[int, int
     return train(rows["text"].tolist(), y, class_weights(y, counts))
 
 
-def score_toxicity(documents: DataFrame, machine: Machine, threshold: float = THRESHOLD, drop: tuple[str, ...] = ()) -> DataFrame:
+def score_toxicity(documents: DataFrame, machine: Machine, threshold: float = THRESHOLD, drop: tuple[str, ...] = (), names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """Adds score and predicted to the documents.
 
     A null or empty text has no terms and gets the score of the constant.
@@ -130,7 +130,7 @@ def score_toxicity(documents: DataFrame, machine: Machine, threshold: float = TH
         score = predict(machine, *utf8(rows.column(rows.schema.get_field_index("text"))))
         return [pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))]
 
-    return extend(documents, run, "score double, predicted int", drop)
+    return extend(documents, run, f"{names[0]} double, {names[1]} int", drop)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

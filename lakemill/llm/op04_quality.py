@@ -125,7 +125,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, sample: tuple[int, int]
     return train(rows["text"].tolist(), y, class_weights(y, counts))
 
 
-def score_quality(documents: DataFrame, net: Network, threshold: float = THRESHOLD, drop: tuple[str, ...] = ()) -> DataFrame:
+def score_quality(documents: DataFrame, net: Network, threshold: float = THRESHOLD, drop: tuple[str, ...] = (), names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """Adds score and predicted to the documents.
 
     A null or empty text is one cell of zeros and gets that score. Repeated rows
@@ -138,7 +138,7 @@ def score_quality(documents: DataFrame, net: Network, threshold: float = THRESHO
         score = predict(net, *utf8(rows.column(rows.schema.get_field_index("text"))))
         return [pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))]
 
-    return extend(documents, run, "score double, predicted int", drop)
+    return extend(documents, run, f"{names[0]} double, {names[1]} int", drop)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

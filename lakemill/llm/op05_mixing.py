@@ -71,8 +71,9 @@ def mix_documents(
     repeats: float = REPEATS,
     ramp: tuple[float, ...] = (1.5, 0.5, 1.0),
     bucket_rows: int = BUCKET_ROWS,
+    keep_text: bool = False,
 ) -> DataFrame:
-    """All input columns but the text, and each document's part in the mix.
+    """All input columns, of the text only if it is kept, and each document's part in the mix.
 
     ``ramp``: by rank, repeating, how much of its mean weight a source has at
     the start of training; at the end it has two less that, so that the integral
@@ -85,8 +86,7 @@ def mix_documents(
     the added ones are replaced.
     """
     added = ("size", "source_size", "target", "taken", "position", "bucket", "place", "upto", "base", "weight")
-    rest = [c for c in documents.columns if c not in added and c != "text"]
-    # In words: a character that is no space, at the start or after a space.
+    rest = [c for c in documents.columns if c not in added and (keep_text or c != "text")]
     sized = documents.select(*rest, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")).withColumn(
         "place", F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     )
