@@ -143,7 +143,7 @@ def identity_gaps(features: DataFrame, groups: DataFrame) -> DataFrame:
 
 def gap_histogram(gaps: DataFrame) -> DataFrame:
     """How many groups have each priority and lack each signal."""
-    signals = gaps.select(F.concat(F.lit("signal:"), F.explode(F.split("missing_signals", ","))).alias("key"))
+    signals = gaps.select(F.explode(F.split("missing_signals", ",")).alias("s")).select(F.concat(F.lit("signal:"), "s").alias("key"))
     return gaps.select(F.concat(F.lit("priority:"), "priority").alias("key")).unionByName(signals).groupBy("key").agg(F.count("*").alias("n"))
 
 

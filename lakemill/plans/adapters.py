@@ -39,8 +39,8 @@ TABLES = {
                CASE WHEN event_id % 29 = 0 THEN NULL WHEN event_id % 11 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 'wikidata:q' || CAST(event_id % 70 AS STRING) ELSE 'cec-' || CAST(event_id % 90 AS STRING) END
                     WHEN event_id % 11 = 1 THEN '19' || CAST(50 + event_id % 3 AS STRING) || '-01-02' WHEN event_id % 11 = 2 THEN CASE WHEN event_id % 2 = 0 THEN '女' ELSE 'male' END
                     ELSE ' ' || event_type || ' ' || CAST(event_id % 7 AS STRING) END AS claim_value,
-               CASE WHEN event_id % 3 = 0 THEN '{{{{"wikidataQid":"Q' || CAST(event_id % 70 AS STRING) || '","identityMatch":{{{{"status":"matched"}}}}}}}}'
-                    WHEN event_id % 7 = 0 THEN '{{{{"wikidataQid":"Q' || CAST(event_id % 70 AS STRING) || '","reviewDecision":{{{{"decision":"' || CASE WHEN event_id % 2 = 0 THEN 'approve' ELSE 'reject' END || '"}}}}}}}}'
+               CASE WHEN event_id % 3 = 0 THEN '{{{{"wikidataQid":"Q' || CAST({_PERSON_OF_EVENT} % 70 AS STRING) || '","identityMatch":{{{{"status":"matched"}}}}}}}}'
+                    WHEN event_id % 7 = 0 THEN '{{{{"wikidataQid":"Q' || CAST({_PERSON_OF_EVENT} % 70 AS STRING) || '","reviewDecision":{{{{"decision":"' || CASE WHEN event_id % 2 = 0 THEN 'approve' ELSE 'reject' END || '"}}}}}}}}'
                     ELSE props END AS claim_json,
                CASE event_id % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' ELSE 'D' END AS confidence_level, CAST(event_id % 101 AS INT) AS review_score,
                CASE event_id % 7 WHEN 0 THEN 'pending' WHEN 1 THEN 'needs_more_evidence' WHEN 2 THEN 'rejected' WHEN 3 THEN 'archived' ELSE 'verified' END AS review_status,
