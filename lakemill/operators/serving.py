@@ -127,17 +127,43 @@ def party_people(people: DataFrame, parties: DataFrame) -> DataFrame:
     return labels.join(p, hit).groupBy("party_id").agg(F.sum("n").alias("n"))
 
 
-def mentions(documents: DataFrame, names: DataFrame) -> DataFrame:
+def mentions(documents: DataFrame, names: DataFrame, block: int = 50_000) -> DataFrame:
     """(doc_id, name_id): names of two characters and more that a text contains as it stands.
 
-    Names come in a file of targets; they are matched by their first two
-    characters' windows of the text, so no pair of a text and a name that share none is looked at.
+    A block of names makes one automaton that each task runs over its texts
+    once; more names than a block take more passes over the texts.
     """
-    n = names.where(F.length("name") >= 2).select("name_id", F.col("name").alias("n_name"), F.lower(F.left("name", F.lit(8))).alias("seed"))
-    length = F.length("text")
-    seeds = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), length - 7)), lambda i: F.lower(F.substring("text", i, F.lit(8)))))
-    rows = documents.where(length > 0).select("doc_id", "text", F.explode(seeds).alias("d_seed"))
-    return rows.join(n, F.col("d_seed") == F.col("seed")).where(F.instr("text", F.col("n_name")) > 0).select("doc_id", "name_id").distinct()
+    names = names.where(F.length("name") >= 2).select("name_id", "name").distinct()
+    blocks = max(1, -(-names.count() // block))
+    found = None
+    for i in range(blocks):
+        own = [(r["name_id"], r["name"]) for r in names.where(F.pmod(F.xxhash64("name_id", "name"), F.lit(blocks)) == i).collect()]
+        part = documents.select("doc_id", "text").mapInArrow(_finder(own), f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, name_id {names.schema['name_id'].dataType.simpleString()}")
+        found = part if found is None else found.unionByName(part)
+    return found.distinct()
+
+
+def _finder(names: list[tuple[object, str]]):
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        by_name: dict[str, list] = {}
+        for key, name in names:
+            by_name.setdefault(name, []).append(key)
+        automaton = ahocorasick.Automaton()
+        for name, keys in by_name.items():
+            automaton.add_word(name, keys)
+        automaton.make_automaton()
+        for rows in batches:
+            at, keys = [], []
+            for i, text in enumerate(rows.column(1).to_pylist()):
+                hits = {k for _, found in automaton.iter(text) for k in found} if text and by_name else ()
+                at += [i] * len(hits)
+                keys += hits
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(at, pa.int64())), pa.array(keys, pa.int64() if not keys or isinstance(keys[0], int) else pa.string())], names=["doc_id", "name_id"])
+
+    return run
 
 
 def page_numbers(count: int, current: int, most: int = 5) -> list[int]:
