@@ -127,13 +127,19 @@ def stretch_hash(sums: np.ndarray, down: np.ndarray, first: np.ndarray, last: np
     return mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
 
 
+def pieces(batches: Iterator[pa.RecordBatch], most: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The rows in smaller batches, without a copy: what Python makes of a batch stays small."""
+    for rows in batches:
+        for at in range(0, rows.num_rows, most):
+            yield rows.slice(at, most)
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with one batch in and batches out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield from f(batch)
+        for rows in pieces(batches):
+            yield from f(rows)
 
     return df.mapInArrow(run, schema)
 
@@ -150,10 +156,9 @@ def extend(df: DataFrame, f: Callable[[pa.RecordBatch], list], added: str, drop:
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            if rows.num_rows:
-                own = [x if isinstance(x, pa.Array) else pa.array(x) for x in f(rows)]
-                yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(c)) for c in keep), *own], names=[*keep, *names])
+        for rows in pieces(batches):
+            own = [x if isinstance(x, pa.Array) else pa.array(x) for x in f(rows)]
+            yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(c)) for c in keep), *own], names=[*keep, *names])
 
     return df.mapInArrow(run, schema)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemill.llm.common import batch, keep_checkpoint_dir, mix, utf8
+from lakemill.llm.common import batch, keep_checkpoint_dir, mix, pieces, utf8
 from lakemill.llm.components import components
 from lakemill.llm.op09_simhash import bits, fingerprint_of, forest, near, shingle_hashes
 
@@ -108,15 +108,14 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                data, starts = utf8(b.column(2))
-                raw = data.tobytes()
-                fp, keys, sketch = zip(*(sketched(raw[x:y]) for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)), strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                    names=["tid_", "doc_id", "fp", "keys", "sketch"],
-                )
+        for b in pieces(batches):
+            data, starts = utf8(b.column(2))
+            raw = data.tobytes()
+            fp, keys, sketch = zip(*(sketched(raw[x:y]) for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)), strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                names=["tid_", "doc_id", "fp", "keys", "sketch"],
+            )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     made = _stored(rows.select("tid_", "doc_id", "text").mapInArrow(run, f"tid_ long, doc_id {kind}, fp long, keys array<long>, sketch binary"))

@@ -33,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakemill.llm.common import batch, chunks, keep_checkpoint_dir, mix, prefix_sums, stretch_hash, table, utf8
+from lakemill.llm.common import batch, chunks, keep_checkpoint_dir, mix, pieces, prefix_sums, stretch_hash, table, utf8
 
 LENGTH, KMER = 400, 32
 #: Different contexts of an anchor beyond which its crowd is split; bytes of a bucket.
-CROWD, BUCKET_BYTES = 1500, 1 << 21
+CROWD, BUCKET_BYTES = 1500, 1 << 20
 #: Starts in a range of a crowd's first split.
 RANGE = 18
 
@@ -48,7 +48,7 @@ def stored(df: DataFrame) -> DataFrame:
     keep_checkpoint_dir(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -114,14 +114,15 @@ def suffix_array(text: np.ndarray, rest: np.ndarray) -> np.ndarray:
         packed = (packed << 9) | padded[k : k + n]
     short = rest < depth
     packed[short] &= ~((np.int64(1) << (9 * (depth - rest[short]))) - 1)  # nothing counts beyond a separator
-    order = np.argsort(packed)
+    order = np.argsort(packed).astype(np.int32)
     slots = np.flatnonzero(short[order])  # equal up to a separator: by place
     order[slots] = order[slots][np.lexsort((order[slots], packed[order[slots]]))]
     new = np.ones(n, bool)
-    new[1:] = (packed[order][1:] != packed[order][:-1]) | short[order][1:]
-    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
-    rank[order] = first
+    new[1:] = packed[order[1:]] != packed[order[:-1]]
+    new |= short[order]
+    del packed, padded
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), np.int32(0)))
     while depth < n:
         alone = new.copy()
         alone[:-1] &= new[1:]
@@ -129,17 +130,17 @@ def suffix_array(text: np.ndarray, rest: np.ndarray) -> np.ndarray:
         if not len(slots):
             break
         who = order[slots]
-        ahead = who + depth
-        key = rank[who] * (n + 1) + np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        ahead = who.astype(np.int64) + depth
+        key = rank[who].astype(np.int64) * (n + 1) + np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
         again = np.argsort(key)
         who, key = who[again], key[again]
         order[slots] = who
         fresh = np.ones(len(slots), bool)
         fresh[1:] = key[1:] != key[:-1]
         new[slots] = fresh
-        rank[who] = np.maximum.accumulate(np.where(fresh, slots, 0))
+        rank[who] = np.maximum.accumulate(np.where(fresh, slots, 0)).astype(np.int32)
         depth *= 2
-    return order
+    return order.astype(np.int64)
 
 
 def common_prefix(sums: np.ndarray, down: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -165,11 +166,11 @@ def run_index(segments: list[np.ndarray]) -> dict[str, np.ndarray]:
     raw = np.zeros(int(end[-1]) + 1, np.uint8)
     for s, a, b in zip(segments, begin, end, strict=True):
         raw[a:b] = s
-    text = raw.astype(np.int64) + 1
+    text = raw.astype(np.int16) + 1
     text[end] = 0
     rest = np.repeat(end, lengths + 1) - np.arange(len(raw))
     order = suffix_array(text, rest)
-    before = text[order - 1]  # the transform; before the first symbol stands the last separator
+    before = text[order - 1].astype(np.int64)  # the transform; before the first symbol stands the last separator
     before[before == 0] = -order[before == 0]  # separators are symbols of their own
     head = np.ones(len(order), bool)
     head[1:] = before[1:] != before[:-1]
@@ -221,24 +222,36 @@ def _marks_of_bucket(length: int):
     return run
 
 
+class _Pieces:
+    """Rows of contexts that wait to be sent on."""
+
+    def __init__(self) -> None:
+        self.columns: tuple[list, ...] = ([], [], [], [], [], [])
+
+    def put(self, bucket: int, rid: int, at: int, h: int, pos: int, piece: np.ndarray) -> int:
+        for column, value in zip(self.columns, (bucket, rid, at, h, pos, piece.tobytes()), strict=True):
+            column.append(value)
+        return len(piece)
+
+    def batch(self) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(self.columns, kinds, strict=True)], names=["bucket", "rid", "at", "h", "pos", "bytes"])
+
+
 def _contexts(length: int, kmer: int, buckets: int):
     """From documents with their chosen anchors: segments for buckets, and single contexts of crowds (bucket -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             data, starts = utf8(rows.column(1))
-            out: dict[str, list] = {"bucket": [], "rid": [], "at": [], "h": [], "pos": [], "bytes": []}
-
-            def put(bucket: int, rid: int, at: int, h: int, pos: int, piece: np.ndarray, out: dict = out) -> None:
-                for k, v in zip(out, (bucket, rid, at, h, pos, piece.tobytes()), strict=True):
-                    out[k].append(v)
-
-            for rid, chosen, low, high in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            out, waiting = _Pieces(), 0
+            for i in range(rows.num_rows):
+                rid, low, high = rows.column(0)[i].as_py(), int(starts[i]), int(starts[i + 1])
                 own: dict[int, list[list[int]]] = {}
-                for x in sorted(chosen, key=lambda x: x["pos"]):
+                for x in sorted(rows.column(2)[i].as_py(), key=lambda x: x["pos"]):
                     a, b = max(0, x["pos"] - (length - kmer)), min(high - low, x["pos"] + length)
                     if x["crowd"]:
-                        put(-1, rid, a, x["h"], x["pos"], data[low + a : low + b])
+                        waiting += out.put(-1, rid, a, x["h"], x["pos"], data[low + a : low + b])
                         continue
                     spans = own.setdefault((x["h"] >> 7) % buckets, [])
                     if spans and a <= spans[-1][1]:
@@ -247,11 +260,12 @@ def _contexts(length: int, kmer: int, buckets: int):
                         spans.append([a, b])
                 for bucket, spans in own.items():
                     for a, b in spans:
-                        put(bucket, rid, a, 0, 0, data[low + a : low + b])
-            if out["rid"]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[k], t) for k, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=list(out)
-                )
+                        waiting += out.put(bucket, rid, a, 0, 0, data[low + a : low + b])
+                if waiting > 1 << 22:
+                    yield out.batch()
+                    out, waiting = _Pieces(), 0
+            if waiting:
+                yield out.batch()
 
     return run
 
@@ -286,7 +300,7 @@ def _crowd_keys(length: int, kmer: int, width: int, single: bool):
                     key = mix(stretch_hash(sums, down, q - a, q + length - b) + salt)
                     x, y = np.maximum(q - b, s[ok]), np.minimum(q + length - a, e[ok])
                     whole = mix(stretch_hash(sums, down, x, y) + key + (q - x).astype(np.uint64))
-                    yield batch(rid=rid[low:high][ok], pos=pos[low:high][ok], h=h[low:high][ok], part=a if single else np.full(len(ok), k), key=key.view(np.int64), whole=whole.view(np.int64))
+                    yield batch(rid=rid[low:high][ok], pos=pos[low:high][ok], part=a if single else np.full(len(ok), k), key=key.view(np.int64), whole=whole.view(np.int64))
 
     return run
 
@@ -296,9 +310,9 @@ def crowd_marks(contexts: DataFrame, length: int, kmer: int, width: int = RANGE)
 
     Marks may reach beyond the document's ends; they are cut there.
     """
-    schema = "rid long, pos long, h long, part long, key long, whole long"
+    schema = "rid long, pos long, part long, key long, whole long"
     ranges = stored(contexts.mapInArrow(_crowd_keys(length, kmer, width, False), schema))
-    kinds = ranges.groupBy("key", "whole").agg(F.count("*").alias("m"), *(F.first(c).alias(c) for c in ("rid", "pos", "h", "part")))
+    kinds = ranges.groupBy("key", "whole").agg(F.count("*").alias("m"), *(F.first(c).alias(c) for c in ("rid", "pos", "part")))
     shared = kinds.groupBy("key").agg(F.sum("m").alias("n"), F.count("*").alias("d")).where(F.col("n") > 1).select("key", "d")
     kinds = stored(kinds.join(shared, "key"))
     alike = ranges.join(kinds.where(F.col("m") > 1).select("key", "whole"), ["key", "whole"], "left_semi").select(
@@ -306,7 +320,7 @@ def crowd_marks(contexts: DataFrame, length: int, kmer: int, width: int = RANGE)
         F.greatest(F.lit(0), F.col("pos") - (F.col("part") + 1) * width + 1, F.col("pos") - (length - kmer)).alias("start"),
         (F.col("pos") - F.col("part") * width + length).alias("end"),
     )
-    again = contexts.join(kinds.where(F.col("d") > 1).select("rid", "pos", "h", "part"), ["rid", "pos", "h"]).select("rid", "at", "h", "pos", "bytes", "part")
+    again = contexts.join(kinds.where(F.col("d") > 1).select("rid", "pos", "part"), ["rid", "pos"]).select("rid", "at", "h", "pos", "bytes", "part")
     starts = stored(again.mapInArrow(_crowd_keys(length, kmer, width, True), schema).select("rid", "pos", "part", "key"))
     often = starts.groupBy("key").count().where(F.col("count") > 1).select("key")
     single = starts.join(often, "key", "left_semi").select("rid", (F.col("pos") - F.col("part")).alias("start"), (F.col("pos") - F.col("part") + length).alias("end"))
@@ -314,7 +328,7 @@ def crowd_marks(contexts: DataFrame, length: int, kmer: int, width: int = RANGE)
 
 
 def repeated_spans(documents: DataFrame, length: int = LENGTH, kmer: int = KMER, crowd: int = CROWD, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(rid, start, end) of byte stretches, possibly overlapping, whose union is what repeated strings cover.
+    """(rid, start, end) of byte stretches, possibly overlapping or repeated, whose union is what repeated strings cover.
 
     Documents are given as (rid, doc_id, text); rows with equal rid have equal
     texts. All their columns go with the texts to the rows' anchors, so that the
@@ -325,7 +339,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, kmer: int = KMER,
     kinds = found.groupBy("h", "c").agg(F.count("*").alias("m"), F.first("rid").alias("rid"), F.first("pos").alias("pos"))
     crowds = kinds.groupBy("h").agg(F.sum("m").alias("n"), F.count("*").alias("d")).where(F.col("n") > 1).select("h", "d")
     kinds = stored(kinds.join(crowds, "h").select("h", "c", "m", "d", "rid", "pos"))
-    whole = found.join(kinds.where(F.col("m") > 1).select("h", "c"), ["h", "c"], "left_semi").select("rid", "pos").distinct()
+    whole = found.join(kinds.where(F.col("m") > 1).select("h", "c"), ["h", "c"], "left_semi").select("rid", "pos")
     spans = whole.select("rid", F.greatest(F.lit(0), F.col("pos") - (length - kmer)).cast("long").alias("start"), (F.col("pos") + length).cast("long").alias("end"))
     several = kinds.where(F.col("d") > 1)
     chosen = several.groupBy("rid").agg(F.collect_list(F.struct("pos", "h", (F.col("d") > crowd).alias("crowd"))).alias("chosen"))
@@ -355,13 +369,11 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, kmer: int = KMER,
     """
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.xxhash64(F.col("doc_id").cast("string"), "text"))
     spans = repeated_spans(rows, length, kmer, crowd, bucket_bytes)
-    marks = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
+    marks = spans.groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("marks"))
     joined = rows.join(marks.hint("shuffle_hash"), "rid", "left").select("doc_id", "text", "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in pieces(batches):
             data, starts = utf8(b.column(1))
             kept, removed, n_spans = [], [], []
             lists = b.column(2)
