@@ -8,6 +8,7 @@ numpy and never make a Python object for a word.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -52,6 +53,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """Written as a table in the shared folder, by the values of some columns, and read again: no lineage, and smaller than a checkpoint."""
+    spark = df.sparkSession
+    keep_checkpoint_dir(spark)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a column of strings and each row's start, with the end at last; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

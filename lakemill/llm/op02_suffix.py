@@ -25,7 +25,6 @@ by their hashes. That is exact, and hashes are aggregated before they move.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakemill.llm.common import batch, chunks, keep_checkpoint_dir, mix, pieces, prefix_sums, stretch_hash, table, utf8
+from lakemill.llm.common import batch, chunks, mix, pieces, prefix_sums, stored, stretch_hash, table, utf8
 
 LENGTH, KMER = 400, 32
 #: Different contexts of an anchor beyond which its crowd is split; bytes of a bucket.
@@ -42,16 +41,6 @@ CROWD, BUCKET_BYTES = 1500, 1 << 20
 RANGE = 18
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Written as a table in the shared folder and read again: no lineage, and smaller than a checkpoint."""
-    spark = df.sparkSession
-    keep_checkpoint_dir(spark)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def sliding(x: np.ndarray, width: int, f: np.ufunc, pad: int) -> np.ndarray:
     """f over x[i : i+width] for each i, with ``pad`` beyond the end."""
     n = len(x)
