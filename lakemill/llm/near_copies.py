@@ -13,7 +13,6 @@ many links as members.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemill.llm.common import batch, keep_checkpoint_dir, mix, pieces, utf8
+from lakemill.llm.common import batch, mix, pieces, stored, utf8
 from lakemill.llm.components import components
 from lakemill.llm.op09_simhash import bits, fingerprint_of, forest, near, shingle_hashes
 
@@ -65,36 +64,28 @@ def shard_links(keys: np.ndarray, fps: np.ndarray, texts: np.ndarray, sketches:
     """Links between rows of a shard; rows are sorted by key."""
     a_out, b_out = [], []
     tree, label = forest(keys, fps), np.arange(len(keys))
-
-    def find(i: int) -> int:
-        while label[i] != i:
-            label[i] = label[label[i]]
-            i = label[i]
-        return i
-
+    low, high = np.searchsorted(keys, keys), np.searchsorted(keys, keys, side="right")
     for at in range(0, len(keys), 256):
-        pairs = [(a, b) for a, b in near(tree, fps, np.arange(at, min(at + 256, len(keys))), radius)]
+        pairs = list(near(tree, fps, np.arange(at, min(at + 256, len(keys))), radius))
         a, b = np.concatenate([x for x, _ in pairs]), np.concatenate([x for _, x in pairs])
         later = b < a  # each pair once
         a, b = a[later], b[later]
         order = np.lexsort((bits(fps[a] ^ fps[b]), a))
-        for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
-            i, j = find(x), find(y)
-            if i != j and similarity(sketches[x], sketches[y]) >= least:
-                label[max(i, j)] = min(i, j)
-                a_out.append(texts[x])
-                b_out.append(texts[y])
+        a, b = a[order], b[order]
+        for start, end in zip(*(np.searchsorted(a, np.unique(a), side=side) for side in ("left", "right")), strict=True):
+            x, others = int(a[start]), b[start:end]
+            while len(others):  # nearest first; those of a component that is joined need no comparison
+                y, others = int(others[0]), others[1:]
+                if label[x] != label[y] and similarity(sketches[x], sketches[y]) >= least:
+                    own = label[low[x] : high[x]]
+                    first, second = sorted((label[x], label[y]))
+                    own[own == second] = first
+                    a_out.append(texts[x])
+                    b_out.append(texts[y])
+                    others = others[label[others] != first]
     return np.array(a_out, np.int64), np.array(b_out, np.int64)
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    keep_checkpoint_dir(spark)
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def one_of_each(documents: DataFrame) -> DataFrame:
     """The documents less near copies: of each group the one with the smallest doc_id stays, null ids last.
 
@@ -118,7 +109,7 @@ def one_of_each(documents: DataFrame) -> DataFrame:
             )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    made = _stored(rows.select("tid_", "doc_id", "text").mapInArrow(run, f"tid_ long, doc_id {kind}, fp long, keys array<long>, sketch binary"))
+    made = stored(rows.select("tid_", "doc_id", "text").mapInArrow(run, f"tid_ long, doc_id {kind}, fp long, keys array<long>, sketch binary"))
     met = made.select("tid_", F.explode("keys").alias("key")).distinct()
     shared = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("key")
     met = met.join(shared, "key", "left_semi")
@@ -140,7 +131,7 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     rooted = first.join(roots, first["tid_"] == roots["node"], "left").select("tid_", "least", F.coalesce("root", "tid_").alias("root_"))
     stay = rooted.groupBy("root_").agg(F.min(F.struct("least", "tid_")).alias("one")).select(F.col("one.tid_").alias("k_tid"), F.col("one.least.doc_id").alias("k_doc"))
     times = made.groupBy("tid_", "doc_id").count().where(F.col("count") > 1).select(F.col("tid_").alias("r_tid"), F.col("doc_id").alias("r_doc"), F.lit(True).alias("again_"))
-    stay = _stored(stay.join(times, (F.col("k_tid") == F.col("r_tid")) & F.col("k_doc").eqNullSafe(F.col("r_doc")), "left").select("k_tid", "k_doc", F.coalesce("again_", F.lit(False)).alias("again_")))
+    stay = stored(stay.join(times, (F.col("k_tid") == F.col("r_tid")) & F.col("k_doc").eqNullSafe(F.col("r_doc")), "left").select("k_tid", "k_doc", F.coalesce("again_", F.lit(False)).alias("again_")))
     kept = rows.join(stay.hint("shuffle_hash"), (F.col("tid_") == F.col("k_tid")) & F.col("doc_id").eqNullSafe(F.col("k_doc")))
     out = kept.where(~F.col("again_"))
     if not stay.where("again_").isEmpty():  # rows that repeat with their id: one of each
