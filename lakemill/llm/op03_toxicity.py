@@ -1,6 +1,6 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A document's terms are its words and their first six and seven bytes, lower
+A document's terms are its words and their first four, six and seven bytes, lower
 case, hashed into BINS bins. The machine scores the set of terms that a document
 has: a constant, a weight of each term, and for each pair of terms the product
 of their factor vectors, which lets a pair (an insult beside the mention of a
@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from lakemill.llm.common import LOWER, Adam, chunks, class_weights, extend, fold, labelled_sample, prefix_sums, sigmoid, stretch_hash, table, utf8, words_of
 
-BINS, FACTORS, TERMS = 1 << 18, 6, 2048
-PREFIXES = (6, 7)
+BINS, FACTORS, TERMS = 1 << 18, 6, 3072
+PREFIXES = (4, 6, 7)
 #: The classifier's training sample: documents of each class (0, 1) and bytes of a document, at most.
-SAMPLE, LONGEST = (5000, 3000), 65536
+SAMPLE, LONGEST = (4000, 3000), 65536
 THRESHOLD = 0.3
 PUNCTUATION = np.zeros(256, bool)
 PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
@@ -72,7 +72,7 @@ def predict(m: Machine, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(texts: list[str], y: np.ndarray, weights: np.ndarray, steps: int = 250, rate: float = 0.03, terms: int = TERMS, seed: int = 3) -> Machine:
+def train(texts: list[str], y: np.ndarray, weights: np.ndarray, steps: int = 400, rate: float = 0.03, terms: int = TERMS, seed: int = 3) -> Machine:
     """Chooses the terms that differ most between the classes, then fits the machine by full-batch descent."""
     encoded = [t.encode("utf-8", "replace") for t in texts]
     starts = np.concatenate([[0], np.cumsum([len(e) for e in encoded])]).astype(np.int64)
