@@ -18,13 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakemill.llm.common import table
+from lakemill.llm.common import checkpoint, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Share of all words that the mix takes, and how often a source may be repeated.
 SHARE, REPEATS = 1.5, 2.0
 BUCKET_ROWS = 4096
+#: Rows of sums by source, or by source and bucket, up to which they are broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def source_targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS) -> DataFrame:
@@ -54,6 +56,11 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, sha
     return levels.select("source", "source_size", "weight", F.least(F.col("top"), F.coalesce(F.col("found.level"), F.col("level")) * F.col("weight")).alias("target"))
 
 
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast if it has no more than so many rows; else the join shuffles. Texts then move no more than they must."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def demand_time(part: Column, start: Column, end: Column) -> Column:
     """The time at which a weight going from start to end has given ``part`` (0 to 1) of its integral.
 
@@ -90,20 +97,20 @@ def mix_documents(
     sized = documents.select(*rest, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")).withColumn(
         "place", F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     )
-    counted = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    counted = checkpoint(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")))
     targets = source_targets(counted, weights, share, repeats).join(counted.select(F.col("source").alias("s_"), "rows"), F.col("source").eqNullSafe(F.col("s_"))).drop("s_")
     rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source"))) - 1
     ramps = F.array(*[F.lit(float(x)) for x in ramp])
     targets = targets.select(
         F.col("source").alias("t_source"), "source_size", "target", F.ceil(F.col("rows") / bucket_rows).alias("buckets"), F.element_at(ramps, (rank % len(ramp) + 1).cast("int")).alias("ramp")
     )
-    dealt = sized.join(targets, F.col("source").eqNullSafe(F.col("t_source")), "left").withColumn("bucket", F.floor(F.col("place") * F.col("buckets")))
-    sums = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("inside"))
+    dealt = sized.join(if_small(targets), F.col("source").eqNullSafe(F.col("t_source")), "left").withColumn("bucket", F.floor(F.col("place") * F.col("buckets")))
+    sums = checkpoint(dealt.groupBy("source", "bucket").agg(F.sum("size").alias("inside")))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), F.coalesce(F.sum("inside").over(earlier), F.lit(0)).alias("base"))
     inside = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = (
-        dealt.join(sums, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
+        dealt.join(if_small(sums), F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
         .withColumn("upto", F.col("base") + F.sum("size").over(inside))
         .withColumn("share_", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     )
