@@ -113,7 +113,8 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     met = made.select("tid_", F.explode("keys").alias("key")).distinct()
     shared = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("key")
     met = met.join(shared, "key", "left_semi")
-    texts = made.join(met.select("tid_").distinct(), "tid_", "left_semi").groupBy("tid_").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
+    texts = made.groupBy("tid_").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))  # before the join: copies fold before they move
+    texts = texts.join(met.select("tid_").distinct(), "tid_", "left_semi")
     shards = met.join(texts, "tid_").select("key", "tid_", "fp", "sketch")
     many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-met.count() * SKETCH * 8 // PARTITION_BYTES))
 
