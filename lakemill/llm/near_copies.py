@@ -1,14 +1,18 @@
 """Near copies of similarity 0.8 and more on five-word shingles, found by SimHash fingerprints in BK-trees.
 
-At this similarity fingerprints differ in up to some sixteen bits, too many for
-groups of bits to deal them by. Shards come from the smallest shingle hashes
+At this similarity fingerprints differ in up to some sixteen bits, too many
+for groups of bits to deal them by. Shards come from the smallest shingle hashes
 instead: two texts that share BAND_ROWS of them in one of BANDS bands meet in a
-shard (at similarity 0.8, 99.5 of 100 pairs). A shard's fingerprints are searched in a
-BK-tree; pairs within the radius that aren't in one component yet are compared
-by their sketches, the smallest SKETCH hashes of each text, which are all of
-them for texts of that many shingles and less: nearest first, and only until
-they are linked. So a crowd of near copies takes few comparisons, and gives as
-many links as members.
+shard. A shard's fingerprints are searched in a BK-tree; pairs within the radius
+that aren't in one component yet are compared by their sketches, the smallest
+SKETCH hashes of each text, which are all of them for texts of that many
+shingles and less: nearest first, and only until they are linked. So a crowd of
+near copies takes few comparisons, and gives as many links as members.
+
+A sketch that isn't whole decides nothing but what is clearly below the
+similarity (by MARGIN). Links it proposes are verified on both texts' whole sets
+of shingle hashes, joined in Spark. Where one fails, its shard is searched again
+with what is known to be linked, and every pair that is left is verified.
 """
 
 from __future__ import annotations
@@ -20,23 +24,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemill.llm.common import batch, mix, pieces, stored, utf8
+from lakemill.llm.common import batch, chunks, mix, pieces, stored, utf8
 from lakemill.llm.components import components
 from lakemill.llm.op09_simhash import bits, fingerprint_of, forest, near, shingle_hashes
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 16
 BANDS, BAND_ROWS, SKETCH = 10, 4, 256
+#: Nearly five standard deviations of what sketches say of a pair at the similarity.
+MARGIN = 0.12
 #: Bytes of sketches of a partition of shards.
 PARTITION_BYTES = 16 << 20
 
 
-def sketched(text: bytes) -> tuple[int, list[int], bytes]:
-    """Fingerprint, band keys and sketch of a text; without words no keys."""
+def hash_set(text: bytes) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
     parts = list(shingle_hashes(text, SHINGLE))
-    if not parts:
-        return 0, [], b""
-    fp = fingerprint_of(iter(parts))
-    hashes = np.unique(mix(np.concatenate(parts)))
+    return np.unique(mix(np.concatenate(parts))) if parts else np.zeros(0, np.uint64)
+
+
+def sketched(text: bytes) -> tuple[int, list[int], bytes, int]:
+    """Fingerprint, band keys, sketch and number of shingles of a text; without words no keys."""
+    hashes = hash_set(text)
+    if not len(hashes):
+        return 0, [], b"", 0
+    fp = fingerprint_of(shingle_hashes(text, SHINGLE))
     slots = BANDS * BAND_ROWS
     slot, value = (hashes & np.uint64(0xFFFF)) % np.uint64(slots), hashes >> np.uint64(16)
     least = np.full(slots, np.iinfo(np.uint64).max)
@@ -48,27 +59,39 @@ def sketched(text: bytes) -> tuple[int, list[int], bytes]:
     least = least[after] + ((after - np.arange(slots)) % slots).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     keys = mix(least).reshape(BANDS, BAND_ROWS)
     keys = mix((keys * np.array([1, 3, 5, 7], np.uint64)).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-    return fp, keys.view(np.int64).tolist(), hashes[:SKETCH].tobytes()
+    return fp, keys.view(np.int64).tolist(), hashes[:SKETCH].tobytes(), len(hashes)
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
+def similarity(a: np.ndarray, b: np.ndarray, whole: bool = False) -> float:
     """Of two sketches: the share in both among the smallest of their union; exact if both are whole."""
     both = np.intersect1d(a, b, assume_unique=True)
-    if len(a) < SKETCH and len(b) < SKETCH:
+    if whole or len(a) < SKETCH and len(b) < SKETCH:
         return len(both) / max(1, len(a) + len(b) - len(both))
     union = np.union1d(a, b)[:SKETCH]
     return np.searchsorted(both, union[-1], side="right") / len(union)
 
 
-def shard_links(keys: np.ndarray, fps: np.ndarray, texts: np.ndarray, sketches: list[np.ndarray], least: float = SIMILARITY, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links between rows of a shard; rows are sorted by key."""
-    a_out, b_out = [], []
+def shard_links(
+    keys: np.ndarray, fps: np.ndarray, sizes: np.ndarray, texts: np.ndarray, sketches: list[np.ndarray], roots: np.ndarray | None = None, least: float = SIMILARITY, radius: int = RADIUS
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links between rows of a shard, as (key, text, text, whether it is certain); rows are sorted by key.
+
+    At first, links that aren't certain count as links too if the sketches say
+    so, and those within the margin below are given if nothing else links their
+    ends. With ``roots``, each text's component by verified links, only what is
+    certain counts, and every other pair that isn't ruled out is given.
+    """
+    out: list[tuple[int, int, int, bool]] = []
+    doubtful: list[tuple[int, int]] = []
     tree, label = forest(keys, fps), np.arange(len(keys))
     low, high = np.searchsorted(keys, keys), np.searchsorted(keys, keys, side="right")
+    if roots is not None:
+        _, first, which = np.unique(np.stack([low, roots]), axis=1, return_index=True, return_inverse=True)
+        label = first[which.ravel()]
     for at in range(0, len(keys), 256):
         pairs = list(near(tree, fps, np.arange(at, min(at + 256, len(keys))), radius))
         a, b = np.concatenate([x for x, _ in pairs]), np.concatenate([x for _, x in pairs])
-        later = b < a  # each pair once
+        later = (b < a) & (np.minimum(sizes[a], sizes[b]) >= least * np.maximum(sizes[a], sizes[b]))  # each pair once; sizes further apart rule it out
         a, b = a[later], b[later]
         order = np.lexsort((bits(fps[a] ^ fps[b]), a))
         a, b = a[order], b[order]
@@ -76,14 +99,42 @@ def shard_links(keys: np.ndarray, fps: np.ndarray, texts: np.ndarray, sketches:
             x, others = int(a[start]), b[start:end]
             while len(others):  # nearest first; those of a component that is joined need no comparison
                 y, others = int(others[0]), others[1:]
-                if label[x] != label[y] and similarity(sketches[x], sketches[y]) >= least:
-                    own = label[low[x] : high[x]]
-                    first, second = sorted((label[x], label[y]))
-                    own[own == second] = first
-                    a_out.append(texts[x])
-                    b_out.append(texts[y])
-                    others = others[label[others] != first]
-    return np.array(a_out, np.int64), np.array(b_out, np.int64)
+                if label[x] == label[y]:
+                    continue
+                certain = bool(max(sizes[x], sizes[y]) <= SKETCH)
+                share = similarity(sketches[x], sketches[y], certain)
+                if share < least - (0 if certain else MARGIN):
+                    continue
+                if not certain and (share < least or roots is not None):
+                    doubtful.append((x, y))
+                    continue
+                own = label[low[x] : high[x]]
+                first, second = sorted((label[x], label[y]))
+                own[own == second] = first
+                out.append((keys[x], texts[x], texts[y], certain))
+                others = others[label[others] != first]
+    out += [(keys[x], texts[x], texts[y], False) for x, y in doubtful if label[x] != label[y]]
+    return tuple(np.array([o[i] for o in out], kind) for i, kind in enumerate((np.int64, np.int64, np.int64, bool)))
+
+
+def verified(pairs: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of texts and whether they are that similar (linked), by their whole sets of shingle hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            data, starts = utf8(b.column(1))
+            for low, high in chunks(starts):
+                sets = [hash_set(data[x:y].tobytes()).view(np.int64) for x, y in zip(starts[low:high].tolist(), starts[low + 1 : high + 1].tolist(), strict=True)]
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], names=["tid_", "set_"])
+
+    ends = pairs.select(F.col("a").alias("tid_")).union(pairs.select("b")).distinct()
+    texts = rows.join(ends, "tid_", "left_semi").groupBy("tid_").agg(F.first("text").alias("text"))
+    sets = stored(texts.mapInArrow(run, "tid_ long, set_ array<long>"))
+    one, two = (sets.select(F.col("tid_").alias(x), F.col("set_").alias(f"set_{x}")) for x in "ab")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    joined = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b")).alias("sum"))
+    return stored(joined.select("a", "b", (F.col("both") >= least * (F.col("sum") - F.col("both"))).alias("linked")))
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
@@ -102,32 +153,49 @@ def one_of_each(documents: DataFrame) -> DataFrame:
         for b in pieces(batches):
             data, starts = utf8(b.column(2))
             raw = data.tobytes()
-            fp, keys, sketch = zip(*(sketched(raw[x:y]) for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)), strict=True)
+            fp, keys, sketch, size = zip(*(sketched(raw[x:y]) for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)), strict=True)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                names=["tid_", "doc_id", "fp", "keys", "sketch"],
+                [b.column(0), b.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                names=["tid_", "doc_id", "fp", "size", "keys", "sketch"],
             )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    made = stored(rows.select("tid_", "doc_id", "text").mapInArrow(run, f"tid_ long, doc_id {kind}, fp long, keys array<long>, sketch binary"))
+    made = stored(rows.select("tid_", "doc_id", "text").mapInArrow(run, f"tid_ long, doc_id {kind}, fp long, size long, keys array<long>, sketch binary"))
     met = made.select("tid_", F.explode("keys").alias("key")).distinct()
     shared = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("key")
     met = met.join(shared, "key", "left_semi")
-    texts = made.groupBy("tid_").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))  # before the join: copies fold before they move
+    texts = made.groupBy("tid_").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))  # before the join: copies fold before they move
     texts = texts.join(met.select("tid_").distinct(), "tid_", "left_semi")
-    shards = met.join(texts, "tid_").select("key", "tid_", "fp", "sketch")
+    shards = met.join(texts, "tid_").select("key", "tid_", "fp", "size", "sketch")
     many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-met.count() * SKETCH * 8 // PARTITION_BYTES))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [b for b in batches if b.num_rows]
         if own:
-            key, tid, fp = (np.concatenate([b.column(i).to_numpy() for b in own]) for i in range(3))
-            sketch = [np.frombuffer(x, np.uint64) for b in own for x in b.column(3).to_pylist()]
+            key, tid, fp, size, *root = (np.concatenate([b.column(i).to_numpy() for b in own]) for i in (0, 1, 2, 3, *range(5, own[0].num_columns)))
+            sketch = [np.frombuffer(x, np.uint64) for b in own for x in b.column(4).to_pylist()]
             o = np.lexsort((tid, key))
-            a, b = shard_links(key[o], fp[o].view(np.uint64), tid[o], [sketch[i] for i in o])
-            yield batch(a=a, b=b)
-
-    roots = components(shards.repartition(many, "key").mapInArrow(link, "a long, b long"))
+            key, a, b, certain = shard_links(key[o], fp[o].view(np.uint64), size[o], tid[o], [sketch[i] for i in o], root[0][o] if root else None)
+            yield batch(key=key, a=np.maximum(a, b), b=np.minimum(a, b), certain=certain)
+
+    def search(shards: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links by shard, and the distinct pairs that are to be verified."""
+        found = stored(shards.repartition(many, "key").mapInArrow(link, "key long, a long, b long, certain boolean"))
+        return found, found.where("not certain").select("a", "b").distinct()
+
+    found, open_ = search(shards)
+    links = found.where("certain").select("a", "b")
+    if not open_.isEmpty():
+        known = verified(open_, rows)
+        links = links.unionByName(known.where("linked").select("a", "b"))
+        failed = found.where("not certain").join(known.where("not linked"), ["a", "b"], "left_semi").select("key").distinct()
+        if not failed.isEmpty():
+            roots = components(links)
+            again = shards.join(failed, "key", "left_semi").join(roots.withColumnRenamed("node", "tid_"), "tid_", "left")
+            found, open_ = search(again.select("key", "tid_", "fp", "size", "sketch", F.coalesce("root", "tid_").alias("root_")))
+            more = verified(open_.join(known, ["a", "b"], "left_anti"), rows)
+            links = links.unionByName(more.where("linked").select("a", "b")).unionByName(found.where("certain").select("a", "b"))
+    roots = components(links)
     first = made.groupBy("tid_").agg(F.min(order).alias("least"))
     rooted = first.join(roots, first["tid_"] == roots["node"], "left").select("tid_", "least", F.coalesce("root", "tid_").alias("root_"))
     stay = rooted.groupBy("root_").agg(F.min(F.struct("least", "tid_")).alias("one")).select(F.col("one.tid_").alias("k_tid"), F.col("one.least.doc_id").alias("k_doc"))
