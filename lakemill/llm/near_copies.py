@@ -1,6 +1,6 @@
 """Near copies of similarity 0.8 and more on five-word shingles, found by SimHash fingerprints in BK-trees.
 
-At this similarity fingerprints differ in up to some sixteen bits, too many
+At this similarity fingerprints differ in some ten bits and up to RADIUS, too many
 for groups of bits to deal them by. Shards come from the smallest shingle hashes
 instead: two texts that share BAND_ROWS of them in one of BANDS bands meet in a
 shard. A shard's fingerprints are searched in a BK-tree; pairs within the radius
@@ -28,8 +28,8 @@ from lakemill.llm.common import batch, chunks, mix, pieces, stored, utf8
 from lakemill.llm.components import components
 from lakemill.llm.op09_simhash import bits, fingerprint_of, forest, near, shingle_hashes
 
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 16
-BANDS, BAND_ROWS, SKETCH = 10, 4, 256
+SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 24
+BANDS, BAND_ROWS, SKETCH = 20, 4, 256
 #: Nearly five standard deviations of what sketches say of a pair at the similarity.
 MARGIN = 0.12
 #: Bytes of sketches of a partition of shards.
@@ -43,11 +43,11 @@ def hash_set(text: bytes) -> np.ndarray:
 
 
 def sketched(text: bytes) -> tuple[int, list[int], bytes, int]:
-    """Fingerprint, band keys, sketch and number of shingles of a text; without words no keys."""
+    """Fingerprint of the distinct shingles, band keys, sketch and number of shingles of a text; without words no keys."""
     hashes = hash_set(text)
     if not len(hashes):
         return 0, [], b"", 0
-    fp = fingerprint_of(shingle_hashes(text, SHINGLE))
+    fp = fingerprint_of(iter([hashes]))  # of distinct shingles, as similarity is: lines that repeat turn no bits
     slots = BANDS * BAND_ROWS
     slot, value = (hashes & np.uint64(0xFFFF)) % np.uint64(slots), hashes >> np.uint64(16)
     least = np.full(slots, np.iinfo(np.uint64).max)

@@ -52,3 +52,20 @@ def test_shard_with_doubtful_pairs(roots):
     key, a, b, certain = N.shard_links(np.zeros(4, np.int64), np.zeros(4, np.uint64), sizes, np.arange(4), [x[: N.SKETCH] for x in sets], None if roots is None else np.array(roots))
     got = {(x, y): c for x, y, c in zip(a.tolist(), b.tolist(), certain.tolist(), strict=True)}
     assert got == ({(3, 2): True} if roots is None else {}) | {k: c for k, c in got.items() if k == (1, 0) and not c}
+
+
+def test_few_pairs_at_the_similarity_never_meet():
+    r, lost = np.random.default_rng(5), 0
+    for k in range(400):
+        n = (18, 90, 450)[k % 3]
+        a, b = ([f"{x}" for x in part] for part in np.split(r.permutation(10**6)[: 2 * n + 8], 2))
+        changed = n // 9
+        b = a[: len(a) - changed] + b[:changed]
+        (f, x, *_), (g, y, *_) = (N.sketched(" ".join(t).encode()) for t in (a, b))
+        lost += alike(a, b) >= 0.8 and (not set(x) & set(y) or (f ^ g).bit_count() > N.RADIUS)
+    assert lost == 0
+
+
+def test_repeated_lines_do_not_part_copies(spark):
+    a = [f"w{i}" for i in range(200)]
+    assert left(spark, [a, a + "one line of six words here".split() * 400]) == {0}
