@@ -10,8 +10,13 @@ passage that lies near an item in cosine is a candidate. Around a candidate, the
 longest common subsequence of words with the item, and whether the item's last
 sentence (its answer) is there, decide.
 
-A cosine takes the passage's length for no less than half of the item's: else a
+A cosine takes the passage's length for no less than half of the piece's: else a
 passage with one rare word of an item would point just where the item points.
+
+Items with a piece that weighs little more than ordinary text can drown in what stands
+around them (all of an item's words are common if many documents hold it). They
+are not looked for by cosine: each stretch of twice their length that holds as
+many of their words as a leak needs is a candidate.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ DIMENSIONS, SEED = 128, 5
 #: Terms in a larger share of the documents weigh nothing.
 COMMON = 0.05
 COSINE, SHORTEST = 0.45, 0.5
+#: Items are looked for by cosine if the mean square of each piece's weights is so many times that of the corpus' words, or more.
+ORDINARY = 2.0
 #: Share of an item's words in the common subsequence: alone, or with the answer.
 ALONE, WITH_ANSWER = 0.65, 0.5
 #: Items that are searched in one pass; more items take more passes.
@@ -60,8 +67,10 @@ class Space:
     weights: np.ndarray
     basis: np.ndarray  # terms x dimensions
     items: list[Item]
-    latent: np.ndarray  # items x dimensions, of length one
+    latent: np.ndarray  # pieces of items x dimensions, of length one
     lengths: np.ndarray
+    item_of: np.ndarray  # of each piece, a row of latent and lengths
+    plain: list[tuple[int, np.ndarray]]  # items that are looked for by their words, and the terms' flags
 
 
 def as_items(rows: list[tuple[int, str]]) -> list[Item]:
@@ -97,30 +106,32 @@ def _per_chunk(rows: pa.RecordBatch, name: str = "text") -> Iterator[tuple[int,
         yield low, high, *word_hashes(data[starts[low] : starts[high]], starts[low : high + 1] - starts[low])
 
 
-def document_frequencies(documents: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
-    """In how many documents each term stands, and the number of documents."""
+def document_frequencies(documents: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """In how many documents and how often each term stands, and the number of documents and of words."""
     many = len(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = np.zeros(many, np.int64), 0
+        seen, times, n, words = np.zeros(many, np.int64), np.zeros(many, np.int64), 0, 0
         for rows in batches:
             n += rows.num_rows
             for low, high, hashes, upto in _per_chunk(rows):
                 term = term_of(terms, hashes)
                 has = np.flatnonzero(term >= 0)
+                words += len(hashes)
+                times += np.bincount(term[has], minlength=many)
                 row = np.repeat(np.arange(high - low), np.diff(upto))[has]
                 seen += np.bincount(np.unique(row * many + term[has]) % many, minlength=many)
         some = np.flatnonzero(seen)
-        yield batch(term=np.append(some, -1), n=np.append(seen[some], n))
+        yield batch(term=np.append(some, -1), n=np.append(seen[some], n), times=np.append(times[some], words))
 
-    counted = documents.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    out, total = np.zeros(many, np.int64), 0
+    counted = documents.select("text").mapInArrow(run, "term long, n long, times long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
+    out, times, total, words = np.zeros(many, np.int64), np.zeros(many, np.int64), 0, 0
     for r in counted.toPandas().itertuples():  # a row a term of the benchmark block
         if r.term < 0:
-            total = int(r.n)
+            total, words = int(r.n), int(r.times)
         else:
-            out[r.term] = r.n
-    return out, total
+            out[r.term], times[r.term] = r.n, r.times
+    return out, times, total, words
 
 
 def _products(term: np.ndarray, row: np.ndarray, weights: np.ndarray, random: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +186,7 @@ def sketch(documents: DataFrame, terms: np.ndarray, weights: np.ndarray, random:
 def fit_space(documents: DataFrame, items: list[Item], dimensions: int = DIMENSIONS) -> Space:
     """The latent space of one block of items."""
     terms = np.unique(np.array([w for i in items for w in i.words], np.uint64))
-    seen, total = document_frequencies(documents, terms)
+    seen, times, total, words = document_frequencies(documents, terms)
     weights = np.log((total + 1.0) / (seen + 1.0)) + 0.1
     weights[seen > COMMON * total] = 0 if (seen <= COMMON * total).any() else 0.1
     weights = weights.astype(np.float32)
@@ -188,9 +199,19 @@ def fit_space(documents: DataFrame, items: list[Item], dimensions: int = DIMENSI
     theirs = sketch(documents, terms, weights, random)
     both = sum(x / max(np.linalg.norm(x), 1e-9) for x in (ours, theirs))
     basis = np.linalg.qr(both)[0].astype(np.float32)
-    latent = np.array([(weights[o][:, None] * basis[o]).sum(0) for o in own])
+    cut = list(enumerate(own))
+    item_of = np.array([i for i, _ in cut])
+    latent = np.array([(weights[o][:, None] * basis[o]).sum(0) for _, o in cut])
+    ordinary = (times * weights.astype(float) ** 2).sum() / max(words, 1)
+    light = np.unique([i for i, o in cut if (weights[o].astype(float) ** 2).mean() < ORDINARY * ordinary or not weights[o].any()])
+    heavy = ~np.isin(item_of, light)
+    plain = []
+    for i in light.astype(int):
+        flags = np.zeros(len(terms) + 1, bool)  # the last is for words that are no terms
+        flags[own[i]] = True
+        plain.append((int(i), flags))
     lengths = np.linalg.norm(latent, axis=1)
-    return Space(terms, weights, basis, items, latent / np.maximum(lengths, 1e-9)[:, None], lengths)
+    return Space(terms, weights, basis, items, (latent / np.maximum(lengths, 1e-9)[:, None])[heavy], lengths[heavy], item_of[heavy], plain)
 
 
 def common_subsequence(words: list[int], masks: dict[int, int], length: int) -> int:
@@ -225,7 +246,7 @@ def find(space: Space, masks: list[tuple[dict, dict]], hashes: np.ndarray, upto:
     end = np.minimum(at + PASSAGE, upto[row + 1])
     sums = np.concatenate([[0], np.cumsum(weight)])
     # No projection is longer than the sum of the weights; shorter ones can't reach the cosine with any item.
-    rich = np.flatnonzero(sums[end] - sums[at] >= COSINE * SHORTEST * space.lengths.min())
+    rich = np.flatnonzero(sums[end] - sums[at] >= COSINE * SHORTEST * space.lengths.min()) if len(space.lengths) else at[:0]
     found: dict[tuple[int, int], list[list[int]]] = {}
     for part in np.array_split(rich, max(1, len(rich) // 8192)):
         if not len(part):
@@ -240,7 +261,8 @@ def find(space: Space, masks: list[tuple[dict, dict]], hashes: np.ndarray, upto:
         latent[owner[new]] = np.add.reduceat(weight[inside][:, None] * space.basis[term[inside]], new)
         length = np.linalg.norm(latent, axis=1)
         cosine = latent @ space.latent.T / np.maximum(length[:, None], SHORTEST * space.lengths[None, :])
-        for p, i in zip(*np.nonzero(cosine >= COSINE), strict=True):
+        for p, piece in zip(*np.nonzero(cosine >= COSINE), strict=True):
+            i = space.item_of[piece]
             w, many = int(part[p]), len(space.items[i].words)
             r = int(row[w])
             low, high = max(int(upto[r]), int(at[w]) - many), min(int(upto[r + 1]), int(end[w]) + many)
@@ -249,6 +271,15 @@ def find(space: Space, masks: list[tuple[dict, dict]], hashes: np.ndarray, upto:
                 own[-1][1] = max(own[-1][1], high)
             else:
                 own.append([low, high])
+    for i, flags in space.plain:
+        many = len(space.items[i].words)
+        held = np.concatenate([[0], np.cumsum(flags[term])])
+        blocks = -(-counts // many)
+        row = np.repeat(np.arange(len(counts)), blocks)
+        at = upto[row] + (np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * many
+        end = np.minimum(at + 2 * many, upto[row + 1])
+        for w in np.flatnonzero(held[end] - held[at] >= WITH_ANSWER * many):
+            found.setdefault((int(row[w]), i), []).append([int(at[w]), int(end[w])])
     out = []
     for (r, i), regions in found.items():
         item, (mine, answer) = space.items[i], masks[i]
