@@ -2,7 +2,7 @@
 
 Terms are the benchmark's words, weighed by inverse document frequency over the
 whole corpus; words that are too common weigh nothing. The rows of a term matrix
-are the corpus' passages and the benchmark's items. Its dominant right singular
+are the corpus' passages and the benchmark's items, these cut into pieces of a passage's length. Its dominant right singular
 space comes from a randomised sketch: each task multiplies its passages with a
 random matrix and back, Spark adds up the products, and an orthonormal basis of
 the sum spans the space. Items and overlapping passages are projected on it; a
@@ -199,7 +199,7 @@ def fit_space(documents: DataFrame, items: list[Item], dimensions: int = DIMENSI
     theirs = sketch(documents, terms, weights, random)
     both = sum(x / max(np.linalg.norm(x), 1e-9) for x in (ours, theirs))
     basis = np.linalg.qr(both)[0].astype(np.float32)
-    cut = list(enumerate(own))
+    cut = [(i, o[at : at + PASSAGE]) for i, o in enumerate(own) for at in starts_of(len(o))]
     item_of = np.array([i for i, _ in cut])
     latent = np.array([(weights[o][:, None] * basis[o]).sum(0) for _, o in cut])
     ordinary = (times * weights.astype(float) ** 2).sum() / max(words, 1)
@@ -214,6 +214,11 @@ def fit_space(documents: DataFrame, items: list[Item], dimensions: int = DIMENSI
     return Space(terms, weights, basis, items, (latent / np.maximum(lengths, 1e-9)[:, None])[heavy], lengths[heavy], item_of[heavy], plain)
 
 
+def starts_of(many: int) -> list[int]:
+    """Where the pieces of an item begin: all are of a passage's length, if the item is."""
+    return sorted({min(at, max(0, many - PASSAGE)) for at in range(0, max(1, many - PASSAGE + STEP), STEP)})
+
+
 def common_subsequence(words: list[int], masks: dict[int, int], length: int) -> int:
     """Length of the longest common subsequence with an item, whose words' places are bits."""
     full = (1 << length) - 1

@@ -25,3 +25,22 @@ def test_an_item_that_a_third_or_all_of_the_rows_hold(spark, every):
     out = D.find_leaks(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string"), dimensions=32)
     got = {x["doc_id"]: x["item_id"] for x in out.where("contaminated").collect()}
     assert got == {i: 4 if i < 1000 else 7 for i, _ in rows if i % every == 0 or i >= 1000}
+
+
+def test_items_longer_than_a_passage(spark):
+    r = random.Random(32)
+    items = [(n, prose(r, n)) for n in (33, 59, 160, 200, 300, 700)]
+    rows, want = [(i, prose(r, 400)) for i in range(60)], {}
+    for k, (n, text) in enumerate(items):
+        words = text.split()
+        for j, part in enumerate((words, words[: n * 2 // 3 + 1], words[n - n * 2 // 3 - 1 :], words[: n // 2 - 10])):
+            rows.append((100 * (k + 1) + j, inserted(r, 300, part)))
+            want |= {100 * (k + 1) + j: n} if j < 3 else {}
+    out = D.find_leaks(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string"), dimensions=64)
+    assert {x["doc_id"]: x["item_id"] for x in out.where("contaminated").collect()} == want
+
+
+def test_pieces_cover_an_item():
+    for n in (1, 31, 32, 33, 48, 49, 160):
+        starts = D.starts_of(n)
+        assert {x for a in starts for x in range(a, min(n, a + D.PASSAGE))} == set(range(n))
