@@ -3,9 +3,10 @@
 Base detectors look at the text as it is. Then transducers rewrite the text and
 keep, for every character they write, the stretch of source characters it stands
 for: look-alike letters and digits of other scripts become ASCII, runs of
-spelled digits become digits, and spelled at and dot signs between address parts
-become the signs. The same detectors read the rewritten text; what they find is
-mapped back to source characters and added where no base span lies.
+spelled digits become digits, and spelled at and dot signs between address parts,
+or dot signs between groups of digits, become the signs. The same detectors read
+the rewritten text; what they find is mapped back to source characters and added
+where no base span lies.
 """
 
 from __future__ import annotations
@@ -49,13 +50,16 @@ _ONE_DIGIT = re.compile(rf"(?i){_DIGIT}")
 _PLUS = re.compile(r"(?i)(?<![A-Za-z])plus\s+(?=[0-9])")
 _AT = re.compile(r"(?i)(?<=[A-Za-z0-9])(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+|\s*@\s+|\s+@\s*)(?=[A-Za-z0-9])")
 _DOT = re.compile(r"(?i)(?<=[A-Za-z0-9])(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)(?=[A-Za-z0-9])")
-_WORDED = re.compile(r"(?i)(?:[\[({<]\s*(?:dot|\.|at|@)\s*[\])}>])|\sdot\s|\s@|@\s")
+#: Holds in every text in which an address or digit groups have a spelled sign.
+_WORDED = re.compile(r"(?i)(?:[\[({<]\s*(?:dot|\.|at|@)\s*[\])}>])|\sdot\s|\s@|@\s|\sat\s+[A-Za-z0-9-]+\.[A-Za-z0-9-]")
 #: An address that has spelled signs: parts joined by spelled or plain dots, a spelled or plain at sign, parts with at least one dot.
 _ADDRESS = re.compile(
     r"(?i)[A-Za-z0-9_%+-]+(?:(?:\.|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)[A-Za-z0-9_%+-]+){0,4}"
     r"(?:@|\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+|\s*@\s+|\s+@\s*)"
     r"[A-Za-z0-9-]+(?:(?:\.|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)[A-Za-z0-9-]+){1,4}"
 )
+#: Groups of digits with spelled or plain dots between them.
+_GROUPS = re.compile(r"(?i)(?<![0-9])[0-9]++(?:(?:\.|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)[0-9]++)+")
 
 
 def _fold_table() -> np.ndarray:
@@ -152,6 +156,8 @@ def rewrite(text: str) -> Rewritten:
         signs = []
         for m in _ADDRESS.finditer(out.text):
             signs += [(s.start(), s.end(), c) for p, c in ((_AT, "@"), (_DOT, ".")) for s in p.finditer(out.text, m.start(), m.end())]
+        for m in _GROUPS.finditer(out.text):
+            signs += [(s.start(), s.end(), ".") for s in _DOT.finditer(out.text, m.start(), m.end())]
         kept, at = [], 0
         for s in sorted(signs):
             if s[0] >= at:
@@ -161,11 +167,12 @@ def rewrite(text: str) -> Rewritten:
     return out
 
 
-_SPELLED_HINT = re.compile(r"(?i)(?:zero|one|two|three|four|five|six|seven|eight|nine)[\s,.-]{1,3}(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)[\s,.-]")
+#: Holds in every text with enough spelled digits in a row.
+_SPELLED_HINT = re.compile(rf"(?i){_DIGIT}[\s,.-]{{1,3}}{_DIGIT}[\s,.-]")
 
 
 def find_all(text: str, digits: bool, odd: bool, spelled: bool, worded: bool) -> tuple[list, list]:
-    """Base spans and added spans."""
+    """Base spans and added spans; the flags say which transducers may have something to rewrite."""
     base = detect(text, digits) if digits or "@" in text else []
     added: list = []
     if odd or spelled or worded:
@@ -211,11 +218,10 @@ def scan(rows: pa.RecordBatch) -> list:
         if not text:
             continue
         spelled = _SPELLED_HINT.search(text) is not None
-        lower = text if text.islower() else text.lower()
-        worded = "dot" in lower and _WORDED.search(text) is not None or ("at]" in lower or "at)" in lower or "at}" in lower or at[i] and _WORDED.search(text) is not None)
+        worded = _WORDED.search(text) is not None or bool(digit[i]) and _PLUS.search(text) is not None
         if not (digit[i] or odd[i] or at[i] or spelled or worded):
             continue
-        base, added = find_all(text, bool(digit[i]), bool(odd[i]), spelled, bool(worded))
+        base, added = find_all(text, bool(digit[i]), bool(odd[i]), spelled, worded)
         if base:
             for _, kind, _ in base:
                 counts[kind, i] += 1
