@@ -9,6 +9,7 @@ number of errors and gives the span.
 
 from __future__ import annotations
 
+from bisect import bisect, insort
 from functools import lru_cache
 
 import ahocorasick
@@ -83,34 +84,29 @@ def squeezed(words: list[bytes]) -> str:
 def fuzzy_spans(text: str) -> list[tuple[int, int, str, int]]:
     """(start, end, label, errors) of notices in a text of lower-case words with single spaces.
 
-    Stretches around seeds of the same notice that overlap are searched as one;
-    of matches that overlap the one with fewest errors is kept, then the first.
+    Each seed's own surroundings are searched, once for each notice and place: they
+    hold the notice and its errors but no second one, so the best match there is
+    the notice that the seed is of, and time grows with the number of seeds. Of
+    matches that overlap the one with fewest errors is kept, then the first.
     """
     automaton, patterns = machinery()
-    stretches: dict[int, list[list[int]]] = {}
     notices = list(NOTICES)
+    around: set[tuple[int, int, int]] = set()
     for last, (length, places) in automaton.iter(text):
         start = last + 1 - length
         for n, at in places:
             spare = errors_of(notices[n])
-            low, high = max(0, start - at - spare), min(len(text), start - at + len(notices[n]) + spare)
-            own = stretches.setdefault(n, [])
-            if own and low <= own[-1][1] and own[-1][0] <= low:
-                own[-1][1] = max(own[-1][1], high)
-            else:
-                own.append([low, high])
-    found = []
-    for n, own in stretches.items():
-        for low, high in own:
-            at = low
-            while m := patterns[n].search(text, at, high):
-                found.append((m.start(), m.end(), NOTICES[notices[n]], sum(m.fuzzy_counts)))
-                at = max(m.end(), m.start() + 1)
+            around.add((n, max(0, start - at - spare), min(len(text), start - at + len(notices[n]) + spare)))
+    found: set[tuple[int, int, int, str]] = set()
+    for n, low, high in around:
+        if m := patterns[n].search(text, low, high):
+            found.add((sum(m.fuzzy_counts), m.start(), -m.end(), NOTICES[notices[n]]))
     kept: list[tuple[int, int, str, int]] = []
-    for a, b, label, errors in sorted(found, key=lambda f: (f[3], f[0], -f[1], f[2])):  # of notices that overlap, that with fewest errors
-        if all(b <= c or a >= d for c, d, _, _ in kept):
-            kept.append((a, b, label, errors))
-    return sorted(kept)
+    for errors, a, b, label in sorted(found):  # of notices that overlap, that with fewest errors
+        i = bisect(kept, (a, -b, label, errors))
+        if (i == 0 or kept[i - 1][1] <= a) and (i == len(kept) or kept[i][0] >= -b):
+            insort(kept, (a, -b, label, errors))
+    return kept
 
 
 def phrase_places(words: list[bytes]) -> list[tuple[int, str]]:
