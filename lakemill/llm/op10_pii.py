@@ -48,18 +48,22 @@ _DIGIT = "(?:" + "|".join(DIGIT_WORDS) + ")"
 _SPELLED = re.compile(rf"(?i)(?<![A-Za-z]){_DIGIT}(?:[\s,.-]{{1,3}}{_DIGIT}(?![A-Za-z])){{{FEWEST_SPELLED - 1},}}(?![A-Za-z])")
 _ONE_DIGIT = re.compile(rf"(?i){_DIGIT}")
 _PLUS = re.compile(r"(?i)(?<![A-Za-z])plus\s+(?=[0-9])")
-_AT = re.compile(r"(?i)(?<=[A-Za-z0-9])(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+|\s*@\s+|\s+@\s*)(?=[A-Za-z0-9])")
-_DOT = re.compile(r"(?i)(?<=[A-Za-z0-9])(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)(?=[A-Za-z0-9])")
+#: A spelled sign has at most so many blanks inside and on each side; so no search takes longer than a text's length asks for.
+_GAP, _BLANKS = r"\s{0,3}", r"\s{1,3}"
+_BRACKETED_AT, _BRACKETED_DOT = (rf"{_GAP}[\[({{<]{_GAP}(?:{sign}){_GAP}[\])}}>]{_GAP}" for sign in ("at|@", r"dot|\."))
+_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9])(?:{_BRACKETED_AT}|{_BLANKS}at{_BLANKS}|{_GAP}@{_BLANKS}|{_BLANKS}@{_GAP})(?=[A-Za-z0-9])")
+_DOT = re.compile(rf"(?i)(?<=[A-Za-z0-9])(?:{_BRACKETED_DOT}|{_BLANKS}dot{_BLANKS})(?=[A-Za-z0-9])")
 #: Holds in every text in which an address or digit groups have a spelled sign.
-_WORDED = re.compile(r"(?i)(?:[\[({<]\s*(?:dot|\.|at|@)\s*[\])}>])|\sdot\s|\s@|@\s|\sat\s+[A-Za-z0-9-]+\.[A-Za-z0-9-]")
-#: An address that has spelled signs: parts joined by spelled or plain dots, a spelled or plain at sign, parts with at least one dot.
-_ADDRESS = re.compile(
-    r"(?i)[A-Za-z0-9_%+-]+(?:(?:\.|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)[A-Za-z0-9_%+-]+){0,4}"
-    r"(?:@|\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+|\s*@\s+|\s+@\s*)"
-    r"[A-Za-z0-9-]+(?:(?:\.|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)[A-Za-z0-9-]+){1,4}"
-)
+_WORDED = re.compile(rf"(?i)[\[({{<]{_GAP}(?:dot|\.|at|@){_GAP}[\])}}>]|\sdot\s|\s@|@\s|\sat{_BLANKS}[A-Za-z0-9-]++\.[A-Za-z0-9-]")
+#: Where an address may have its at sign, plain or spelled.
+_ANY_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9_%+-])(?:@|{_BRACKETED_AT}|{_BLANKS}at{_BLANKS}|{_GAP}@{_BLANKS}|{_BLANKS}@{_GAP})(?=[A-Za-z0-9-])")
+_ANY_DOT = rf"(?:\.|{_BRACKETED_DOT}|{_BLANKS}dot{_BLANKS})"
+#: What follows the at sign: parts with at least one dot, plain or spelled.
+_AFTER_AT = re.compile(rf"(?i)[A-Za-z0-9-]++(?:{_ANY_DOT}[A-Za-z0-9-]++){{1,4}}")
+#: Characters of a local part between dots, and the most dots in one.
+_PART, _PARTS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-"), 4
 #: Groups of digits with spelled or plain dots between them.
-_GROUPS = re.compile(r"(?i)(?<![0-9])[0-9]++(?:(?:\.|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)[0-9]++)+")
+_GROUPS = re.compile(rf"(?i)(?<![0-9])[0-9]++(?:{_ANY_DOT}[0-9]++)+")
 
 
 def _fold_table() -> np.ndarray:
@@ -141,6 +145,30 @@ class Rewritten:
         self.begin, self.end = np.concatenate([*begin, self.begin[at:]]), np.concatenate([*end, self.end[at:]])
 
 
+def addresses(text: str) -> list[tuple[int, int]]:
+    """Stretches that hold an address with plain or spelled signs, from each at sign outwards; stretches don't overlap."""
+    before = {m.end(): m.start() for m in _DOT.finditer(text)}
+    found, floor = [], 0
+    for m in _ANY_AT.finditer(text):
+        after = _AFTER_AT.match(text, m.end())
+        if not after or m.start() <= floor:
+            continue
+        begin = at = m.start()
+        for _ in range(_PARTS + 1):
+            low = at
+            while low > floor and text[low - 1] in _PART:
+                low -= 1
+            if low == at:  # nothing stands before the sign
+                break
+            begin = low
+            at = low - 1 if low > floor and text[low - 1] == "." else before.get(low, -1)
+            if at <= floor:
+                break
+        found.append((begin, after.end()))
+        floor = after.end()
+    return found
+
+
 def rewrite(text: str) -> Rewritten:
     """The transducers, one after the other."""
     out = Rewritten(text)
@@ -154,8 +182,8 @@ def rewrite(text: str) -> Rewritten:
     out.replace([(m.start(), m.end(), "+") for m in _PLUS.finditer(out.text)])
     if _WORDED.search(out.text):
         signs = []
-        for m in _ADDRESS.finditer(out.text):
-            signs += [(s.start(), s.end(), c) for p, c in ((_AT, "@"), (_DOT, ".")) for s in p.finditer(out.text, m.start(), m.end())]
+        for a, b in addresses(out.text):
+            signs += [(s.start(), s.end(), c) for p, c in ((_AT, "@"), (_DOT, ".")) for s in p.finditer(out.text, a, b)]
         for m in _GROUPS.finditer(out.text):
             signs += [(s.start(), s.end(), ".") for s in _DOT.finditer(out.text, m.start(), m.end())]
         kept, at = [], 0
@@ -241,7 +269,7 @@ def find_personal_data(documents: DataFrame, drop: tuple[str, ...] = ()) -> Data
     exclusive; spans lists base and added ones; n_added counts the added ones. A
     null or empty text has no spans. Repeated rows are scanned alike, other
     columns pass through, a column named as an added one is replaced. Whole
-    texts are read, in time that grows with their length.
+    texts are read, in time in proportion to their length.
     """
     return extend(documents, scan, ADDED, drop)
 
