@@ -24,8 +24,7 @@ def write_snapshot(spark: SparkSession, folder: str, fresh: dict[str, DataFrame]
         if name not in fresh:
             continue
         path = f"{folder}/{name}"
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+        there = store.restored(spark, path)
         store.replace_table(spark, store.upserted(spark.read.parquet(path), fresh[name], keys) if there else fresh[name], path)
         written[name] = fresh[name]
     return store.run_log(spark, run, written)

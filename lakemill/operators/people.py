@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lakemill.functions import text as T
 from lakemill.operators.views import keep_first
+from lakemill.session import shared_folder
 
 ACTIVE = ("pending", "registered", "qualified")
 
@@ -98,17 +99,21 @@ def list_order() -> list[Column]:
 
 
 def numbered(items: DataFrame) -> DataFrame:
-    """Items with their place in the list, by groups: a group is a status, role and number of strokes.
+    """Items with their place in the list.
 
-    Only counts of groups are summed over all; no window holds the whole list.
+    The list is sorted in ranges over all its columns, so a large group of equal
+    status, role and strokes has several; each range is numbered by itself and
+    begins where the ranges before it end.
     """
-    status, role, strokes, *rest = list_order()
-    rows = items.withColumns({"o1": status, "o2": role, "o3": strokes})
-    groups = rows.groupBy("o1", "o2", "o3").count()
-    earlier = Window.orderBy("o1", "o2", "o3").rowsBetween(Window.unboundedPreceding, -1)
-    starts = groups.withColumn("start", F.coalesce(F.sum("count").over(earlier), F.lit(0))).drop("count")
-    inside = Window.partitionBy("o1", "o2", "o3").orderBy(*rest)
-    return rows.join(F.broadcast(starts), ["o1", "o2", "o3"]).withColumn("place", F.col("start") + F.row_number().over(inside)).drop("o1", "o2", "o3", "start")
+    order = list_order()
+    keys = [f"o{i}_" for i in range(len(order))]
+    stored = items.withColumns(dict(zip(keys, order, strict=True))).repartitionByRange(*keys).withColumn("range_", F.spark_partition_id())
+    shared_folder(items.sparkSession)
+    stored = stored.checkpoint()  # the ranges are drawn from a sample: they must be the same in both uses
+    earlier = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stored.groupBy("range_").count().withColumn("start_", F.coalesce(F.sum("count").over(earlier), F.lit(0))).select(F.col("range_").alias("r_"), "start_")  # a row a partition
+    inside = Window.partitionBy("range_").orderBy(*keys)
+    return stored.join(F.broadcast(starts), F.col("range_") == F.col("r_")).withColumn("place", F.col("start_") + F.row_number().over(inside)).drop(*keys, "range_", "r_", "start_")
 
 
 def page(items: DataFrame, number: int, size: int = 20) -> DataFrame:
@@ -128,11 +133,7 @@ def fold_keys(items: DataFrame) -> DataFrame:
 
 def groups_by_key(keys: DataFrame, rounds: int = 40) -> DataFrame:
     """(person_id, root): items connected by keys. A round passes the smallest id through the keys; checkpoints cut the lineage."""
-    spark = keys.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lakemill-checkpoint-"))
+    shared_folder(keys.sparkSession)
     keys = keys.checkpoint()
     roots = keys.select("person_id", F.col("person_id").alias("root")).distinct()
     for _ in range(rounds):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,41 +129,77 @@ def party_people(people: DataFrame, parties: DataFrame) -> DataFrame:
     return labels.join(p, hit).groupBy("party_id").agg(F.sum("n").alias("n"))
 
 
-def mentions(documents: DataFrame, names: DataFrame, block: int = 50_000) -> DataFrame:
+#: Characters of a name by which texts and names meet; bits of the table that tells which may meet; texts of one numpy step, in characters.
+GRAM, GRAM_BITS, STEP = 8, 24, 1 << 18
+
+
+def mentions(documents: DataFrame, names: DataFrame) -> DataFrame:
     """(doc_id, name_id): names of two characters and more that a text contains as it stands.
 
-    A block of names makes one automaton that each task runs over its texts
-    once; more names than a block take more passes over the texts.
+    A name meets texts by one stretch of at most GRAM characters of it, the one
+    with the smallest hash, so that names which begin alike don't all meet the
+    same texts. Names and texts are joined by that hash and then compared; neither
+    is collected. A table of fixed size, which says what hashes names have at all,
+    keeps most stretches of texts from moving.
     """
+    kinds = f"{documents.schema['doc_id'].dataType.simpleString()}", f"{names.schema['name_id'].dataType.simpleString()}"
     names = names.where(F.length("name") >= 2).select("name_id", "name").distinct()
-    blocks = max(1, -(-names.count() // block))
-    found = None
-    for i in range(blocks):
-        own = [(r["name_id"], r["name"]) for r in names.where(F.pmod(F.xxhash64("name_id", "name"), F.lit(blocks)) == i).collect()]
-        part = documents.select("doc_id", "text").mapInArrow(_finder(own), f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, name_id {names.schema['name_id'].dataType.simpleString()}")
-        found = part if found is None else found.unionByName(part)
-    return found.distinct()
+    keyed = names.mapInArrow(_grams_of_names, f"name_id {kinds[1]}, name string, gram long")
+    flags, sizes = np.zeros(1 << GRAM_BITS >> 3, np.uint8), set()
+    for row in keyed.select("name", "gram").mapInArrow(_flags, "flags binary, sizes array<int>").toLocalIterator():  # a table of fixed size from each task
+        flags |= np.frombuffer(row["flags"], np.uint8)
+        sizes |= set(row["sizes"])
+    if not sizes:
+        return keyed.select(F.lit(None).cast(kinds[0]).alias("doc_id"), "name_id").where(F.lit(False))
+    met = documents.select("doc_id", "text").mapInArrow(_grams_of_texts(flags, sorted(sizes)), f"m_id {kinds[0]}, gram long")
+    pairs = met.join(keyed, "gram").select("m_id", "name_id", "name").distinct()
+    return documents.select("doc_id", "text").join(pairs, F.col("doc_id") == F.col("m_id")).where(F.expr("contains(text, name)")).select("doc_id", "name_id").distinct()
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _gram_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each stretch of so many characters."""
+    out = np.full(max(0, len(codes) - size + 1), size, np.uint64)
+    for k in range(size):
+        out = (out ^ codes[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _grams_of_names(batches):
+    for rows in batches:
+        names = rows.column(1).to_pylist()
+        grams = [int(_gram_hashes(c, min(GRAM, len(c))).min().view(np.int64)) for c in map(_codes, names)]
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(grams, pa.int64())], names=["name_id", "name", "gram"])
+
+
+def _flags(batches):
+    flags, sizes = np.zeros(1 << GRAM_BITS, bool), set()
+    for rows in batches:
+        flags[(rows.column(1).to_numpy().view(np.uint64) >> np.uint64(64 - GRAM_BITS)).astype(np.int64)] = True
+        sizes |= {min(GRAM, len(n)) for n in rows.column(0).to_pylist()}
+    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(flags).tobytes()], pa.binary()), pa.array([sorted(sizes)], pa.list_(pa.int32()))], names=["flags", "sizes"])
 
 
-def _finder(names: list[tuple[object, str]]):
+def _grams_of_texts(flags: np.ndarray, sizes: list[int]):
     def run(batches):
-        import ahocorasick
-        import pyarrow as pa
-
-        by_name: dict[str, list] = {}
-        for key, name in names:
-            by_name.setdefault(name, []).append(key)
-        automaton = ahocorasick.Automaton()
-        for name, keys in by_name.items():
-            automaton.add_word(name, keys)
-        automaton.make_automaton()
+        bits = np.unpackbits(flags).astype(bool)
         for rows in batches:
-            at, keys = [], []
+            at, grams = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for i, text in enumerate(rows.column(1).to_pylist()):
-                hits = {k for _, found in automaton.iter(text) for k in found} if text and by_name else ()
-                at += [i] * len(hits)
-                keys += hits
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(at, pa.int64())), pa.array(keys, pa.int64() if not keys or isinstance(keys[0], int) else pa.string())], names=["doc_id", "name_id"])
+                codes = _codes(text or "")
+                found = [np.zeros(0, np.uint64)]
+                for start in range(0, len(codes), STEP):
+                    part = codes[start : start + STEP + GRAM]
+                    for size in sizes:
+                        h = _gram_hashes(part, size)
+                        found.append(np.unique(h[bits[(h >> np.uint64(64 - GRAM_BITS)).astype(np.int64)]]))
+                grams.append(np.unique(np.concatenate(found)))
+                at.append(np.full(len(grams[-1]), i))
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(grams).view(np.int64))], names=["m_id", "gram"])
 
     return run
 

@@ -33,14 +33,50 @@ def deleted(old: DataFrame, where: Column) -> DataFrame:
 
 
 def replace_table(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Writes a table anew, also from itself: beside the old one first, then in its place by a rename of the file system."""
-    fresh = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    """Writes a table anew, also from itself.
+
+    The new table is written beside the old one, the old one is renamed aside,
+    the new one takes its place, and only then the old one is deleted. A rename
+    that fails raises and the old table is put back; after a crash between the
+    renames ``restored`` puts it back.
+    """
+    fs, path = _file_system(spark, path), path.rstrip("/")
+    restored(spark, path)
+    fresh, aside = f"{path}-{uuid.uuid4().hex}", f"{path}{_ASIDE}"
     df.write.parquet(fresh)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    target, source = hadoop(path), hadoop(fresh)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(target, True)
-    fs.rename(source, target)
+    there = fs.exists(_path(spark, path))
+    if there and not fs.rename(_path(spark, path), _path(spark, aside)):
+        raise OSError(f"{path} could not be moved aside")
+    if not fs.rename(_path(spark, fresh), _path(spark, path)):
+        if there:
+            fs.rename(_path(spark, aside), _path(spark, path))
+        raise OSError(f"{fresh} could not take the place of {path}")
+    if there and not fs.delete(_path(spark, aside), True):
+        raise OSError(f"{aside} could not be deleted")
+
+
+#: Ends the name of a table that is being replaced.
+_ASIDE = ".replaced"
+
+
+def restored(spark: SparkSession, path: str) -> bool:
+    """Whether a table is there; one that a crash left moved aside is put back first."""
+    fs, path = _file_system(spark, path), path.rstrip("/")
+    aside, target = _path(spark, path + _ASIDE), _path(spark, path)
+    if fs.exists(aside):
+        if fs.exists(target):
+            fs.delete(aside, True)
+        elif not fs.rename(aside, target):
+            raise OSError(f"{aside} could not be put back")
+    return bool(fs.exists(target))
+
+
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def run_log(spark: SparkSession, name: str, counts: dict[str, DataFrame]) -> DataFrame:

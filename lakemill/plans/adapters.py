@@ -157,6 +157,37 @@ TABLES = {
                doc_id % 10 = 7 AS is_public, CASE doc_id % 4 WHEN 0 THEN 'director' WHEN 1 THEN 'friend' WHEN 2 THEN '' ELSE 'donor' END AS guessed_relation_type,
                CASE WHEN doc_id % 5 = 0 THEN '123' ELSE '12345678' END AS unified_business_no, 'row-' || CAST(doc_id AS STRING) AS id, CASE WHEN doc_id % 2 = 0 THEN 'raw-' || CAST(doc_id AS STRING) END AS source_record_id
         FROM {documents}""",
+    "archive_cells": """
+        SELECT p_partkey AS n, CAST(2010 + p_partkey % 14 AS STRING) || '年' || CASE p_partkey % 4 WHEN 0 THEN '/總統/' WHEN 1 THEN '/區域立委/' WHEN 2 THEN '/C1/' ELSE '/T1/' END AS folder, CASE WHEN p_partkey % 3 = 0 THEN '10' ELSE '63' END AS county,
+               CASE WHEN p_partkey % 3 = 0 THEN '002' ELSE '000' END AS sub, lpad(CAST(1 + p_partkey % 5 AS STRING), 2, '0') AS district, CAST(1 + p_partkey % 9 AS STRING) AS number, p_name AS name, CAST(1 + p_partkey % 3 AS STRING) AS party_code,
+               CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN '2' ELSE '1' END AS gender, CASE WHEN p_partkey % 7 = 0 THEN '*' ELSE '' END AS elected, CASE WHEN p_partkey % 11 = 0 THEN 'Y' ELSE '' END AS vice
+        FROM {part}""",
+    "officials": """
+        SELECT c_custkey AS n, CASE WHEN c_custkey % 3 = 0 THEN '是' ELSE '否' END AS leaveFlag, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE '11' END AS term, c_name AS name, CASE WHEN c_custkey % 5 = 0 THEN 'Al ' || c_mktsegment ELSE ' ' END AS ename,
+               CASE c_custkey % 3 WHEN 1 THEN '女' ELSE '男' END AS sex, c_mktsegment AS partyGroup, 'NATION_' || CAST(c_nationkey AS STRING) AS areaName, 'd' || CAST(c_custkey % 9 AS STRING) AS onboardDate,
+               CASE WHEN c_custkey % 2 = 0 THEN 'http://p.example/' || lpad(CAST(c_custkey AS STRING), 5, '0') || '.jpg' ELSE '' END AS picUrl, CASE WHEN c_custkey % 7 = 0 THEN 'law' ELSE '' END AS degree, ' served ' AS experience
+        FROM {customer}""",
+    "delivered_json": """
+        SELECT c_custkey AS n, c_name AS name, c_mktsegment AS label, '[{{"date":"d","list":["TPD,' || CAST(100 + c_custkey % 14 AS STRING) || ',訴,' || CAST(c_custkey % 500 AS STRING) || ',20210' || CAST(1 + c_custkey % 9 AS STRING) || '11","A,1,b,2,3"]}}]' AS changes,
+               '{{"groups":[{{"name":"' || c_mktsegment || '","candidates":[{{"no":' || CAST(c_custkey AS STRING) || '}},{{"no":' || CAST(c_custkey + 1 AS STRING) || '}}]}},{{"name":"none","candidates":[]}}]}}' AS nested,
+               CASE c_custkey % 9 WHEN 8 THEN '["' || c_name || '",{{"id":"' || CAST(c_custkey AS STRING) || '","name":" ' || c_name || ' "}}]'
+                    ELSE 'var x = {{"' || CASE c_custkey % 9 WHEN 0 THEN 'targets' WHEN 1 THEN 'people' WHEN 2 THEN 'records' WHEN 3 THEN 'items' WHEN 4 THEN 'data' WHEN 5 THEN 'results' WHEN 6 THEN 'rows' ELSE 'other' END
+                         || '":[{{"personId":"' || CAST(c_custkey AS STRING) || '","name":"' || c_name || '"}},"' || c_mktsegment || '"]}};' END AS wrapped
+        FROM {customer}""",
+    "shapes": """
+        SELECT 'n' || CAST(n_nationkey AS STRING) AS feature, CAST(n_nationkey AS INT) AS n, CASE WHEN n_nationkey % 2 = 0 THEN
+                 '{{"type":"Polygon","coordinates":[[[' || CAST(n_nationkey AS STRING) || ',0],[' || CAST(n_nationkey + 2 AS STRING) || ',1],[' || CAST(n_nationkey AS STRING) || ',3.256]]]}}'
+               ELSE '{{"type":"MultiPolygon","coordinates":[[[[' || CAST(n_nationkey AS STRING) || ',5],[6,6]]],[[[-7,7],[' || CAST(n_nationkey AS STRING) || ',9.5]]]]}}' END AS geometry
+        FROM {nation}""",
+    "entity_targets": f"""
+        SELECT {_key("p", "p_partkey")} AS target_id, {_NAME.format("p_partkey")} AS name, {_GENDER.format("p_partkey")} AS gender, {_POSITION.format("p_partkey")} AS position, CASE WHEN p_partkey % 4 = 0 THEN 'school ' || p_brand END AS education,
+               CASE WHEN p_partkey % 3 = 0 THEN 'office ' || p_type END AS experience, 'NATION_' || CAST(p_size % 25 AS STRING) AS district, p_brand AS party
+        FROM {{part}}""",
+    "entities": f"""
+        SELECT {_key("p", "p_partkey")} AS target_id, 'Q' || CAST(p_partkey AS STRING) AS qid, CASE WHEN p_partkey % 5 = 0 THEN 'nobody' ELSE p_name || ' ' || p_type END AS label, CASE p_partkey % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'female' ELSE 'unknown' END AS gender,
+               CASE p_partkey % 4 WHEN 0 THEN 'a painter' WHEN 1 THEN 'politician of ' || p_brand ELSE 'mayor of NATION_' || CAST(p_size % 25 AS STRING) END AS description, CASE WHEN p_partkey % 2 = 0 THEN 'school ' || p_brand ELSE 'other school' END AS school,
+               'office ' || p_type AS post, CASE WHEN p_partkey % 6 = 0 THEN '1960-01-02' END AS birth_date, CASE WHEN p_partkey % 8 = 0 THEN 'spouse' END AS relation
+        FROM {{part}}""",
     "names": "SELECT item_id AS name_id, text AS name FROM {benchmark}",
     "scraped": "SELECT page_id, url, html FROM {pages}",
     "texts": "SELECT doc_id, text FROM {documents}",

@@ -40,7 +40,7 @@ def register(name: str, make: Callable[[Adapted], DataFrame], sql: str | None =
         SQL[name] = duck(sql, **views)
 
 
-from lakemill.plans import claim_queries, enrichment_queries, identity_queries, report_queries, serving_queries, text_queries, view_queries  # noqa: E402
+from lakemill.plans import claim_queries, enrichment_queries, identity_queries, report_queries, serving_queries, source_queries, text_queries, view_queries  # noqa: E402
 
-for module in (view_queries, identity_queries, claim_queries, enrichment_queries, report_queries, serving_queries, text_queries):
+for module in (view_queries, identity_queries, claim_queries, enrichment_queries, report_queries, serving_queries, source_queries, text_queries):
     module.add(register)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -24,3 +27,31 @@ def session(name: str = "lakemill", master: str = "local[*]", partitions: int =
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's tables; the path may be one that only Spark opens."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one that spark.checkpoint.dir names, and checkpoints' own.
+
+    Only a session on one machine gets a temporary one where none is set; on a
+    cluster that would lose what executors write, so it raises.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="lakemill-checkpoint-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, in the session's own subfolder; see clear_scratch."""
+    return f"{shared_folder(spark)}/lakemill-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes what this session has put on scratch paths; to be called when its results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/lakemill-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -57,16 +57,26 @@ def _parsed(text: str) -> list[list[str]]:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of files in UTF-8 or Big5."""
+    return decoded_texts(spark.read.format("binaryFile").load(path))
+
+
+def decoded_texts(files: DataFrame) -> DataFrame:
+    """(path, text) of files given as (path, content)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             yield pd.DataFrame({"path": part["path"], "text": [decoded(bytes(b)) for b in part["content"]]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, text string")
+    return files.select("path", "content").mapInPandas(run, "path string, text string")
 
 
 def read_zipped_rows(spark: SparkSession, path: str, suffix: str = ".csv") -> DataFrame:
     """Cells of all delimited files in the archives at a path: (path, entry, line, cells). Names in old archives are in Big5."""
+    return zipped_rows(spark.read.format("binaryFile").load(path), suffix)
+
+
+def zipped_rows(archives: DataFrame, suffix: str = ".csv") -> DataFrame:
+    """The same of archives given as (path, content)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -77,7 +87,7 @@ def read_zipped_rows(spark: SparkSession, path: str, suffix: str = ".csv") -> Da
                             rows = _parsed(decoded(archive.read(info)))
                             yield pd.DataFrame({"path": source, "entry": info.filename, "line": range(len(rows)), "cells": rows}, columns=["path", "entry", "line", "cells"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, ROW)
+    return archives.select("path", "content").mapInPandas(run, ROW)
 
 
 def named_cells(rows: DataFrame, names: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakemill.operators.store import replace_table, upserted
+from lakemill.operators.store import replace_table, restored, upserted
 
 
 def latest_rows(batch: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -29,8 +29,7 @@ def ingest_available(spark: SparkSession, source: str, schema: str, table: str,
 
     def put(batch: DataFrame, number: int) -> None:
         rows = latest_rows(batch.dropna(subset=keys), keys, order)
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
-        if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        if restored(spark, table):
             rows = upserted(spark.read.parquet(table), rows, keys)
         replace_table(spark, rows, table)
         taken.append(number)

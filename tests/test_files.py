@@ -58,10 +58,13 @@ def test_rings_bounds_and_paths(spark):
     assert files.svg_path(points).where("feature = 'a'").first()["path"] == "M0.0 0.0 L2.0 0.0 L2.0 1.23 L0.0 0.0 Z"
 
 
-def test_text_mentions_in_blocks(spark):
-    from lakemill.operators.serving import mentions
-
-    docs = spark.createDataFrame([(1, "the red fox"), (2, None), (3, "")], "doc_id long, text string")
-    names = spark.createDataFrame([(1, "red"), (2, "fox"), (3, "x"), (4, "blue")], "name_id long, name string")
-    for block in (1, 100):
-        assert {tuple(r) for r in mentions(docs, names, block).collect()} == {(1, 1), (1, 2)}
+def test_text_mentions(spark):
+    from lakemill.operators import serving
+
+    texts = [(1, "the red fox"), (2, None), (3, ""), (4, "臺北市議員名冊 and a very long name that nobody has"), (5, "x" * 300_000 + "needle in it"), (1, "the red fox")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    names = spark.createDataFrame([(1, "red"), (2, "fox"), (3, "x"), (4, "blue"), (5, "議員名"), (6, "a very long name that"), (7, "a very long name tha!"), (8, "needle in"), (8, "ox"), (9, None)], "name_id long, name string")
+    want = {(d, n) for d, t in texts for n, name in [tuple(r) for r in names.collect()] if t and name and len(name) > 1 and name in t}
+    found = [tuple(r) for r in serving.mentions(docs, names).collect()]
+    assert set(found) == want and len(found) == len(want)
+    assert serving.mentions(docs, names.limit(0)).count() == 0 and serving.mentions(docs.limit(0), names).count() == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,12 +23,17 @@ def claim(id, person="p1", kind="gender", value="x", json="{}", level="A", score
     return (id, key or id, person, None, kind, value, json, level, score, status, visibility, public, source, at)
 
 
+def told(df, *columns):
+    """The table with these columns, null where it has none."""
+    return df.withColumns({c: F.lit(None).cast("string") for c in columns if c not in df.columns})
+
+
 @pytest.fixture
 def tables(spark):
     def make(people=(), decisions=(), media=(), claims=()):
         return {
-            "people": spark.createDataFrame(list(people), PEOPLE), "person_merge_decisions": spark.createDataFrame(list(decisions), DECISIONS), "person_media": spark.createDataFrame(list(media), MEDIA),
-            "person_claims": spark.createDataFrame(list(claims), CLAIMS),
+            "people": spark.createDataFrame(list(people), PEOPLE), "person_merge_decisions": spark.createDataFrame(list(decisions), DECISIONS),
+            "person_media": told(spark.createDataFrame(list(media), MEDIA), *views.PHOTO_COLUMNS), "person_claims": told(spark.createDataFrame(list(claims), CLAIMS), "source_url"),
         }
 
     return make
@@ -61,7 +68,7 @@ def test_unknown_views_are_refused(tables):
 
 def test_private_candidacy_hides_an_older_public_one(spark, tables):
     t = tables([person("p1")])
-    t["candidates"] = spark.createDataFrame([("k1", "p1", "r1", None, "1", "elected", True, 1), ("k2", "p1", "r1", None, "1", "elected", False, 2)], "id string, person_id string, race_id string, party string, candidate_no string, registration_status string, is_public boolean, updated_at long")
+    t["candidates"] = told(spark.createDataFrame([("k1", "p1", "r1", None, "1", "elected", True, 1), ("k2", "p1", "r1", None, "1", "elected", False, 2)], "id string, person_id string, race_id string, party string, candidate_no string, registration_status string, is_public boolean, updated_at long"), "source_name", "source_url")
     t["races"] = spark.createDataFrame([("r1", "e1", None, "t", True)], "id string, election_id string, region_id string, title string, is_public boolean")
     t["elections"] = spark.createDataFrame([("e1", "E", True)], "id string, name string, is_public boolean")
     t["regions"] = spark.createDataFrame([], "id string, name string, is_public boolean")
@@ -151,6 +158,34 @@ def test_table_can_be_replaced_from_itself(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
+def test_a_crash_while_a_table_is_replaced_loses_nothing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    os.rename(path, path + ".replaced")  # the state between the two renames
+    assert store.restored(spark, path) and spark.read.parquet(path).count() == 3
+    spark.range(2).write.parquet(path + ".replaced")  # the state after the second
+    assert store.restored(spark, path) and spark.read.parquet(path).count() == 3 and not os.path.exists(path + ".replaced")
+    assert not store.restored(spark, str(tmp_path / "none"))
+
+
+def test_a_failed_rename_keeps_the_old_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    real = store._file_system(spark, path)
+
+    class Refusing:
+        def rename(self, a, b):
+            return real.rename(a, b) if "-" not in a.getName() else False
+
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+    monkeypatch.setattr(store, "_file_system", lambda *_: Refusing())
+    with pytest.raises(OSError):
+        store.replace_table(spark, spark.range(1), path)
+    assert spark.read.parquet(path).count() == 3
+
+
 def test_pages_are_clamped():
     assert serving.page_numbers(10, 1) == [1, 2, 3, 4, 5] and serving.page_numbers(10, 10) == [6, 7, 8, 9, 10] and serving.page_numbers(10, 5) == [3, 4, 5, 6, 7] and serving.page_numbers(2, 9) == [1, 2] and serving.page_numbers(0, 1) == []
 
