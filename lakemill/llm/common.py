@@ -7,8 +7,6 @@ numpy and never make a Python object for a word.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakemill.session import scratch, shared_folder
+
 CHUNK_BYTES = 1 << 20
 
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -41,24 +41,16 @@ def fold(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def keep_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder that the cluster names; sets a local one only where there is none, as in tests."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lakemill-checkpoint-"))
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts lineage in the shared folder: lost executors lose none of it."""
-    keep_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame, *by: str) -> DataFrame:
     """Written as a table in the shared folder, by the values of some columns, and read again: no lineage, and smaller than a checkpoint."""
     spark = df.sparkSession
-    keep_checkpoint_dir(spark)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

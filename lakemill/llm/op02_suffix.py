@@ -2,11 +2,12 @@
 
 A string of LENGTH bytes contains a smallest KMER-byte hash, its anchor, whose
 place depends on the string's bytes alone; so all copies of a string share an
-anchor at the same place. Anchors that occur once settle that nothing repeats
-there. For an anchor that occurs more often, what surrounds it as far as the
-string may reach, its context, is folded with identical contexts: those repeat
-as a whole. One context of each kind then goes to the index of its anchor's
-bucket.
+anchor at the same place. Anchors are first only counted: one that occurs once
+settles that nothing repeats there, and only the others move with their places.
+What surrounds a repeated anchor as far as the string may reach, its context, is
+folded with identical contexts: those repeat as a whole. Where the contexts of an
+anchor differ, one of each kind goes to the index of its anchor's bucket. Texts
+that stand more than once are folded before all this and go wholly.
 
 A bucket's index is a run-compressed Burrows-Wheeler transform with the suffix
 array sampled at the ends of runs. Inside a run the suffix before (in sorted
@@ -25,6 +26,7 @@ by their hashes. That is exact, and hashes are aggregated before they move.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +36,9 @@ from pyspark.sql import functions as F
 
 from lakemill.llm.common import batch, chunks, mix, pieces, prefix_sums, stored, stretch_hash, table, utf8
 
-LENGTH, KMER = 400, 32
+LENGTH, KMER = 400, 128
+#: A row's id, of 128 bits.
+RID = ["rid", "rid2"]
 #: Different contexts of an anchor beyond which its crowd is split; bytes of a bucket.
 CROWD, BUCKET_BYTES = 1500, 1 << 20
 #: Starts in a range of a crowd's first split.
@@ -78,17 +82,29 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, kmer: in
 
 
 def find_anchors(documents: DataFrame, length: int, kmer: int) -> DataFrame:
-    """(rid, pos, h, c): each row's anchors with the hash of their context."""
+    """(rid, rid2, pos, h, c): rows' anchors with the hash of their context; of texts that a task meets again only the first row's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[bytes] = set()
         for rows in batches:
-            data, starts = utf8(rows.column(1))
-            rid = rows.column(0).to_numpy()
+            data, starts = utf8(rows.column(2))
+            first = np.ones(rows.num_rows, bool)
+            for i, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
+                if b - a < length:
+                    first[i] = False
+                elif (digest := hashlib.blake2b(data[a:b], digest_size=16).digest()) in met:
+                    first[i] = False
+                else:
+                    met.add(digest)
+            if not first.all():
+                rows = rows.filter(pa.array(first))
+                data, starts = utf8(rows.column(2))
+            rid, rid2 = (rows.column(i).to_numpy() for i in (0, 1))
             for low, high in chunks(starts):
                 row, place, h, c = anchors(data[starts[low] : starts[high]], starts[low : high + 1] - starts[low], length, kmer)
-                yield batch(rid=rid[low:high][row], pos=place.astype(np.int32), h=h.view(np.int64), c=c.view(np.int64))
+                yield batch(rid=rid[low:high][row], rid2=rid2[low:high][row], pos=place.astype(np.int32), h=h.view(np.int64), c=c.view(np.int64))
 
-    return documents.select("rid", "text").mapInArrow(run, "rid long, pos int, h long, c long")
+    return documents.select(*RID, "text").mapInArrow(run, "rid long, rid2 long, pos int, h long, c long")
 
 
 def suffix_array(text: np.ndarray, rest: np.ndarray) -> np.ndarray:
@@ -145,9 +161,11 @@ def common_prefix(sums: np.ndarray, down: np.ndarray, a: np.ndarray, b: np.ndarr
 def run_index(segments: list[np.ndarray]) -> dict[str, np.ndarray]:
     """The run-length index of some byte strings.
 
-    begin, end: of the segments in the joined text. sample: the text positions
-    before which a run of the transform begins, in text order; neighbour: the
-    position of the suffix before theirs; match: how far the two agree.
+    begin, end: of the segments in the joined text. symbol, times: the
+    run-compressed transform, separators as negative numbers of their own.
+    sample: the text positions before which a run begins, in text order;
+    neighbour: the position of the suffix before theirs; match: how far the two
+    agree.
     """
     lengths = np.array([len(s) for s in segments])
     begin = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
@@ -166,11 +184,11 @@ def run_index(segments: list[np.ndarray]) -> dict[str, np.ndarray]:
     head[0] = False  # nothing stands before the first suffix
     heads = np.flatnonzero(head)
     sample, neighbour = order[heads], order[heads - 1]
-    own = np.sort(np.concatenate([[0], np.flatnonzero(head)]))
+    runs = np.append(0, heads)
     sums, down = prefix_sums(raw)
     match = common_prefix(sums, down, sample, neighbour, np.minimum(rest[sample], rest[neighbour]))
     by_text = np.argsort(sample)
-    return {"begin": begin, "end": end, "sample": sample[by_text], "neighbour": neighbour[by_text], "match": match[by_text], "runs": own, "size": np.array(len(raw))}
+    return {"begin": begin, "end": end, "sample": sample[by_text], "neighbour": neighbour[by_text], "match": match[by_text], "symbol": before[runs], "times": np.diff(np.append(runs, len(order))), "size": np.array(len(raw))}
 
 
 def long_matches(index: dict[str, np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,13 +218,14 @@ def united(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _marks_of_bucket(length: int):
     def run(rows: pa.Table) -> pa.Table:
-        rid, at = rows.column("rid").to_numpy(), rows.column("at").to_numpy()
+        rid, rid2, at = (rows.column(c).to_numpy() for c in ("rid", "rid2", "at"))
         data, starts = utf8(rows.column("bytes"))
-        index = run_index([data[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)])
+        own = np.unique(np.stack([rid, rid2, at]), axis=1, return_index=True)[1]  # of rows that repeat with their id one
+        index = run_index([data[starts[i] : starts[i + 1]] for i in own])
         start, end = united(*long_matches(index, length))
         seg = np.searchsorted(index["begin"], start, side="right") - 1
-        shift = at[seg] - index["begin"][seg]
-        return pa.table({"rid": rid[seg], "start": (start + shift).astype(np.int64), "end": (end + shift).astype(np.int64)})
+        shift = at[own[seg]] - index["begin"][seg]
+        return pa.table({"rid": rid[own[seg]], "rid2": rid2[own[seg]], "start": (start + shift).astype(np.int64), "end": (end + shift).astype(np.int64)})
 
     return run
 
@@ -215,16 +234,16 @@ class _Pieces:
     """Rows of contexts that wait to be sent on."""
 
     def __init__(self) -> None:
-        self.columns: tuple[list, ...] = ([], [], [], [], [], [])
+        self.columns: tuple[list, ...] = ([], [], [], [], [], [], [])
 
-    def put(self, bucket: int, rid: int, at: int, h: int, pos: int, piece: np.ndarray) -> int:
-        for column, value in zip(self.columns, (bucket, rid, at, h, pos, piece.tobytes()), strict=True):
+    def put(self, bucket: int, rid: tuple[int, int], at: int, h: int, pos: int, piece: np.ndarray) -> int:
+        for column, value in zip(self.columns, (bucket, *rid, at, h, pos, piece.tobytes()), strict=True):
             column.append(value)
         return len(piece)
 
     def batch(self) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(self.columns, kinds, strict=True)], names=["bucket", "rid", "at", "h", "pos", "bytes"])
+        kinds = (*[pa.int64()] * 6, pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(self.columns, kinds, strict=True)], names=["bucket", *RID, "at", "h", "pos", "bytes"])
 
 
 def _contexts(length: int, kmer: int, buckets: int):
@@ -232,12 +251,12 @@ def _contexts(length: int, kmer: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            data, starts = utf8(rows.column(1))
+            data, starts = utf8(rows.column(2))
             out, waiting = _Pieces(), 0
             for i in range(rows.num_rows):
-                rid, low, high = rows.column(0)[i].as_py(), int(starts[i]), int(starts[i + 1])
+                rid, low, high = (rows.column(0)[i].as_py(), rows.column(1)[i].as_py()), int(starts[i]), int(starts[i + 1])
                 own: dict[int, list[list[int]]] = {}
-                for x in sorted(rows.column(2)[i].as_py(), key=lambda x: x["pos"]):
+                for x in sorted(rows.column(3)[i].as_py(), key=lambda x: x["pos"]):
                     a, b = max(0, x["pos"] - (length - kmer)), min(high - low, x["pos"] + length)
                     if x["crowd"]:
                         waiting += out.put(-1, rid, a, x["h"], x["pos"], data[low + a : low + b])
@@ -271,7 +290,7 @@ def _crowd_keys(length: int, kmer: int, width: int, single: bool):
         for rows in batches:
             if not rows.num_rows:
                 continue
-            rid, at, h, pos = (rows.column(k).to_numpy() for k in ("rid", "at", "h", "pos"))
+            rid, rid2, at, h, pos = (rows.column(k).to_numpy() for k in (*RID, "at", "h", "pos"))
             data, starts = utf8(rows.column("bytes"))
             given = rows.column("part").to_numpy() if single else None
             for low, high in chunks(starts):
@@ -289,59 +308,67 @@ def _crowd_keys(length: int, kmer: int, width: int, single: bool):
                     key = mix(stretch_hash(sums, down, q - a, q + length - b) + salt)
                     x, y = np.maximum(q - b, s[ok]), np.minimum(q + length - a, e[ok])
                     whole = mix(stretch_hash(sums, down, x, y) + key + (q - x).astype(np.uint64))
-                    yield batch(rid=rid[low:high][ok], pos=pos[low:high][ok], part=a if single else np.full(len(ok), k), key=key.view(np.int64), whole=whole.view(np.int64))
+                    yield batch(rid=rid[low:high][ok], rid2=rid2[low:high][ok], pos=pos[low:high][ok], part=a if single else np.full(len(ok), k), key=key.view(np.int64), whole=whole.view(np.int64))
 
     return run
 
 
 def crowd_marks(contexts: DataFrame, length: int, kmer: int, width: int = RANGE) -> DataFrame:
-    """(rid, start, end) of the repeated strings around the anchors of crowds, given as (rid, at, h, pos, bytes).
+    """(rid, rid2, start, end) of the repeated strings around the anchors of crowds, given as (rid, rid2, at, h, pos, bytes).
 
     Marks may reach beyond the document's ends; they are cut there.
     """
-    schema = "rid long, pos long, part long, key long, whole long"
+    schema = "rid long, rid2 long, pos long, part long, key long, whole long"
     ranges = stored(contexts.mapInArrow(_crowd_keys(length, kmer, width, False), schema))
-    kinds = ranges.groupBy("key", "whole").agg(F.count("*").alias("m"), *(F.first(c).alias(c) for c in ("rid", "pos", "part")))
+    kinds = ranges.groupBy("key", "whole").agg(F.count("*").alias("m"), *(F.first(c).alias(c) for c in (*RID, "pos", "part")))
     shared = kinds.groupBy("key").agg(F.sum("m").alias("n"), F.count("*").alias("d")).where(F.col("n") > 1).select("key", "d")
     kinds = stored(kinds.join(shared, "key"))
     alike = ranges.join(kinds.where(F.col("m") > 1).select("key", "whole"), ["key", "whole"], "left_semi").select(
-        "rid",
+        *RID,
         F.greatest(F.lit(0), F.col("pos") - (F.col("part") + 1) * width + 1, F.col("pos") - (length - kmer)).alias("start"),
         (F.col("pos") - F.col("part") * width + length).alias("end"),
     )
-    again = contexts.join(kinds.where(F.col("d") > 1).select("rid", "pos", "part"), ["rid", "pos"]).select("rid", "at", "h", "pos", "bytes", "part")
-    starts = stored(again.mapInArrow(_crowd_keys(length, kmer, width, True), schema).select("rid", "pos", "part", "key"))
+    again = contexts.join(kinds.where(F.col("d") > 1).select(*RID, "pos", "part"), [*RID, "pos"]).select(*RID, "at", "h", "pos", "bytes", "part")
+    starts = stored(again.mapInArrow(_crowd_keys(length, kmer, width, True), schema).select(*RID, "pos", "part", "key"))
     often = starts.groupBy("key").count().where(F.col("count") > 1).select("key")
-    single = starts.join(often, "key", "left_semi").select("rid", (F.col("pos") - F.col("part")).alias("start"), (F.col("pos") - F.col("part") + length).alias("end"))
+    single = starts.join(often, "key", "left_semi").select(*RID, (F.col("pos") - F.col("part")).alias("start"), (F.col("pos") - F.col("part") + length).alias("end"))
     return alike.unionByName(single)
 
 
 def repeated_spans(documents: DataFrame, length: int = LENGTH, kmer: int = KMER, crowd: int = CROWD, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(rid, start, end) of byte stretches, possibly overlapping or repeated, whose union is what repeated strings cover.
+    """(rid, rid2, start, end) of byte stretches, possibly overlapping or repeated, whose union is what repeated strings cover.
 
-    Documents are given as (rid, doc_id, text); rows with equal rid have equal
-    texts. All their columns go with the texts to the rows' anchors, so that the
-    caller's own join with the documents uses the same exchange.
+    Documents are given as (rid, rid2, doc_id, text); rows with equal ids have
+    equal texts. Rows whose whole text stands again may lack other stretches than
+    the one over all of it, which may reach beyond their end. All columns go with
+    the texts to the rows' anchors, so that the caller's own join with the
+    documents uses the same exchange.
     """
-    found = stored(find_anchors(documents, length, kmer))
-    # Both first values come from the same row.
-    kinds = found.groupBy("h", "c").agg(F.count("*").alias("m"), F.first("rid").alias("rid"), F.first("pos").alias("pos"))
-    crowds = kinds.groupBy("h").agg(F.sum("m").alias("n"), F.count("*").alias("d")).where(F.col("n") > 1).select("h", "d")
-    kinds = stored(kinds.join(crowds, "h").select("h", "c", "m", "d", "rid", "pos"))
-    whole = found.join(kinds.where(F.col("m") > 1).select("h", "c"), ["h", "c"], "left_semi").select("rid", "pos")
-    spans = whole.select("rid", F.greatest(F.lit(0), F.col("pos") - (length - kmer)).cast("long").alias("start"), (F.col("pos") + length).cast("long").alias("end"))
-    several = kinds.where(F.col("d") > 1)
-    chosen = several.groupBy("rid").agg(F.collect_list(F.struct("pos", "h", (F.col("d") > crowd).alias("crowd"))).alias("chosen"))
-    amount = several.agg(F.count("*"), F.max("d")).first()
+    texts = documents.where(F.octet_length("text") >= length).select(*RID, F.xxhash64("text").alias("t"), F.xxhash64(F.lit(1), "text").alias("t2"))
+    times = stored(texts.groupBy("t", "t2").count().where(F.col("count") > 1).select("t", "t2"))
+    spans = texts.join(times, ["t", "t2"], "left_semi").select(*RID, F.lit(0).cast("long").alias("start"), F.lit(1 << 62).alias("end"))
+    found = find_anchors(documents, length, kmer)
+    # Anchors are found twice: to count them, and to send on those that are shared. Keeping all of them would take more disk than the texts.
+    counted = found.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
+    shared = stored(counted.where(F.col("n") > 1).select("h", (F.col("low") != F.col("high")).alias("several")))
+    hits = stored(found.join(shared, "h").select(*RID, "pos", "h", "c", "several"))
+    # The first values come from the same row.
+    kinds = stored(hits.where("several").groupBy("h", "c").agg(F.count("*").alias("m"), *(F.first(c).alias(c) for c in (*RID, "pos"))))
+    alike = hits.where("not several").select(*RID, "pos").unionByName(hits.where("several").join(kinds.where(F.col("m") > 1).select("h", "c"), ["h", "c"], "left_semi").select(*RID, "pos"))
+    spans = spans.unionByName(alike.select(*RID, F.greatest(F.lit(0), F.col("pos") - (length - kmer)).cast("long").alias("start"), (F.col("pos") + length).cast("long").alias("end")))
+    of_anchor = kinds.groupBy("h").agg(F.count("*").alias("d"))
+    amount = of_anchor.agg(F.sum("d"), F.max("d")).first()
     if not amount[0]:
         return spans
     buckets = max(1, -(-amount[0] * (2 * length - kmer) // bucket_bytes))
-    joined = documents.join(chosen.hint("shuffle_hash"), "rid").select("rid", "text", "chosen", *(c for c in documents.columns if c not in ("rid", "text")))
-    contexts = joined.mapInArrow(_contexts(length, kmer, buckets), "bucket long, rid long, at long, h long, pos long, bytes binary")
-    indexed = contexts.where("bucket >= 0").dropDuplicates(["bucket", "rid", "at"]).groupBy("bucket").applyInArrow(_marks_of_bucket(length), "rid long, start long, end long")
+    crowded = of_anchor.where(F.col("d") > crowd).select("h", F.lit(True).alias("crowd"))
+    chosen = kinds.join(crowded, "h", "left").groupBy(*RID).agg(F.collect_list(F.struct("pos", "h", F.coalesce("crowd", F.lit(False)).alias("crowd"))).alias("chosen"))
+    joined = documents.join(chosen.hint("shuffle_hash"), RID).select(*RID, "text", "chosen", *(c for c in documents.columns if c not in (*RID, "text")))
+    contexts = joined.mapInArrow(_contexts(length, kmer, buckets), "bucket long, rid long, rid2 long, at long, h long, pos long, bytes binary")
+    indexed = contexts.where("bucket >= 0").groupBy("bucket").applyInArrow(_marks_of_bucket(length), "rid long, rid2 long, start long, end long")
     spans = spans.unionByName(indexed)
     if amount[1] > crowd:
-        alone = stored(contexts.where("bucket < 0").dropDuplicates(["rid", "h", "pos"]).select("rid", "at", "h", "pos", "bytes"))
+        alone = stored(contexts.where("bucket < 0").dropDuplicates([*RID, "h", "pos"]).select(*RID, "at", "h", "pos", "bytes"))
         spans = spans.unionByName(crowd_marks(alone, length, kmer))
     return spans
 
@@ -356,10 +383,10 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, kmer: int = KMER,
     ``length`` stay. An empty table gives an empty table; columns other than
     doc_id and text are ignored.
     """
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"rid": F.xxhash64(F.col("doc_id").cast("string"), "text"), "rid2": F.xxhash64(F.lit(1), F.col("doc_id").cast("string"), "text")})
     spans = repeated_spans(rows, length, kmer, crowd, bucket_bytes)
-    marks = spans.groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("marks"))
-    joined = rows.join(marks.hint("shuffle_hash"), "rid", "left").select("doc_id", "text", "marks")
+    marks = spans.groupBy(*RID).agg(F.collect_set(F.struct("start", "end")).alias("marks"))
+    joined = rows.join(marks.hint("shuffle_hash"), RID, "left").select("doc_id", "text", "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
