@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakemill.llm.common import checkpoint, table
+from lakemill.llm.common import stored, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -90,34 +90,40 @@ def mix_documents(
     takes the difference of the rounded-down shares up to and before its words,
     so a source's sum is its target rounded down and nothing exceeds ``repeats``
     times its size. An empty table gives an empty table. Input columns named as
-    the added ones are replaced.
+    the added ones are replaced, any others pass through.
     """
-    added = ("size", "source_size", "target", "taken", "position", "bucket", "place", "upto", "base", "weight")
+    added = ("size", "source_size", "target", "taken", "position")
     rest = [c for c in documents.columns if c not in added and (keep_text or c != "text")]
-    sized = documents.select(*rest, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")).withColumn(
-        "place", F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    )
-    counted = checkpoint(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")))
+    row = F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row")  # the caller's columns apart from ours: no names clash
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    place = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)).alias("place")
+    narrow = stored(documents.select("doc_id", "source", size, place))  # sizes are counted once; what follows reads no text
+    counted = stored(narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")))
     targets = source_targets(counted, weights, share, repeats).join(counted.select(F.col("source").alias("s_"), "rows"), F.col("source").eqNullSafe(F.col("s_"))).drop("s_")
     rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source"))) - 1
     ramps = F.array(*[F.lit(float(x)) for x in ramp])
-    targets = targets.select(
+    targets = stored(targets.select(
         F.col("source").alias("t_source"), "source_size", "target", F.ceil(F.col("rows") / bucket_rows).alias("buckets"), F.element_at(ramps, (rank % len(ramp) + 1).cast("int")).alias("ramp")
-    )
-    dealt = sized.join(if_small(targets), F.col("source").eqNullSafe(F.col("t_source")), "left").withColumn("bucket", F.floor(F.col("place") * F.col("buckets")))
-    sums = checkpoint(dealt.groupBy("source", "bucket").agg(F.sum("size").alias("inside")))
+    ))
+    small = if_small(targets)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.join(small, F.col("source").eqNullSafe(F.col("t_source")), "left").withColumn("bucket", F.floor(F.col("place") * F.col("buckets")))
+
+    sums = stored(dealt(narrow).groupBy("source", "bucket").agg(F.sum("size").alias("inside")))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), F.coalesce(F.sum("inside").over(earlier), F.lit(0)).alias("base"))
+    sums = stored(sums.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), F.coalesce(F.sum("inside").over(earlier), F.lit(0)).alias("base")))
     inside = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = narrow.select(row, "doc_id", "source", "size", "place") if set(rest) <= {"doc_id", "source"} else documents.select(row, "doc_id", "source", size, place)
     placed = (
-        dealt.join(if_small(sums), F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
+        dealt(rows).join(if_small(sums), F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
         .withColumn("upto", F.col("base") + F.sum("size").over(inside))
         .withColumn("share_", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     )
     upto, before = F.col("share_") * F.col("upto"), F.col("share_") * (F.col("upto") - F.col("size"))
     part = F.when(F.col("source_size") > 0, (F.col("upto") - F.col("size")) / F.col("source_size")).otherwise(F.col("place"))
     return placed.select(
-        *rest,
+        *(F.col(f"row.`{c}`").alias(c) for c in rest),
         "size",
         "source_size",
         "target",

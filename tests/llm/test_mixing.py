@@ -40,6 +40,16 @@ def test_targets_and_parts(spark):
     assert all(r["source_size"] == sizes[r["source"]] for r in rows)
 
 
+def test_names_of_columns_never_clash(spark):
+    names = ("row", "place", "bucket", "buckets", "ramp", "t_source", "b_source", "b_bucket", "base", "upto", "share_", "inside", "rows", "s_", "weight")
+    df = documents(spark, [(*r, *names) for r in ROWS], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    for keep in (False, True):
+        rows = M.mix_documents(df, keep_text=keep).collect()
+        assert len(rows) == len(ROWS) and all(tuple(r[n] for n in names) == names for r in rows)
+    long = documents(spark, [(1, "w " * 500_000, "a"), (2, "w", "b")], "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["size"] for r in M.mix_documents(long).collect()} == {1: 500_000, 2: 1}
+
+
 def test_reruns_agree_and_order_is_by_position(spark):
     df = documents(spark, ROWS, "doc_id long, text string, source string")
     a, b = (M.in_training_order(M.mix_documents(df)).select("doc_id", "source", "taken", "position").collect() for _ in range(2))
