@@ -13,6 +13,12 @@ A sketch that isn't whole decides nothing but what is clearly below the
 similarity (by MARGIN). Links it proposes are verified on both texts' whole sets
 of shingle hashes, joined in Spark. Where one fails, its shard is searched again
 with what is known to be linked, and every pair that is left is verified.
+
+A band that more than CROWD different texts share is dealt into shards of about
+that many; some leaders, drawn by a hash, stand in each of them, so that what is
+alike all over the crowd is linked by way of them. What isn't linked with the
+crowd's largest component then meets every shard of the crowd. So no pair of a
+crowd is left out, and no task gets more than a shard.
 """
 
 from __future__ import annotations
@@ -34,6 +40,8 @@ BANDS, BAND_ROWS, SKETCH = 20, 4, 256
 MARGIN = 0.12
 #: Bytes of sketches of a partition of shards.
 PARTITION_BYTES = 16 << 20
+#: Different texts of a band beyond which it is dealt into shards of so many, and how many texts of it stand in each.
+CROWD, LEADERS = 4096, 64
 
 
 def hash_set(text: bytes) -> np.ndarray:
@@ -117,8 +125,8 @@ def shard_links(
     return tuple(np.array([o[i] for o in out], kind) for i, kind in enumerate((np.int64, np.int64, np.int64, bool)))
 
 
-def verified(pairs: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) of texts and whether they are that similar (linked), by their whole sets of shingle hashes."""
+def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of texts and whether they are that similar (linked), by their whole sets of shingle hashes. texts: (tid, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -126,28 +134,49 @@ def verified(pairs: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> Da
             for low, high in chunks(starts):
                 sets = [hash_set(data[x:y].tobytes()).view(np.int64) for x, y in zip(starts[low:high].tolist(), starts[low + 1 : high + 1].tolist(), strict=True)]
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], names=["tid_", "set_"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], names=["tid", "set"])
 
-    ends = pairs.select(F.col("a").alias("tid_")).union(pairs.select("b")).distinct()
-    texts = rows.join(ends, "tid_", "left_semi").groupBy("tid_").agg(F.first("text").alias("text"))
-    sets = stored(texts.mapInArrow(run, "tid_ long, set_ array<long>"))
-    one, two = (sets.select(F.col("tid_").alias(x), F.col("set_").alias(f"set_{x}")) for x in "ab")
+    ends = pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).distinct()
+    wanted = texts.join(ends, "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
+    sets = stored(wanted.mapInArrow(run, "tid binary, set array<long>"))
+    one, two = (sets.select(F.col("tid").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b")).alias("sum"))
     return stored(joined.select("a", "b", (F.col("both") >= least * (F.col("sum") - F.col("both"))).alias("linked")))
 
 
-def one_of_each(documents: DataFrame) -> DataFrame:
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a partition of shards: rows (shard, tid, fp, size, sketch), and root if it is known."""
+    own = [b for b in batches if b.num_rows]
+    if not own:
+        return
+    rows = pa.Table.from_batches(own).combine_chunks()
+    shard, fp, size = (rows.column(c).to_numpy() for c in ("shard", "fp", "size"))
+    text = rows.column("tid").dictionary_encode().combine_chunks()
+    code = text.indices.to_numpy()
+    order = np.lexsort((code, shard))
+    once = np.append(True, (np.diff(shard[order]) != 0) | (np.diff(code[order]) != 0))  # a text may come to a shard twice
+    order = order[once]
+    sketches = [np.frombuffer(x, np.uint64) for x in rows.column("sketch").take(pa.array(order)).to_pylist()]
+    roots = rows.column("root").dictionary_encode().combine_chunks().indices.to_numpy()[order] if "root" in rows.column_names else None
+    key, a, b, certain = shard_links(shard[order], fp[order].view(np.uint64), size[order], code[order], sketches, roots)
+    tid = text.dictionary
+    yield batch(shard=key, a=tid.take(pa.array(a)), b=tid.take(pa.array(b)), certain=certain)
+
+
+def one_of_each(documents: DataFrame, crowd: int = CROWD, leaders: int = LEADERS) -> DataFrame:
     """The documents less near copies: of each group the one with the smallest doc_id stays, null ids last.
 
     Groups are components of links between texts; equal texts are linked, and a
     null text is an empty one, so of documents without text one stays. Texts
     without words other than that are linked to nothing. Of repeated rows one
-    stays. Other columns pass through.
+    stays. Other columns pass through, whatever their names.
     """
     spark = documents.sparkSession
-    rows = documents.withColumn("tid_", F.xxhash64(F.coalesce("text", F.lit(""))))
-    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id")
+    tid = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("tid")
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), F.col("doc_id").alias("doc"), tid)
+    texts = documents.select(tid, "text")
+    order = F.struct(F.col("doc").isNull().alias("without"), "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -156,53 +185,68 @@ def one_of_each(documents: DataFrame) -> DataFrame:
             fp, keys, sketch, size = zip(*(sketched(raw[x:y]) for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)), strict=True)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                names=["tid_", "doc_id", "fp", "size", "keys", "sketch"],
+                names=["tid", "doc", "fp", "size", "keys", "sketch"],
             )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    made = stored(rows.select("tid_", "doc_id", "text").mapInArrow(run, f"tid_ long, doc_id {kind}, fp long, size long, keys array<long>, sketch binary"))
-    met = made.select("tid_", F.explode("keys").alias("key")).distinct()
-    shared = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("key")
-    met = met.join(shared, "key", "left_semi")
-    texts = made.groupBy("tid_").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))  # before the join: copies fold before they move
-    texts = texts.join(met.select("tid_").distinct(), "tid_", "left_semi")
-    shards = met.join(texts, "tid_").select("key", "tid_", "fp", "size", "sketch")
-    many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-met.count() * SKETCH * 8 // PARTITION_BYTES))
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [b for b in batches if b.num_rows]
-        if own:
-            key, tid, fp, size, *root = (np.concatenate([b.column(i).to_numpy() for b in own]) for i in (0, 1, 2, 3, *range(5, own[0].num_columns)))
-            sketch = [np.frombuffer(x, np.uint64) for b in own for x in b.column(4).to_pylist()]
-            o = np.lexsort((tid, key))
-            key, a, b, certain = shard_links(key[o], fp[o].view(np.uint64), size[o], tid[o], [sketch[i] for i in o], root[0][o] if root else None)
-            yield batch(key=key, a=np.maximum(a, b), b=np.minimum(a, b), certain=certain)
+    made = stored(documents.select(tid, F.col("doc_id").alias("doc"), "text").mapInArrow(run, f"tid binary, doc {kind}, fp long, size long, keys array<long>, sketch binary"))
+    sketches = made.groupBy("tid").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))  # before any join: copies fold before they move
+    met = made.select("tid", F.explode("keys").alias("key")).distinct()
+    sizes = stored(met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1))
+    parts = F.ceil(F.col("n") / crowd)
+    met = stored(met.join(sizes, "key").select("key", "tid", "n", F.when(F.col("n") > crowd, F.pmod(F.xxhash64("tid"), parts)).alias("part")))
+    crowds = met.where("part IS NOT NULL")
+    many = not crowds.isEmpty()
+    shards = met.select(F.when(F.col("part").isNull(), F.col("key")).otherwise(F.xxhash64("key", "part")).alias("shard"), "tid", "key")
+    if many:
+        drawn = F.pmod(F.xxhash64("tid", "key"), F.lit(1 << 32)) < F.lit(float(leaders << 32)) / F.col("n")
+        stand = crowds.where(drawn).select("key", "tid", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)).alias("part"))
+        shards = shards.unionByName(stand.select(F.xxhash64("key", "part").alias("shard"), "tid", "key"))
 
     def search(shards: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Links by shard, and the distinct pairs that are to be verified."""
-        found = stored(shards.repartition(many, "key").mapInArrow(link, "key long, a long, b long, certain boolean"))
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards.count() * SKETCH * 8 // PARTITION_BYTES))
+        found = shards.join(sketches, "tid").repartition(partitions, "shard").mapInArrow(_link, "shard long, a binary, b binary, certain boolean")
+        found = stored(found.select("shard", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "certain"))
         return found, found.where("not certain").select("a", "b").distinct()
 
-    found, open_ = search(shards)
-    links = found.where("certain").select("a", "b")
-    if not open_.isEmpty():
-        known = verified(open_, rows)
-        links = links.unionByName(known.where("linked").select("a", "b"))
-        failed = found.where("not certain").join(known.where("not linked"), ["a", "b"], "left_semi").select("key").distinct()
-        if not failed.isEmpty():
-            roots = components(links)
-            again = shards.join(failed, "key", "left_semi").join(roots.withColumnRenamed("node", "tid_"), "tid_", "left")
-            found, open_ = search(again.select("key", "tid_", "fp", "size", "sketch", F.coalesce("root", "tid_").alias("root_")))
-            more = verified(open_.join(known, ["a", "b"], "left_anti"), rows)
-            links = links.unionByName(more.where("linked").select("a", "b")).unionByName(found.where("certain").select("a", "b"))
+    found, open_ = search(shards.select("shard", "tid"))
+    known = verified(open_, texts)
+    links = found.where("certain").select("a", "b").unionByName(known.where("linked").select("a", "b"))
     roots = components(links)
-    first = made.groupBy("tid_").agg(F.min(order).alias("least"))
-    rooted = first.join(roots, first["tid_"] == roots["node"], "left").select("tid_", "least", F.coalesce("root", "tid_").alias("root_"))
-    stay = rooted.groupBy("root_").agg(F.min(F.struct("least", "tid_")).alias("one")).select(F.col("one.tid_").alias("k_tid"), F.col("one.least.doc_id").alias("k_doc"))
-    times = made.groupBy("tid_", "doc_id").count().where(F.col("count") > 1).select(F.col("tid_").alias("r_tid"), F.col("doc_id").alias("r_doc"), F.lit(True).alias("again_"))
-    stay = stored(stay.join(times, (F.col("k_tid") == F.col("r_tid")) & F.col("k_doc").eqNullSafe(F.col("r_doc")), "left").select("k_tid", "k_doc", F.coalesce("again_", F.lit(False)).alias("again_")))
-    kept = rows.join(stay.hint("shuffle_hash"), (F.col("tid_") == F.col("k_tid")) & F.col("doc_id").eqNullSafe(F.col("k_doc")))
-    out = kept.where(~F.col("again_"))
-    if not stay.where("again_").isEmpty():  # rows that repeat with their id: one of each
-        out = out.unionByName(kept.where("again_").dropDuplicates(["tid_"]))
-    return out.select(*documents.columns)
+    failed = found.where("not certain").join(known.where("not linked"), ["a", "b"], "left_semi").select("shard").distinct()
+    again = shards.select("shard", "tid").join(failed, "shard", "left_semi")
+    if many:
+        again = again.unionByName(_apart(crowds, roots, crowd))
+    if not again.isEmpty():
+        rooted = again.join(roots.withColumnRenamed("node", "tid"), "tid", "left").select("shard", "tid", F.coalesce("root", "tid").alias("root"))
+        found, open_ = search(rooted)
+        more = verified(open_.join(known, ["a", "b"], "left_anti"), texts)
+        links = links.unionByName(more.where("linked").select("a", "b")).unionByName(found.where("certain").select("a", "b"))
+        roots = components(links)
+    first = made.groupBy("tid").agg(F.min(order).alias("least"))
+    rooted = first.join(roots, first["tid"] == roots["node"], "left").select("tid", "least", F.coalesce("root", "tid").alias("root"))
+    stay = rooted.groupBy("root").agg(F.min(F.struct("least", "tid")).alias("one")).select(F.col("one.tid").alias("k_tid"), F.col("one.least.doc").alias("k_doc"))
+    times = made.groupBy("tid", "doc").count().where(F.col("count") > 1).select(F.col("tid").alias("r_tid"), F.col("doc").alias("r_doc"), F.lit(True).alias("again"))
+    stay = stored(stay.join(times, (F.col("k_tid") == F.col("r_tid")) & F.col("k_doc").eqNullSafe(F.col("r_doc")), "left").select("k_tid", "k_doc", F.coalesce("again", F.lit(False)).alias("again")))
+    kept = rows.join(stay.hint("shuffle_hash"), (F.col("tid") == F.col("k_tid")) & F.col("doc").eqNullSafe(F.col("k_doc")))
+    out = kept.where(~F.col("again"))
+    if not stay.where("again").isEmpty():  # rows that repeat with their id: one of each
+        out = out.unionByName(kept.where("again").dropDuplicates(["tid"]))
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in documents.columns))
+
+
+def _apart(crowds: DataFrame, roots: DataFrame, crowd: int) -> DataFrame:
+    """(shard, tid): every shard of a crowd beside the texts that aren't linked with the crowd's largest component, in blocks.
+
+    crowds: (key, tid, n, part).
+    """
+    members = stored(crowds.join(roots, crowds["tid"] == roots["node"], "left").select("key", "tid", "n", "part", F.coalesce("root", "tid").alias("root")))
+    largest = members.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("largest"))
+    largest = stored(largest)
+    rest = members.join(largest, "key").where(F.col("root") != F.col("largest"))
+    blocks = stored(rest.groupBy("key").agg(F.ceil(F.count("*") / crowd).alias("blocks")))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
+    here = members.join(blocks, "key").select("key", "tid", "part", upto(F.col("blocks")).alias("block"))
+    there = rest.join(blocks, "key").select("key", "tid", upto(F.ceil(F.col("n") / crowd)).alias("part"), F.pmod(F.xxhash64("tid", "part"), F.col("blocks")).alias("block"))
+    return here.unionByName(there.select(*here.columns)).select(F.xxhash64("key", "part", "block").alias("shard"), "tid")

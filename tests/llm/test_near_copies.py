@@ -69,3 +69,35 @@ def test_few_pairs_at_the_similarity_never_meet():
 def test_repeated_lines_do_not_part_copies(spark):
     a = [f"w{i}" for i in range(200)]
     assert left(spark, [a, a + "one line of six words here".split() * 400]) == {0}
+
+
+def test_crowds_are_dealt_and_lose_nothing(spark):
+    """One band is shared by all texts of a crowd: near copies of a base, a group of their own, and some alone."""
+    base = [f"w{i}" for i in range(300)]
+    texts = [base] + [base[:k] + [f"x{k}"] + base[k + 1 :] for k in range(0, 300, 6)]
+    other = [f"q{i}" if i % 2 else w for i, w in enumerate(base)]
+    texts += [other] + [other[:k] + [f"y{k}"] + other[k + 1 :] for k in range(0, 300, 10)]
+    texts += [[f"z{j}x{i}" for i in range(80)] for j in range(5)]
+    df = documents(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])
+    want = {0, 51, *range(len(texts) - 5, len(texts))}
+    for crowd, leaders in ((4096, 64), (8, 2), (8, 0)):
+        assert {r["doc_id"] for r in N.one_of_each(df, crowd, leaders).collect()} == want
+
+
+def test_recall_of_planted_near_copies(spark):
+    """Copies with words changed here and there, of 30 to 400 words: those at the similarity and above go."""
+    r, texts, due = np.random.default_rng(8), [], 0
+    for k in range(300):
+        n = int(r.integers(30, 400))
+        own = [f"w{k}x{i}" for i in range(n)]
+        copy = list(own)
+        for at in r.choice(n, max(1, int(n * r.choice([0.01, 0.02, 0.03]))), False):
+            copy[at] = "other"
+        due += alike(own, copy) >= 0.8
+        texts += [own, copy]
+    assert due > 150 and len(texts) - len(left(spark, texts)) >= 0.99 * due
+
+
+def test_a_long_text_is_compared_whole(spark):
+    long = [f"w{i}" for i in range(150_000)]
+    assert left(spark, [long, long[:140_000] + ["x"] * 200, long[:100_000], ["a"]]) == {0, 2, 3}

@@ -40,7 +40,7 @@ def texts():
         if words:
             words[r.randrange(len(words))] = "new"
         rows.append((1000 + i, " ".join(words)))
-    return rows + [(d, t) for d, t in odd_rows() if d != 5] + [(rows[3][0], rows[3][1])]
+    return rows + odd_rows() + [(rows[3][0], rows[3][1])]
 
 
 def test_components_equal_brute_force(spark):
@@ -101,8 +101,11 @@ def test_one_document_of_each_group_stays(spark):
         words[40] = "changed"
         copies.append((200 + i, " ".join(words)))
     alone = [(300 + i, prose(r, 120)) for i in range(30)]
-    df = documents(spark, [(*x, "k") for x in [*rows, *copies, *alone, (7, groups[7]), (400, None), (401, ""), (None, groups[1])]], "doc_id long, text string, sketch string")
+    names = ("sketch", "tid", "row", "doc", "root", "again", "k_doc", "k_tid", "shard", "key", "a b", "node")
+    schema = "doc_id long, text string" + "".join(f", `{n}` string" for n in names)
+    df = documents(spark, [(*x, *names) for x in [*rows, *copies, *alone, (7, groups[7]), (400, None), (401, ""), (None, groups[1])]], schema)
     out = near_copies.one_of_each(df)
+    assert all(tuple(r)[2:] == names for r in out.collect())
     assert out.columns == df.columns
     assert sorted(x["doc_id"] for x in out.collect()) == [*range(20), *range(300, 330), 400]
     assert near_copies.one_of_each(df.limit(0)).count() == 0
