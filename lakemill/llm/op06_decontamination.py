@@ -2,10 +2,13 @@
 
 Terms are the benchmark's words, weighed by inverse document frequency over the
 whole corpus; words that are too common weigh nothing. The rows of a term matrix
-are the corpus' passages and the benchmark's items, these cut into pieces of a passage's length. Its dominant right singular
-space comes from a randomised sketch: each task multiplies its passages with a
-random matrix and back, Spark adds up the products, and an orthonormal basis of
-the sum spans the space. Items and overlapping passages are projected on it; a
+are the corpus' passages and the benchmark's items, these cut into pieces of a
+passage's length. Its dominant right singular vectors come from a distributed
+randomised SVD: each task multiplies its passages with a random matrix and back,
+Spark adds up the products, and an orthonormal basis of the sum is the range; a
+second pass multiplies that basis, and the small matrix of its products is
+decomposed on the driver. There is one space for all items, however many passes
+their search takes. Items and overlapping passages are projected on it; a
 passage that lies near an item in cosine is a candidate. Around a candidate, the
 longest common subsequence of words with the item, and whether the item's last
 sentence (its answer) is there, decide.
@@ -38,10 +41,14 @@ COMMON = 0.05
 COSINE, SHORTEST = 0.45, 0.5
 #: Items are looked for by cosine if the mean square of each piece's weights is so many times that of the corpus' words, or more.
 ORDINARY = 2.0
-#: Share of an item's words in the common subsequence: alone, or with the answer.
+#: Share of an item's words in the common subsequence: alone, or with the answer (an item without one has but the first way).
 ALONE, WITH_ANSWER = 0.65, 0.5
-#: Items that are searched in one pass; more items take more passes.
-BLOCK_ITEMS = 2000
+#: Items of fewer words tell nothing inside a text: only a text that is the item leaks it.
+FEWEST_WORDS = 5
+#: Items that are searched in one pass; more items take more passes, with the same results.
+BLOCK_ITEMS = 5000
+#: More columns than are kept, for the sketch; bytes of the vectors that go to the tasks, beyond which fewer are kept.
+SPARE, SPACE_BYTES = 16, 256 << 20
 
 _GLUE = np.arange(256, dtype=np.uint8)
 _GLUE[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = 0x20
@@ -70,11 +77,11 @@ class Space:
     latent: np.ndarray  # pieces of items x dimensions, of length one
     lengths: np.ndarray
     item_of: np.ndarray  # of each piece, a row of latent and lengths
-    plain: list[tuple[int, np.ndarray]]  # items that are looked for by their words, and the terms' flags
+    plain: list[tuple[int, np.ndarray]]  # items that are looked for by their words, and their terms
 
 
 def as_items(rows: list[tuple[int, str]]) -> list[Item]:
-    """Items with words; the answer is what follows the last sentence end inside the text, if that has three words or more."""
+    """Items with words, given as (number, text); the answer is what follows the last sentence end inside the text, if that has three words or more."""
     items = []
     for number, text in rows:
         raw = (text or "").strip()
@@ -184,36 +191,48 @@ def sketch(documents: DataFrame, terms: np.ndarray, weights: np.ndarray, random:
 
 
 def fit_space(documents: DataFrame, items: list[Item], dimensions: int = DIMENSIONS) -> Space:
-    """The latent space of one block of items."""
+    """The latent space of all items."""
     terms = np.unique(np.array([w for i in items for w in i.words], np.uint64))
     seen, times, total, words = document_frequencies(documents, terms)
     weights = np.log((total + 1.0) / (seen + 1.0)) + 0.1
     weights[seen > COMMON * total] = 0 if (seen <= COMMON * total).any() else 0.1
     weights = weights.astype(np.float32)
-    dimensions = min(dimensions, len(terms))
-    random = np.random.default_rng(SEED).standard_normal((len(terms), dimensions)).astype(np.float32)
+    dimensions = max(1, min(dimensions, len(terms), SPACE_BYTES // 4 // len(terms)))
     own = [np.searchsorted(terms, np.array(i.words, np.uint64)) for i in items]
-    t, z = _products(np.concatenate(own), np.repeat(np.arange(len(own)), [len(o) for o in own]), weights, random)
-    ours = np.zeros_like(random)
-    ours[t] = z
-    theirs = sketch(documents, terms, weights, random)
-    both = sum(x / max(np.linalg.norm(x), 1e-9) for x in (ours, theirs))
-    basis = np.linalg.qr(both)[0].astype(np.float32)
+    at, piece = np.concatenate(own), np.repeat(np.arange(len(own)), [len(o) for o in own])
+    scales: list[float] = []
+
+    def multiplied(x: np.ndarray) -> np.ndarray:
+        """The matrix' transpose times the matrix times x; corpus and items count alike, whatever their numbers."""
+        ours = np.zeros_like(x)
+        t, z = _products(at, piece, weights, x)
+        ours[t] = z
+        parts = (ours, sketch(documents, terms, weights, x))
+        scales[:] = scales or [1 / max(float(np.linalg.norm(p)), 1e-9) for p in parts]
+        return sum(p * scale for p, scale in zip(parts, scales, strict=True))
+
+    random = np.random.default_rng(SEED).standard_normal((len(terms), min(dimensions + SPARE, len(terms)))).astype(np.float32)
+    basis = np.linalg.qr(multiplied(random))[0].astype(np.float32)
+    small = basis.T @ multiplied(basis)
+    vectors = np.linalg.eigh((small + small.T) / 2)[1][:, ::-1][:, :dimensions]
+    basis = (basis @ vectors).astype(np.float32)
     cut = [(i, o[at : at + PASSAGE]) for i, o in enumerate(own) for at in starts_of(len(o))]
     item_of = np.array([i for i, _ in cut])
     latent = np.array([(weights[o][:, None] * basis[o]).sum(0) for _, o in cut])
     ordinary = (times * weights.astype(float) ** 2).sum() / max(words, 1)
     light = np.unique([i for i, o in cut if (weights[o].astype(float) ** 2).mean() < ORDINARY * ordinary or not weights[o].any()])
-    heavy = ~np.isin(item_of, light)
-    plain = []
-    for i in light.astype(int):
-        flags = np.zeros(len(terms) + 1, bool)  # the last is for words that are no terms
-        flags[own[i]] = True
-        plain.append((int(i), flags))
+    plain = [(int(i), np.unique(own[int(i)])) for i in light]
     lengths = np.linalg.norm(latent, axis=1)
+    heavy = ~np.isin(item_of, light)
     return Space(terms, weights, basis, items, (latent / np.maximum(lengths, 1e-9)[:, None])[heavy], lengths[heavy], item_of[heavy], plain)
 
 
+def block_of(space: Space, low: int, high: int) -> Space:
+    """The space with only the items from low to high to be searched."""
+    own = (space.item_of >= low) & (space.item_of < high)
+    return Space(space.terms, space.weights, space.basis, space.items[low:high], space.latent[own], space.lengths[own], space.item_of[own] - low, [(i - low, t) for i, t in space.plain if low <= i < high])
+
+
 def starts_of(many: int) -> list[int]:
     """Where the pieces of an item begin: all are of a passage's length, if the item is."""
     return sorted({min(at, max(0, many - PASSAGE)) for at in range(0, max(1, many - PASSAGE + STEP), STEP)})
@@ -276,7 +295,9 @@ def find(space: Space, masks: list[tuple[dict, dict]], hashes: np.ndarray, upto:
                 own[-1][1] = max(own[-1][1], high)
             else:
                 own.append([low, high])
-    for i, flags in space.plain:
+    for i, own_terms in space.plain:
+        flags = np.zeros(len(space.terms) + 1, bool)  # the last is for words that are no terms
+        flags[own_terms] = True
         many = len(space.items[i].words)
         held = np.concatenate([[0], np.cumsum(flags[term])])
         blocks = -(-counts // many)
@@ -296,8 +317,11 @@ def find(space: Space, masks: list[tuple[dict, dict]], hashes: np.ndarray, upto:
                 words = hashes[a : min(high, a + reach)].tolist()
                 share = common_subsequence(words, mine, many) / many
                 best = max(best, share)
-                said = not answer or common_subsequence(words, answer, len(item.answer)) >= 0.8 * len(item.answer)
-                leak |= share >= ALONE or share >= WITH_ANSWER and said
+                if many < FEWEST_WORDS:
+                    leak |= share == 1 and upto[r + 1] - upto[r] == many
+                    continue
+                said = answer and share >= WITH_ANSWER and common_subsequence(words, answer, len(item.answer)) >= 0.8 * len(item.answer)
+                leak |= share >= ALONE or bool(said)
             out.append((r, i, best, leak))
     return out
 
@@ -305,40 +329,44 @@ def find(space: Space, masks: list[tuple[dict, dict]], hashes: np.ndarray, upto:
 NAMES = ("item_id", "share", "contaminated")
 
 
-def _mark(documents: DataFrame, space: Space, names: tuple[str, str, str]) -> DataFrame:
+def _mark(documents: DataFrame, space: Space, ids: list, kind: str, names: tuple[str, str, str]) -> DataFrame:
     def run(rows: pa.RecordBatch) -> list:
         masks = [(masks_of(i.words), masks_of(i.answer)) for i in space.items]
         best: dict[int, tuple[bool, float, int]] = {}
+        place = {x: n for n, x in enumerate(ids)}
         old = {n: rows.schema.get_field_index(n) for n in names}
-        if all(i >= 0 for i in old.values()):  # of the blocks of items before
-            for r, (item, share, leak) in enumerate(zip(*(rows.column(i).to_pylist() for i in old.values()), strict=True)):
-                if item is not None:
-                    best[r] = (leak, share, -item)
+        for r, (item, share, leak) in enumerate(zip(*(rows.column(i).to_pylist() for i in old.values()), strict=True)):  # of the blocks of items before
+            if item is not None:
+                best[r] = (leak, share, -place[item])
         for low, _, hashes, upto in _per_chunk(rows):
             for r, i, share, leak in find(space, masks, hashes, upto):
                 best[low + r] = max(best.get(low + r, (False, 0.0, 0)), (leak, share, -space.items[i].number))
         got = [best.get(r) for r in range(rows.num_rows)]
-        return [pa.array([g and -g[2] for g in got], pa.int64()), pa.array([g[1] if g else 0.0 for g in got]), pa.array([bool(g and g[0]) for g in got])]
+        column = rows.schema.field(names[0]).type
+        return [pa.array([g and ids[-g[2]] for g in got], column), pa.array([g[1] if g else 0.0 for g in got]), pa.array([bool(g and g[0]) for g in got])]
 
-    return extend(documents, run, f"{names[0]} long, {names[1]} double, {names[2]} boolean")
+    return extend(documents, run, f"{names[0]} {kind}, {names[1]} double, {names[2]} boolean")
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS, dimensions: int = DIMENSIONS, names: tuple[str, str, str] = NAMES) -> DataFrame:
     """Adds item_id (the best candidate, or null), share (of its words) and contaminated to the documents.
 
-    Texts that are null or empty, on either side, match nothing; item ids must
-    be whole numbers, rows with a null one are ignored. Items that repeat are
-    searched each; of equal shares the smaller id is given. Other columns pass
-    through, columns named as an added one (``names``) are replaced; an empty benchmark
-    marks nothing. Items are taken in blocks, a pass over the documents each.
+    Texts that are null or empty, on either side, match nothing; item ids may be
+    of any type that has an order, rows with a null one are ignored. Items that
+    repeat are searched each; of equal shares the smaller id is given. Other
+    columns pass through, columns named as an added one (``names``) are replaced;
+    an empty benchmark marks nothing. The benchmark's items go to every task, in
+    blocks if there are many, a pass over the documents each.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("item_id").isNotNull())
-    blocks = max(1, -(-items.count() // block_items))
-    out = documents.drop(*names).withColumns({names[0]: F.lit(None).cast("long"), names[1]: F.lit(0.0), names[2]: F.lit(False)})
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        if own := as_items([(r["item_id"], r["text"]) for r in rows]):
-            out = _mark(out, fit_space(documents, own, dimensions), names)
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+    rows = benchmark.select("item_id", "text").where(F.col("item_id").isNotNull()).orderBy("item_id", "text").collect()
+    ids = list(dict.fromkeys(r["item_id"] for r in rows))
+    number = {x: n for n, x in enumerate(ids)}
+    out = documents.drop(*names).withColumns({names[0]: F.lit(None).cast(kind), names[1]: F.lit(0.0), names[2]: F.lit(False)})
+    if items := as_items([(number[r["item_id"]], r["text"]) for r in rows]):
+        space = fit_space(documents, items, dimensions)
+        for low in range(0, len(items), block_items):
+            out = _mark(out, block_of(space, low, low + block_items), ids, kind, names)
     return out
 
 
