@@ -330,7 +330,7 @@ def crowd_marks(contexts: DataFrame, length: int, kmer: int, width: int = RANGE)
     )
     again = contexts.join(kinds.where(F.col("d") > 1).select(*RID, "pos", "part"), [*RID, "pos"]).select(*RID, "at", "h", "pos", "bytes", "part")
     starts = stored(again.mapInArrow(_crowd_keys(length, kmer, width, True), schema).select(*RID, "pos", "part", "key"))
-    often = starts.groupBy("key").count().where(F.col("count") > 1).select("key")
+    often = stored(starts.groupBy("key").count().where(F.col("count") > 1).select("key"))  # stored: the join can then split a hot key's rows
     single = starts.join(often, "key", "left_semi").select(*RID, (F.col("pos") - F.col("part")).alias("start"), (F.col("pos") - F.col("part") + length).alias("end"))
     return alike.unionByName(single)
 
