@@ -103,8 +103,10 @@ def contributions(income: DataFrame, parties: DataFrame, account: str) -> DataFr
     aggregates come out, never a row of a donor.
     """
     p = parties.select(F.col("name").alias("p_name"), F.col("external_id").alias("party_id"))
-    rows = income.select("account", T.business_number("business_no").alias("company_no"), T.party_name("party").alias("party_"), "donor", T.gregorian_year("year").alias("report_year"), T.amount("amount").alias("amount_"))
-    rows = rows.where((F.col("account") == account) & F.col("company_no").isNotNull() & ~T.is_blank("donor") & (F.col("report_year") > 0) & (F.col("amount_") > 0))
+    # The account first: the texts of other rows are never parsed.
+    rows = income.where((F.col("account") == account) & ~T.is_blank("donor"))
+    rows = rows.select(T.business_number("business_no").alias("company_no"), T.party_name("party").alias("party_"), T.gregorian_year("year").alias("report_year"), T.amount("amount").alias("amount_"))
+    rows = rows.where(F.col("company_no").isNotNull() & (F.col("report_year") > 0) & (F.col("amount_") > 0))
     joined = rows.join(p, F.col("party_") == F.col("p_name"))
     return joined.groupBy("party_id", "company_no", "report_year").agg(F.round(F.sum("amount_"), 2).alias("amount_total"), F.count("*").alias("donation_count"))
 
