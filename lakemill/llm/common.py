@@ -166,21 +166,32 @@ def extend(df: DataFrame, f: Callable[[pa.RecordBatch], list], added: str, drop:
     return df.mapInArrow(run, schema)
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, modulus: int, left_out: int, limits: tuple[int, int], longest: int):
-    """Training rows of a classifier, by class at most ``limits`` documents of at most ``longest`` bytes.
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, modulus: int, left_out: int, limits: tuple[int, int], most_bytes: int):
+    """Training rows of a classifier, by class at most ``limits`` documents, together of at most ``most_bytes`` bytes.
 
     Ids are taken in the order of a hash of the id from the labelled rows whose
     remainder isn't the one left out; a document labelled twice has its smaller
-    label, one that stands twice its smallest text. Returns a pandas frame (text,
-    label) and the number of labelled rows of each class.
+    label, one that stands twice its smallest text. Documents of any length are
+    taken whole, as far in that order as the bytes reach. Returns a pandas frame
+    (text, label) and the number of labelled rows of each class.
     """
     known = labels.where(F.col(label).isin(0, 1) & (fold("doc_id", modulus) != left_out)).groupBy("doc_id").agg(F.min(label).alias("label_"))
     counts = {r["label_"]: r["n"] for r in known.groupBy("label_").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64(F.col("doc_id").cast("string"))
     ids = [known.where(F.col("label_") == c).orderBy(order, "doc_id").limit(limits[c]) for c in (0, 1)]
-    short = documents.where(F.octet_length(F.coalesce("text", F.lit(""))) <= longest).select("doc_id", "text")
-    rows = short.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").groupBy("doc_id", "label_").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    return rows.toPandas().sort_values("doc_id", ignore_index=True), (counts.get(0, 0), counts.get(1, 0))
+    rows = documents.select("doc_id", "text").join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").groupBy("doc_id", "label_").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = first_bytes(stored(rows.select("doc_id", "label_", "text", order.alias("order"))), ["order", "doc_id"], most_bytes)  # of a bounded number of rows
+    return rows.select("doc_id", "label_", "text").toPandas().sort_values("doc_id", ignore_index=True), (counts.get(0, 0), counts.get(1, 0))
+
+
+def first_bytes(rows: DataFrame, order: list[str], most_bytes: int) -> DataFrame:
+    """Of a stored table with a bounded number of rows, those whose texts, in an order, together have no more than so many bytes."""
+    sizes = rows.select(*order, F.octet_length("text").alias("bytes")).toPandas().sort_values(order)
+    taken = sizes[sizes["bytes"].cumsum() <= most_bytes]
+    if len(taken) == len(sizes):
+        return rows
+    keys = rows.sparkSession.createDataFrame(taken[order].values.tolist(), rows.select(*order).schema)
+    return rows.join(F.broadcast(keys), order, "left_semi")
 
 
 def class_weights(y: np.ndarray, counts: tuple[int, int]) -> np.ndarray:

@@ -21,8 +21,8 @@ from lakemill.llm.common import LOWER, Adam, chunks, class_weights, extend, fold
 
 BINS, FACTORS, TERMS = 1 << 18, 6, 3072
 PREFIXES = (4, 6, 7)
-#: The classifier's training sample: documents of each class (0, 1) and bytes of a document, at most.
-SAMPLE, LONGEST = (4000, 3000), 65536
+#: The classifier's training sample: documents of each class (0, 1), and their bytes together, at most.
+SAMPLE, SAMPLE_BYTES = (4000, 3000), 64 << 20
 THRESHOLD = 0.3
 PUNCTUATION = np.zeros(256, bool)
 PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
@@ -111,9 +111,9 @@ def train(texts: list[str], y: np.ndarray, weights: np.ndarray, steps: int = 400
     return m
 
 
-def fit_toxicity(documents: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, longest: int = LONGEST) -> Machine:
+def fit_toxicity(documents: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Machine:
     """Learns labels.toxic from a bounded sample of the training fold."""
-    rows, counts = labelled_sample(documents, labels, "toxic", 4, 2, sample, longest)
+    rows, counts = labelled_sample(documents, labels, "toxic", 4, 2, sample, most_bytes)
     y = rows["label_"].to_numpy(float)
     return train(rows["text"].tolist(), y, class_weights(y, counts))
 

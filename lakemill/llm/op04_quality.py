@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from lakemill.llm.common import Adam, chunks, class_weights, extend, fold, labelled_sample, sigmoid, table, utf8
 
 WIDTH, STRIDE, CELL, FILTERS = 8, 2, 128, 16
-#: The classifier's training sample: documents of each class (0, 1) and bytes of a document, at most.
-SAMPLE, LONGEST = (2000, 2000), 65536
+#: The classifier's training sample: documents of each class (0, 1), and their bytes together, at most.
+SAMPLE, SAMPLE_BYTES = (2000, 2000), 32 << 20
+#: Bytes of a training batch at most, unless a document alone has more.
+BATCH_BYTES = 2 << 20
 THRESHOLD = 0.3
 
 
@@ -92,8 +94,11 @@ def train(texts: list[str], y: np.ndarray, weights: np.ndarray, epochs: int = 6,
     for epoch in range(epochs):
         adam.rate = rate * (1 - epoch / epochs)
         order = random.permutation(len(encoded))
-        for at in range(0, len(order), size):
-            rows = order[at : at + size]
+        lengths = np.array([len(encoded[i]) for i in order])
+        at = 0
+        while at < len(order):
+            rows = order[at : at + max(1, min(size, int(np.searchsorted(np.cumsum(lengths[at : at + size]), BATCH_BYTES, side="right"))))]
+            at += len(rows)
             starts = np.concatenate([[0], np.cumsum([len(encoded[i]) for i in rows])])
             laid, first = lay_out(np.concatenate([encoded[i] for i in rows]), starts)
             inside = responses(net, laid)
@@ -118,9 +123,9 @@ def train(texts: list[str], y: np.ndarray, weights: np.ndarray, epochs: int = 6,
     return net
 
 
-def fit_quality(documents: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, longest: int = LONGEST) -> Network:
+def fit_quality(documents: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Network:
     """Learns labels.quality from a bounded sample of the training fold."""
-    rows, counts = labelled_sample(documents, labels, "quality", 5, 0, sample, longest)
+    rows, counts = labelled_sample(documents, labels, "quality", 5, 0, sample, most_bytes)
     y = rows["label_"].to_numpy(float)
     return train(rows["text"].tolist(), y, class_weights(y, counts))
 

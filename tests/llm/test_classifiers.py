@@ -74,3 +74,14 @@ def test_long_text_is_scored_in_pieces_as_a_whole():
 def test_training_without_labels(spark):
     df, labels = documents(spark, [(1, "a b c")]), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert X.score_toxicity(df, X.fit_toxicity(df, labels)).count() == 1 and Q.score_quality(df, Q.fit_quality(df, labels)).count() == 1
+
+
+def test_the_sample_takes_long_documents_as_far_as_its_bytes_reach(spark):
+    from lakemill.llm.common import labelled_sample
+
+    df = documents(spark, [(i, "x" * (100_000 if i % 5 == 0 else 10)) for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    rows, counts = labelled_sample(df, labels, "toxic", 4, 2, (100, 100), 1 << 30)
+    assert len(rows) == sum(counts) and (rows["text"].str.len() == 100_000).any()
+    some, _ = labelled_sample(df, labels, "toxic", 4, 2, (100, 100), 250_000)
+    assert 0 < len(some) < len(rows) and 100_000 <= some["text"].str.len().sum() <= 250_000
