@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import math
+import os
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lakemill.llm import op01_ann as A
+from tests.conftest import SMALL
+
+MEDIUM = SMALL.replace("0.001", "0.1")
 
 
 def brute(ids, vectors, k):
@@ -33,10 +38,41 @@ def test_finds_what_brute_force_finds(spark):
     want = brute(ids, vectors, 20)
     hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
     assert set(got) == set(want) and hits >= 0.95 * 20 * len(want)
-    assert got[0] == want[0] or [s for _, s in got[0]] == sorted((s for _, s in got[0]), reverse=True)
+    for q in got:  # nearest first, ties to the smaller id
+        assert got[q] == sorted(got[q], key=lambda x: (-x[1], x[0]))
+    exact = {q: [i for i, _ in sorted(((int(i), float((vectors[i] * vectors[q]).sum())) for i in ids if i != q), key=lambda x: (-x[1], x[0]))[:20]] for q in (700, 720)}
+    assert all([i for i, _ in got[q]] == exact[q] for q in exact)
     assert all(abs(s - float(vectors[i] @ vectors[q])) < 1e-9 for q in got for i, s in got[q])
 
 
+@pytest.mark.skipif(not os.path.isdir(MEDIUM), reason="no test tables here")
+def test_recall_on_the_embeddings(spark):
+    """Every dealt query against brute force over all embeddings, with shards so small that most are not visited at once."""
+    df = A.usable(spark.read.parquet(f"{MEDIUM}/embeddings.parquet"), "vec_id", "embedding")
+    rows = df.toPandas().sort_values("vec_id")
+    vectors, ids = np.stack(rows["v"].to_numpy()), rows["vec_id"].to_numpy()
+    got: dict[int, set] = {}
+    for r in A.nearest(df, df.where("vec_id % 20 = 0"), shard_rows=1024).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits, n = 0, 0
+    for q in ids[ids % 20 == 0]:
+        scores = vectors @ vectors[ids == q][0]
+        scores[ids == q] = -np.inf
+        hits += len(got[q] & set(ids[np.argsort(-scores)[:20]]))
+        n += 20
+    assert hits >= 0.95 * n
+
+
+def test_cells_hold_their_points():
+    r = np.random.default_rng(6)
+    points = np.concatenate([r.standard_normal((3000, 8)), np.zeros((500, 8))])
+    cells = A.Cells.of(points, 100)
+    own = cells.cell(points)
+    assert (points >= cells.low[own]).all() and (points <= cells.high[own]).all()
+    assert len(cells.low) > 20 and np.bincount(own).max() <= 600
+    assert (cells.distances(points)[np.arange(len(points)), own] == 0).all()
+
+
 def test_ties_go_to_smaller_ids_and_own_row_is_none(spark):
     rows = [(i, [1.0, 0.0]) for i in range(60)] + [(100, [0.0, 1.0])]
     df = A.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
