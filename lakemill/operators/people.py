@@ -132,13 +132,20 @@ def fold_keys(items: DataFrame) -> DataFrame:
 
 
 def groups_by_key(keys: DataFrame, rounds: int = 40) -> DataFrame:
-    """(person_id, root): items connected by keys. A round passes the smallest id through the keys; checkpoints cut the lineage."""
+    """(person_id, root): items connected by keys.
+
+    A round passes the smallest id through the keys and then takes each root's own
+    root, so that the rounds grow with the logarithm of the longest chain;
+    checkpoints cut the lineage.
+    """
     shared_folder(keys.sparkSession)
     keys = keys.checkpoint()
     roots = keys.select("person_id", F.col("person_id").alias("root")).distinct()
     for _ in range(rounds):
         by_key = keys.join(roots, "person_id").groupBy("key").agg(F.min("root").alias("least"))
-        fresh = keys.join(by_key, "key").groupBy("person_id").agg(F.min("least").alias("root")).checkpoint()
+        passed = keys.join(by_key, "key").groupBy("person_id").agg(F.min("least").alias("root")).checkpoint()
+        onwards = passed.select(F.col("person_id").alias("root"), F.col("root").alias("further"))
+        fresh = passed.join(onwards, "root").select("person_id", F.least("root", "further").alias("root")).checkpoint()
         moved = fresh.join(roots.withColumnRenamed("root", "old"), "person_id").where("root <> old").limit(1).count()
         roots = fresh
         if not moved:

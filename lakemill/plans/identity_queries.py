@@ -187,4 +187,3 @@ def add(register) -> None:
     register("a15_gap_histogram", lambda t: R.gap_histogram(gaps(t)), """
         SELECT key, count(*) AS n FROM (SELECT 'priority:' || priority AS key FROM gaps UNION ALL SELECT 'signal:' || unnest(string_split(missing_signals, ',')) FROM gaps) x GROUP BY key""", **FEATURE_VIEWS)
     register("r20_official_candidate_matches", lambda t: I.official_candidate_matches(official_rows(t), V.public_candidates(t)), _overlap(OFFICIAL), **(ALL | {"official": OFFICIAL_ROWS}))
-    register("r29_fold_duplicates", lambda t: P.fold_duplicates(person_items(t)))

@@ -61,6 +61,29 @@ _STATUS = "CASE status WHEN 'current' THEN 0 WHEN 'candidate' THEN 1 WHEN 'forme
 _ROLES = "CASE role " + " ".join(f"WHEN '{r}' THEN {n}" for r, n in T.ROLE_RANK.items()) + " END"
 _STROKES = "CASE " + " ".join(f"WHEN left(name, 1) IN ({', '.join(repr(c) for c in chars)}) THEN {n}" for n, chars in T.SURNAME_STROKES.items()) + " ELSE 2147483647 END"
 
+_FIRST = "(x.status_rank, x.role_rank, -(x.told + x.n)) < (old.status_rank, old.role_rank, -(old.told + old.n))"
+_EITHER = ", ".join(f"{c} := CASE WHEN {_FIRST} THEN x.{c} ELSE old.{c} END" for c in ("person_id", "name_key"))
+_RANKS = ", ".join(f"{c} := CASE WHEN {_FIRST} THEN x.{c} ELSE old.{c} END" for c in ("status_rank", "role_rank", "told"))
+#: The fold as a recursion over the list: kept holds what the items before have come to.
+FOLDED = rf"""
+SELECT k.person_id, array_to_string(k.merged, '|') AS merged_person_ids, k.n AS merged_candidate_count FROM (SELECT unnest(kept) AS k FROM (
+  WITH RECURSIVE rows_ AS (
+    SELECT row_number() OVER (ORDER BY person_id) AS place, struct_pack(person_id := person_id, name_key := 'name-party|' || regexp_replace(name, '\s+', '', 'g') || '|' || {_LABEL.format("party")},
+           ids := CASE WHEN external_ids = '' THEN CAST([] AS VARCHAR[]) ELSE list_transform(string_split(external_ids, '|'), lambda e: CASE WHEN regexp_matches(e, '(?i)^wikidata:Q\d+$') THEN 'external:wikidata:' || upper(substr(e, 10)) ELSE 'external:' || lower(e) END) END,
+           merged := [person_id], n := CAST(candidate_count AS BIGINT), status_rank := {_STATUS}, role_rank := {_ROLES},
+           told := CAST(coalesce(position <> '', false) AS INT) + CAST(coalesce(district <> '', false) AS INT) + CAST(coalesce(education <> '', false) AS INT) + CAST(coalesce(experience <> '', false) AS INT) + CAST(coalesce(gender <> 'unknown', false) AS INT)) AS item
+    FROM items),
+  folds (one, place, kept) USING KEY (one) AS (
+    SELECT 1, CAST(0 AS BIGINT), list_filter([item], lambda x: false) FROM rows_ WHERE place = 1
+    UNION
+    SELECT 1, rows_.place, list_append(list_filter(kept, lambda o: NOT list_has_any(list_append(o.ids, o.name_key), list_append(item.ids, item.name_key))),
+      list_reduce(list_sort(list_transform(list_filter(kept, lambda o: list_has_any(list_append(o.ids, o.name_key), list_append(item.ids, item.name_key))),
+                                           lambda o: struct_pack(turn := list_min(list_transform(list_append(o.ids, o.name_key), lambda y: coalesce(list_position(list_prepend(item.name_key, item.ids), y), 2147483647))), o := o))
+                  , 'ASC').list_transform(lambda z: z.o), lambda x, old: struct_pack({_EITHER}, ids := list_sort(list_distinct(list_concat(x.ids, old.ids))),
+                  merged := CASE WHEN {_FIRST} THEN list_concat(x.merged, old.merged) ELSE list_concat(old.merged, x.merged) END, n := x.n + old.n, {_RANKS}), item))
+    FROM folds JOIN rows_ ON rows_.place = folds.place + 1)
+  SELECT kept FROM folds) y) z"""
+
 INCOME = r"""
 SELECT p.external_id AS party_id, company_no, CAST(y AS BIGINT) AS report_year, round(sum(a), 2) AS amount_total, count(*) AS donation_count
 FROM (SELECT account, CASE WHEN length(regexp_replace(business_no, '\D', '', 'g')) = 8 THEN regexp_replace(business_no, '\D', '', 'g') END AS company_no, party, donor,
@@ -110,6 +133,7 @@ def add(register) -> None:
     register("u03_merged_by_key", lambda t: S.merged_by_key([t["parties"].select("id", "name"), t["parties"].where(F.col("is_public")).select("id", F.upper("name").alias("name"))], "id"), "SELECT id, CASE WHEN is_public THEN upper(name) ELSE name END AS name FROM parties")
     register("o11_default_region", lambda t: S.default_region(V.public_regions(t)).select("region_id"), "SELECT region_id FROM public_regions_ ORDER BY CASE WHEN slug = '63000' OR name = '臺北市' THEN 0 WHEN region_type = 'county_city' THEN 1 ELSE 2 END, display_order ASC NULLS LAST, region_id LIMIT 1", **ALL)
     register("r31_j13_person_list", items, ITEMS, **ALL)
+    register("r29_fold_duplicates", lambda t: P.fold_duplicates(person_items(t)), FOLDED, **ITEM_VIEWS)
     register("r30_backfilled_people", lambda t: P.backfilled(V.public_people(t), V.public_person_claims(t)).select("person_id", "gender", "education", "experience"), "SELECT person_id, gender, education, experience FROM items", **ITEM_VIEWS)
     register("o04_person_order", lambda t: P.numbered(items(t)).select("person_id", "place"), f"SELECT person_id, row_number() OVER (ORDER BY {_STATUS}, {_ROLES}, {_STROKES}, name, person_id) AS place FROM items", **ITEM_VIEWS)
     register("o03_person_page", lambda t: P.page(items(t), 3).select("person_id", "place"), f"SELECT person_id, place FROM (SELECT person_id, row_number() OVER (ORDER BY {_STATUS}, {_ROLES}, {_STROKES}, name, person_id) AS place FROM items) x WHERE place BETWEEN 41 AND 60", **ITEM_VIEWS)

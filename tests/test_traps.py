@@ -225,6 +225,11 @@ def one_by_one(rows):
     return {(v["id"], tuple(v["merged"]), v["n"]) for v in by_key.values()}
 
 
+def test_a_long_chain_of_shared_keys_settles(spark):
+    keys = spark.createDataFrame([(f"p{i:04}", f"k{j}") for i in range(300) for j in (i, i + 1)] + [("z", "alone")], "person_id string, key string")
+    assert {(r["person_id"], r["root"]) for r in people.groups_by_key(keys, rounds=14).collect()} == {(f"p{i:04}", "p0000") for i in range(300)} | {("z", "z")}
+
+
 def test_folding_loses_the_key_of_the_other_item(spark):
     rows = [
         ("1", "a", "p", None, None, None, None, None, "other", "other", ["x"], 0), ("2", "b", "p", "y", None, None, None, None, "other", "current", ["x"], 1), ("3", "a", "p", None, None, None, None, None, "other", "other", [], 0),
