@@ -22,29 +22,25 @@ FROM people p LEFT JOIN (
   WHERE claim_type = 'birth_date' AND review_status = 'verified' AND visibility = 'public' AND is_public GROUP BY person_id) b ON b.person_id = p.id
 WHERE p.is_public"""
 
+#: A pair in either order.
+_PAIR = "least({0}, {1}) || '|' || greatest({0}, {1})"
 QUEUE = f"""
-SELECT dup.id AS duplicate_person_id, dup.name AS duplicate_person_name, dup.party AS duplicate_person_party, dup.position AS duplicate_person_position, dup.district AS duplicate_person_district,
-       can.id AS canonical_person_id, can.name AS canonical_person_name, can.party AS canonical_person_party, can.position AS canonical_person_position, can.district AS canonical_person_district,
-       reason, confidence_level, score, evidence_json
-FROM (
-  SELECT q.*, CASE WHEN r.profile_score > l.profile_score THEN r.id ELSE l.id END AS c_id, CASE WHEN r.profile_score > l.profile_score THEN l.id ELSE r.id END AS d_id
-  FROM (
-    SELECT DISTINCT ON (l_id, r_id) * FROM (
-      SELECT a.person_id AS l_id, b.person_id AS r_id, '{I.SHARED_ID}' AS reason, 'A' AS confidence_level, CAST(100 AS BIGINT) AS score, CAST(json_object('externalId', a.x) AS VARCHAR) AS evidence_json
-      FROM ids a JOIN ids b ON a.x = b.x AND b.person_id > a.person_id
-      UNION ALL
-      SELECT l.id, r.id, '{I.SAME_BIRTH}', 'B', 85, CAST(json_object('normalizedName', l.nn, 'gender', l.gender, 'birthDate', l.birth_date, 'note', '{I.BIRTH_NOTE}') AS VARCHAR)
-      FROM base l JOIN base r ON r.nn = l.nn AND r.gender = l.gender AND r.birth_date = l.birth_date AND r.id > l.id WHERE l.gender IS NOT NULL AND l.gender <> 'unknown' AND l.birth_date IS NOT NULL
-      UNION ALL
-      SELECT l.id, r.id, '{I.CONTEXT}', 'D', 55, CAST(json_object('normalizedName', l.nn, 'normalizedParty', CASE WHEN l.np = r.np THEN l.np END, 'normalizedDistrict', CASE WHEN l.nd = r.nd THEN l.nd END, 'note', '{I.CONTEXT_NOTE}') AS VARCHAR)
-      FROM base l JOIN base r ON r.nn = l.nn AND r.id > l.id
-      WHERE (l.np = r.np OR l.nd = r.nd) AND NOT coalesce(l.gender IS NOT NULL AND r.gender IS NOT NULL AND l.gender <> 'unknown' AND r.gender <> 'unknown' AND l.gender <> r.gender, false)) pairs
-    ORDER BY l_id, r_id, score DESC, evidence_json) q
-  JOIN base l ON l.id = q.l_id JOIN base r ON r.id = q.r_id) ranked
-JOIN base dup ON dup.id = ranked.d_id JOIN base can ON can.id = ranked.c_id
-WHERE NOT EXISTS (SELECT 1 FROM person_merge_decisions d WHERE d.status IN ('verified', 'rejected', 'archived')
-                  AND ((d.duplicate_person_id = ranked.d_id AND d.canonical_person_id = ranked.c_id) OR (d.duplicate_person_id = ranked.c_id AND d.canonical_person_id = ranked.d_id)))
-  AND NOT EXISTS (SELECT 1 FROM person_merge_decisions v WHERE v.status = 'verified' AND v.duplicate_person_id = ranked.d_id)"""
+WITH named AS (
+  SELECT a.id AS one, b.id AS two, a.nn, a.np, a.nd, a.gender, a.birth_date, coalesce(a.np = b.np, false) AS party_too, coalesce(a.nd = b.nd, false) AS place_too,
+         coalesce(a.birth_date = b.birth_date AND nullif(a.gender, 'unknown') = b.gender, false) AS born, coalesce(nullif(a.gender, 'unknown') <> nullif(b.gender, 'unknown'), false) AS clash
+  FROM base a, base b WHERE a.nn = b.nn AND a.id < b.id),
+linked AS (SELECT a.person_id AS one, b.person_id AS two, min(CAST(json_object('externalId', x) AS VARCHAR)) AS proof FROM ids a JOIN ids b USING (x) WHERE a.person_id < b.person_id GROUP BY ALL),
+found AS (
+  SELECT one, two, CASE WHEN proof IS NOT NULL THEN ('A', 100, '{I.SHARED_ID}', proof)
+                        WHEN born THEN ('B', 85, '{I.SAME_BIRTH}', CAST(json_object('normalizedName', nn, 'gender', gender, 'birthDate', birth_date, 'note', '{I.BIRTH_NOTE}') AS VARCHAR))
+                        ELSE ('D', 55, '{I.CONTEXT}', CAST(json_object('normalizedName', nn, 'normalizedParty', CASE WHEN party_too THEN np END, 'normalizedDistrict', CASE WHEN place_too THEN nd END, 'note', '{I.CONTEXT_NOTE}') AS VARCHAR)) END AS why
+  FROM linked FULL JOIN named USING (one, two) WHERE proof IS NOT NULL OR born OR ((party_too OR place_too) AND NOT clash)),
+sided AS (SELECT why, CASE WHEN b.profile_score > a.profile_score THEN a ELSE b END AS dup, CASE WHEN b.profile_score > a.profile_score THEN b ELSE a END AS can FROM found JOIN base a ON a.id = one JOIN base b ON b.id = two)
+SELECT {", ".join(f"{side}.{c} AS {name}_person_{c}" for side, name in (("dup", "duplicate"), ("can", "canonical")) for c in ("id", "name", "party", "position", "district"))},
+       why[3] AS reason, why[1] AS confidence_level, CAST(why[2] AS BIGINT) AS score, why[4] AS evidence_json
+FROM sided
+WHERE dup.id NOT IN (SELECT duplicate_person_id FROM person_merge_decisions WHERE status = 'verified')
+  AND {_PAIR.format("dup.id", "can.id")} NOT IN (SELECT {_PAIR.format("duplicate_person_id", "canonical_person_id")} FROM person_merge_decisions WHERE status IN ({", ".join(f"'{x}'" for x in I.TERMINAL)}))"""
 
 IDS = """SELECT DISTINCT person_id, lower(claim_value) AS x FROM person_claims
 WHERE claim_type = 'external_id' AND review_status = 'verified' AND visibility = 'public' AND is_public AND claim_value IS NOT NULL AND person_id IS NOT NULL"""
@@ -168,15 +164,12 @@ def person_items(t):
 def add(register) -> None:
     register("v17_person_duplicate_review_queue", I.person_duplicate_review_queue, QUEUE, ids=IDS, base=BASE)
     register("k13_auto_merges", lambda t: I.auto_merges(I.person_duplicate_review_queue(t), t["person_merge_decisions"]), """
-        SELECT duplicate_person_id, canonical_person_id, confidence_level, reason, evidence_json, 'verified' AS status
-        FROM (SELECT DISTINCT ON (duplicate_person_id) * FROM dup_queue WHERE confidence_level = 'A' ORDER BY duplicate_person_id, score DESC, canonical_person_id) q
-        WHERE NOT EXISTS (SELECT 1 FROM person_merge_decisions d WHERE (d.duplicate_person_id = q.duplicate_person_id AND d.canonical_person_id = q.canonical_person_id)
-                          OR (d.duplicate_person_id = q.canonical_person_id AND d.canonical_person_id = q.duplicate_person_id))""", **QUEUE_VIEWS)
+        SELECT duplicate_person_id, best.c AS canonical_person_id, 'A' AS confidence_level, best.r AS reason, best.e AS evidence_json, 'verified' AS status
+        FROM (SELECT duplicate_person_id, min(struct_pack(s := -score, c := canonical_person_id, r := reason, e := evidence_json)) AS best FROM dup_queue WHERE confidence_level = 'A' GROUP BY 1) tops
+        WHERE """ + f"{_PAIR.format('duplicate_person_id', 'best.c')} NOT IN (SELECT {_PAIR.format('duplicate_person_id', 'canonical_person_id')} FROM person_merge_decisions)", **QUEUE_VIEWS)
     register("r15_merge_decisions_to_apply", lambda t: I.merge_decisions_to_apply(I.person_duplicate_review_queue(t), t["person_merge_decisions"]), """
-        SELECT duplicate_person_id, canonical_person_id, confidence_level, reason, 'verified' AS status FROM dup_queue q WHERE confidence_level = 'A'
-          AND NOT EXISTS (SELECT 1 FROM person_merge_decisions d WHERE d.status IN ('verified', 'rejected', 'archived') AND least(d.duplicate_person_id, d.canonical_person_id) = least(q.duplicate_person_id, q.canonical_person_id)
-                          AND greatest(d.duplicate_person_id, d.canonical_person_id) = greatest(q.duplicate_person_id, q.canonical_person_id))
-          AND NOT EXISTS (SELECT 1 FROM person_merge_decisions a WHERE a.status IN ('suggested', 'verified') AND a.duplicate_person_id = q.duplicate_person_id)""", **QUEUE_VIEWS)
+        SELECT duplicate_person_id, canonical_person_id, confidence_level, reason, 'verified' AS status FROM dup_queue
+        WHERE confidence_level = 'A' AND duplicate_person_id NOT IN (SELECT duplicate_person_id FROM person_merge_decisions WHERE status IN ('suggested', 'verified'))""", **QUEUE_VIEWS)
     register("r03_probable_identity_matches", lambda t: I.probable_identity_matches(t["source_people"], t["people"]), MATCHES)
     register("r04_exact_identity_matches", lambda t: I.exact_identity_matches(t["source_people"], t["people"]), """
         SELECT s.id AS source_person_id, p.id AS person_id, 'auto_matched' AS match_status, CAST(100 AS BIGINT) AS score FROM source_people s JOIN people p ON p.external_id = s.external_record_id""")
