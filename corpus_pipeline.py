@@ -14,11 +14,22 @@ from lakemill.llm import near_copies, op04_quality, op05_mixing, op06_decontamin
 from lakemill.llm.common import stored, table
 
 
+def unused(docs: DataFrame, *names: str) -> tuple[str, ...]:
+    """These names, with more underscores where the documents have such a column."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return tuple(out)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     net = op04_quality.fit_quality(docs, table(spark, sf_dir, "labels"))
-    scored = op04_quality.score_quality(docs, net, names=("quality_score_", "quality_accepted_"))
-    return scored.where(F.col("quality_accepted_") == 1).select(*docs.columns)
+    names = unused(docs, "quality_score", "quality_accepted")
+    scored = op04_quality.score_quality(docs, net, names=names)
+    return scored.where(F.col(names[1]) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +39,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item."""
-    marked = op06_decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"), names=("leak_item_", "leak_share_", "leak_found_"))
-    return marked.where(~F.col("leak_found_")).select(*docs.columns)
+    names = unused(docs, "leak_item", "leak_share", "leak_found")
+    marked = op06_decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"), names=names)
+    return marked.where(~F.col(names[2])).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
