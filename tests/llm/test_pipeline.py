@@ -48,3 +48,24 @@ def test_run_equals_the_stages(spark, folder):
         docs = stage(spark, docs, folder)
     a = sorted((r["doc_id"], r["taken"]) for r in docs.collect())
     assert sorted((r["doc_id"], r["taken"]) for r in corpus_pipeline.run(spark, folder).collect()) == a
+
+
+def test_every_stage_takes_odd_rows_and_any_names(spark, folder):
+    """Nulls in every column, empty and long texts, repeated rows, an empty table, and columns named as what the stages add."""
+    from tests.llm.helpers import odd_rows
+
+    names = ("score", "predicted", "label_", "quality_score", "quality_accepted", "leak_item", "leak_share", "leak_found", "item_id", "contaminated", "fp", "tid", "row", "doc", "root", "bucket", "place", "spans", "Rows")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    rows = [(d, t, None, "s" if d and d % 2 else None, None if d is None else len(t or ""), *names) for d, t in odd_rows()]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        for df in (docs, docs.limit(0)):
+            out = stage(spark, df, folder)
+            got = out.collect()
+            if name != "mixing":
+                assert out.columns == docs.columns
+            assert set(docs.columns) <= set(out.columns) and all(tuple(r[n] for n in names) == names for r in got)
+            if name in ("decontamination", "personal_data", "mixing"):
+                assert len(got) == (len(rows) if df is docs else 0)
+            if name == "near_duplicates" and df is docs:
+                assert sorted((r["doc_id"] for r in got), key=str) == sorted([1, 3, 4, 5, 6, None], key=str)
