@@ -55,6 +55,15 @@ def stored(df: DataFrame, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Narrow rows up to which a table is broadcast: a few megabytes.
+BROADCAST_ROWS = 100_000
+
+
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast if it has no more than so many rows; else the join shuffles. Texts then move no more than they must."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a column of strings and each row's start, with the end at last; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

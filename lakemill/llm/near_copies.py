@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemill.llm.common import batch, chunks, mix, pieces, stored, utf8
+from lakemill.llm.common import batch, chunks, if_small, mix, pieces, stored, utf8
 from lakemill.llm.components import components
 from lakemill.llm.op09_simhash import bits, fingerprint_of, forest, near, shingle_hashes
 
@@ -136,8 +136,8 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> D
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], names=["tid", "set"])
 
-    ends = pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).distinct()
-    wanted = texts.join(ends, "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
+    ends = stored(pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).distinct())
+    wanted = texts.join(if_small(ends), "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
     sets = stored(wanted.mapInArrow(run, "tid binary, set array<long>"))
     one, two = (sets.select(F.col("tid").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
@@ -195,6 +195,7 @@ def one_of_each(documents: DataFrame, crowd: int = CROWD, leaders: int = LEADERS
     sizes = stored(met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1))
     parts = F.ceil(F.col("n") / crowd)
     met = stored(met.join(sizes, "key").select("key", "tid", "n", F.when(F.col("n") > crowd, F.pmod(F.xxhash64("tid"), parts)).alias("part")))
+    sketches = stored(sketches.join(met.select("tid").distinct(), "tid", "left_semi"))  # of the texts that meet others, once for all searches
     crowds = met.where("part IS NOT NULL")
     many = not crowds.isEmpty()
     shards = met.select(F.when(F.col("part").isNull(), F.col("key")).otherwise(F.xxhash64("key", "part")).alias("shard"), "tid", "key")

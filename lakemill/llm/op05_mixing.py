@@ -18,15 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakemill.llm.common import stored, table
+from lakemill.llm.common import if_small, stored, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Share of all words that the mix takes, and how often a source may be repeated.
 SHARE, REPEATS = 1.5, 2.0
 BUCKET_ROWS = 4096
-#: Rows of sums by source, or by source and bucket, up to which they are broadcast.
-BROADCAST_ROWS = 100_000
 
 
 def source_targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS) -> DataFrame:
@@ -56,11 +54,6 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, sha
     return levels.select("source", "source_size", "weight", F.least(F.col("top"), F.coalesce(F.col("found.level"), F.col("level")) * F.col("weight")).alias("target"))
 
 
-def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast if it has no more than so many rows; else the join shuffles. Texts then move no more than they must."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def demand_time(part: Column, start: Column, end: Column) -> Column:
     """The time at which a weight going from start to end has given ``part`` (0 to 1) of its integral.
 
