@@ -235,7 +235,7 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(rows: pa.RecordBatch) -> list:
-    """Counts of base spans, the base spans' digest, all spans, and the number of added ones."""
+    """Counts of base spans, the base spans' digest, all spans, the number of added ones, and whether there are any."""
     column = rows.column(rows.schema.get_field_index("text"))
     data, starts = utf8(column)
     digit, odd, at = _any(_ASCII_DIGIT[data], starts), _any(_ODD_LEAD[data], starts), _any(data == 0x40, starts)
@@ -256,18 +256,18 @@ def scan(rows: pa.RecordBatch) -> list:
             digests[i] = hashlib.sha256(listed(base).encode()).hexdigest()
         if base or added:
             spans[i], more[i] = listed(sorted([*base, *added])), len(added)
-    return [*(pa.array(c) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(more)]
+    return [*(pa.array(c) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(more), pa.array([s != "" for s in spans], pa.bool_())]
 
 
-ADDED = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+ADDED = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, has_personal_data boolean"
 
 
 def find_personal_data(documents: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
     """Adds the spans of personal data to the documents.
 
     Counts and digest are of the base spans, in code points with the end
-    exclusive; spans lists base and added ones; n_added counts the added ones. A
-    null or empty text has no spans. Repeated rows are scanned alike, other
+    exclusive; spans lists base and added ones; n_added counts the added ones;
+    has_personal_data tells whether there is any span. A null or empty text has no spans. Repeated rows are scanned alike, other
     columns pass through, a column named as an added one is replaced. Whole
     texts are read, in time in proportion to their length.
     """
