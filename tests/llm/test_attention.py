@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import math
+import pickle
 import zlib
 
 import numpy as np
@@ -31,7 +32,7 @@ def test_gradients(model):
     real = np.arange(A.WINDOW)[None, :] < real[:, None]
 
     def loss():
-        return A.gradients(m, inputs, targets, real)
+        return A.gradients(m, inputs, targets, A.by_counts(m, inputs, targets), real)
 
     _, g, owed = loss()
     assert owed.shape == (inputs.size, A.MIX) and (owed >= 0).all() and owed.sum(1).max() <= 1 + 1e-5
@@ -61,10 +62,11 @@ def test_a_pass_lowers_the_loss_of_ids(model):
     seqs = [np.resize(r.permutation(40)[:7], 60).astype(np.uint16) for _ in range(40)]
     inputs, targets, real, _ = A.windows_of(seqs)
     mask = np.arange(A.WINDOW)[None, :] < real[:, None]
-    before = A.gradients(m, inputs, targets, mask)[0]
-    weights, owed = A.descend(m, inputs, targets, real, 0.02, 1, size=32)
+    counted = A.by_counts(m, inputs, targets)
+    before = A.gradients(m, inputs, targets, counted, mask)[0]
+    weights, owed = A.descend(m, inputs, targets, counted, real, 0.02, 1, size=32)
     better = A.replace(m, **dict(zip(A._BODY, weights, strict=True)))
-    assert A.gradients(better, inputs, targets, mask)[0] < before - 0.05
+    assert A.gradients(better, inputs, targets, counted, mask)[0] < before - 0.05
     assert owed.sum() <= real.sum() + 1e-3 and (owed[50:A.END] == 0).all()
 
 
@@ -91,12 +93,20 @@ def test_training_grows_with_the_corpus_and_lowers_held_out_loss(spark):
     fresh = [A.subwords(text()) for _ in range(20)]
     before = A.log_probabilities(m, fresh).sum()
     few, many = tokens(100), tokens(400)
-    assert 3 < A.training_windows(many, 8).count() / A.training_windows(few, 8).count() < 5
+    assert 3 < A.training_windows(m, many, 8).count() / A.training_windows(m, few, 8).count() < 5
     A.fit(m, many, 1, rounds=3)
     assert A.log_probabilities(m, fresh).sum() > before * 0.95  # of negative numbers: at least a twentieth better
     assert abs(m.spread.sum(0, dtype=np.float64) - 1).max() < 1e-4
 
 
+def test_what_is_sent_is_small_and_the_same(model):
+    m, _ = model
+    sent = pickle.dumps(m)
+    assert len(sent) < 20 << 20 and np.array_equal(pickle.loads(sent).beside, m.beside)
+    f = A.Frequent.of(np.sort(A.mix(np.arange(1, 1000, dtype=np.uint64))))
+    assert len(pickle.dumps(f)) < 20_000 and (pickle.loads(pickle.dumps(f)).place(f.hashes) == np.arange(999)).all()
+
+
 def test_no_frequent_word_is_pushed_out():
     hashes = np.sort(A.mix(np.arange(1, 1 + A.FREQUENT, dtype=np.uint64)))
     f = A.Frequent.of(hashes)
