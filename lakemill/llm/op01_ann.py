@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakemill.llm.common import pieces, stored, table
+from lakemill.llm.common import if_small, pieces, stored, table
 
 DIRECTIONS, LEAF, SEED = 8, 64, 11
 #: Vectors of a shard, about, and queries of a block; projected points that the cells are cut by.
@@ -221,7 +221,8 @@ def nearest(
 
     def visited(routed: DataFrame) -> DataFrame:
         """What routed queries (d, shard, vec_id, v, floor) find; a shard with many is searched in blocks."""
-        blocks = routed.groupBy("d", "shard").agg(F.ceil(F.count("*") / block_rows).alias("blocks")).select(F.col("d").alias("b_d"), F.col("shard").alias("b_shard"), "blocks")  # a row for each shard
+        blocks = routed.groupBy("d", "shard").agg(F.ceil(F.count("*") / block_rows).alias("blocks")).select(F.col("d").alias("b_d"), F.col("shard").alias("b_shard"), "blocks")
+        blocks = if_small(stored(blocks))  # a row for each shard
         own = placed.join(blocks, (F.col("d") == F.col("b_d")) & (F.col("shard") == F.col("b_shard")))
         own = own.select("d", "shard", "vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
         ask = routed.join(blocks, (F.col("d") == F.col("b_d")) & (F.col("shard") == F.col("b_shard"))).select("d", "shard", "vec_id", "v", "floor", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).alias("block"))
