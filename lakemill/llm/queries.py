@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakemill.llm import op05_mixing
+from lakemill.llm import op05_mixing, op12_chat
 from lakemill.llm.op02_suffix import op2_suffix_dedup
 from lakemill.llm.op01_ann import op1_ann
 from lakemill.llm.op06_decontamination import op6_decontamination
@@ -13,7 +13,8 @@ from lakemill.llm.op07_attention import op7_attention
 from lakemill.llm.op08_license import op8_license
 from lakemill.llm.op09_simhash import op9_simhash
 from lakemill.llm.op10_pii import op10_pii
+from lakemill.llm.op12_chat import op12_chat
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_suffix_dedup, op3_toxicity, op4_quality, op5_mixing, op6_decontamination, op7_attention, op8_license, op9_simhash, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_suffix_dedup, op3_toxicity, op4_quality, op5_mixing, op6_decontamination, op7_attention, op8_license, op9_simhash, op10_pii, op12_chat)}
 
-SQL = {"op5_mixing": op05_mixing.SQL.format(documents="documents")}
+SQL = {"op5_mixing": op05_mixing.SQL.format(documents="documents"), "op12_chat": op12_chat.SQL.format(conversations="conversations")}
