@@ -251,3 +251,31 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     drawn = resample(documents, table(spark, sf_dir, "benchmark"), keep_text=False)
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+SQL = r"""
+WITH crc AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS step FROM range(256) r(i)),
+texts AS (
+  SELECT row_number() OVER () AS r, * FROM (
+    SELECT TRUE AS source, doc_id, text FROM {documents} UNION ALL SELECT FALSE, NULL, text FROM {benchmark})),
+worded AS (
+  SELECT r, source, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+grams AS (SELECT r, source, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS gram FROM worded, range(1, 4) k(n)),
+counted AS (SELECT r, source, gram, count(*) AS c FROM grams GROUP BY ALL),
+hashed AS (
+  SELECT gram, xor(list_reduce(list_transform(range(len(digits) // 2), lambda i: CAST(('0x' || digits[2 * i + 1:2 * i + 2]) AS BIGINT)),
+                               lambda c, x: xor(c >> 8, step[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM (SELECT gram, hex(encode(gram)) AS digits FROM (SELECT DISTINCT gram FROM counted)), crc),
+parts AS (SELECT r, source, bucket, sum(c) AS c FROM counted JOIN hashed USING (gram) GROUP BY ALL),
+buckets AS (SELECT bucket, coalesce(sum(c) FILTER (WHERE source), 0)::DOUBLE AS s, coalesce(sum(c) FILTER (WHERE NOT source), 0)::DOUBLE AS t FROM parts GROUP BY bucket),
+totals AS (SELECT coalesce(sum(s), 0) AS all_s, coalesce(sum(t), 0) AS all_t FROM buckets),
+gained AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (all_s + 10000) / ((s + 1) * (all_t + 10000)))) AS BIGINT) AS gain FROM buckets, totals),
+weighed AS (SELECT r, CAST(sum(c) AS BIGINT) AS n_features, CAST(sum(c * gain) AS BIGINT) AS weight FROM parts JOIN gained USING (bucket) WHERE source GROUP BY r),
+scored AS (
+  SELECT w.doc_id, len(w.w) >= 20 AS open, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(('0x' || substr(sha256('42:' || coalesce(CAST(w.doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM worded w LEFT JOIN weighed USING (r) WHERE w.source),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY open ORDER BY score DESC, doc_id NULLS FIRST, weight, n_features) AS place, count(*) FILTER (WHERE open) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN open AND place <= 5 * n // 100 THEN place END AS rank FROM ranked
+"""

@@ -13,10 +13,15 @@ from lakemill.llm.op07_attention import op7_attention
 from lakemill.llm.op08_license import op8_license
 from lakemill.llm.op09_simhash import op9_simhash
 from lakemill.llm.op10_pii import op10_pii
+from lakemill.llm.op11_resample import SQL as RESAMPLE_SQL
 from lakemill.llm.op11_resample import op11_resample
 from lakemill.llm.op12_chat import SQL as CHAT_SQL
 from lakemill.llm.op12_chat import op12_chat
 
 QUERIES = {f.__name__: f for f in (op1_ann, op2_suffix_dedup, op3_toxicity, op4_quality, op5_mixing, op6_decontamination, op7_attention, op8_license, op9_simhash, op10_pii, op11_resample, op12_chat)}
 
-SQL = {"op5_mixing": op05_mixing.SQL.format(documents="documents"), "op12_chat": CHAT_SQL.format(conversations="conversations")}
+SQL = {
+    "op5_mixing": op05_mixing.SQL.format(documents="documents"),
+    "op11_resample": RESAMPLE_SQL.format(documents="documents", benchmark="benchmark"),
+    "op12_chat": CHAT_SQL.format(conversations="conversations"),
+}

@@ -106,3 +106,14 @@ def test_columns_pass_and_empty_table(spark):
     empty = documents(spark, [], "doc_id long, text string")
     assert R.resample(empty, empty).count() == 0
     assert R.resample(empty, df).count() == 0 and R.resample(df, empty).count() == 40
+
+
+def test_query_equals_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows, target = rows_of(6, 60)
+    documents(spark, [r for r in rows if len(r[1] or "") < 10_000]).write.parquet(str(tmp_path / "documents.parquet"))
+    documents(spark, [(i, t) for i, t in enumerate(target)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    df = R.op11_resample(spark, str(tmp_path))
+    q = duckdb.connect().execute(R.SQL.format(documents=f"'{tmp_path}/documents.parquet/*.parquet'", benchmark=f"'{tmp_path}/benchmark.parquet/*.parquet'"))
+    assert df.columns == [c[0] for c in q.description]
+    assert sorted((tuple(r) for r in df.collect()), key=repr) == sorted(q.fetchall(), key=repr)
