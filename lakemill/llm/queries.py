@@ -17,11 +17,14 @@ from lakemill.llm.op11_resample import SQL as RESAMPLE_SQL
 from lakemill.llm.op11_resample import op11_resample
 from lakemill.llm.op12_chat import SQL as CHAT_SQL
 from lakemill.llm.op12_chat import op12_chat
+from lakemill.llm.op13_phrases import SQL as PHRASES_SQL
+from lakemill.llm.op13_phrases import op13_phrases
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_suffix_dedup, op3_toxicity, op4_quality, op5_mixing, op6_decontamination, op7_attention, op8_license, op9_simhash, op10_pii, op11_resample, op12_chat)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_suffix_dedup, op3_toxicity, op4_quality, op5_mixing, op6_decontamination, op7_attention, op8_license, op9_simhash, op10_pii, op11_resample, op12_chat, op13_phrases)}
 
 SQL = {
     "op5_mixing": op05_mixing.SQL.format(documents="documents"),
     "op11_resample": RESAMPLE_SQL.format(documents="documents", benchmark="benchmark"),
     "op12_chat": CHAT_SQL.format(conversations="conversations"),
+    "op13_phrases": PHRASES_SQL.format(documents="documents"),
 }
