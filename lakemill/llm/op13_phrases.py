@@ -236,21 +236,22 @@ WITH pieces AS (
          unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
   FROM {documents}),
 worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
-grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS g FROM worded, range(1, 4) t(k)),
+grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM worded, range(1, 4) t(k)),
 freq AS (SELECT lang, k, g, count(*) AS f FROM grams GROUP BY ALL),
 sizes AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM freq WHERE k = 1 GROUP BY lang),
+halves AS (
+  SELECT lang, k, g, f, j, array_to_string(string_split(g, ' ')[1:j], ' ') AS head, array_to_string(string_split(g, ' ')[j + 1:], ' ') AS tail
+  FROM freq JOIN range(1, 3) s(j) ON k > j WHERE f >= 10),
 cuts AS (
-  SELECT c.lang, c.k, c.g, c.f AS a, x.f AS l, y.f AS r, j,
+  SELECT c.lang, c.k, c.g, c.f AS a, x.f AS l, y.f AS r, c.j,
          CAST(1000000::HUGEINT * c.f * c.f // (x.f::HUGEINT * y.f) AS BIGINT) AS score
-  FROM freq c, range(1, 3) s(j), freq x, freq y
-  WHERE c.k > j AND c.f >= 10 AND x.lang = c.lang AND y.lang = c.lang AND x.g = c.g[1:j] AND y.g = c.g[j + 1:]),
+  FROM halves c JOIN freq x ON x.lang = c.lang AND x.g = c.head JOIN freq y ON y.lang = c.lang AND y.g = c.tail),
 lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
 inside AS (
   SELECT DISTINCT s.lang, s.g FROM lowest s JOIN (
-    SELECT lang, g[1:2] AS part, a FROM lowest WHERE k = 3 UNION ALL SELECT lang, g[2:3], a FROM lowest WHERE k = 3) t
+    SELECT lang, array_to_string(string_split(g, ' ')[i:i + 1], ' ') AS part, a FROM lowest, range(1, 3) t(i) WHERE k = 3) t
   ON s.lang = t.lang AND s.g = t.part AND 100 * t.a >= 50 * s.a)
-SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase, a, l, r, n, score
-FROM lowest JOIN sizes USING (lang)
-WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = lowest.lang AND i.g = lowest.g)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n, score
+FROM lowest JOIN sizes USING (lang) ANTI JOIN inside USING (lang, g)
 QUALIFY rank <= 2000
 """
