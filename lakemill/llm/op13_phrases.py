@@ -9,10 +9,12 @@ named falls away at each level. The parents give the counts of a cut's parts
 candidates a longer one contains.
 
 Names are exact and global. Texts are cut into blocks of some megabytes; a block
-numbers its own different sequences and sends each once with its count. Rows of
-the same sequence meet by their key, and the place of the first of them (block
-and number) becomes the name of all, which goes back to the blocks that have it.
-Blocks of words go along with their names; texts are read once.
+numbers its own different sequences and sends each once with its count. Those of
+a bucket of keys meet: equal keys are added up, and the place of the first
+(block and number) becomes the name of all, which goes back to the blocks that
+have it. What moves are packed columns, a row for each block and bucket; there
+are so many buckets that one has some hundred thousand keys, whatever the size
+of the corpus, and of a key only one row for each block. Texts are read once.
 """
 
 from __future__ import annotations
@@ -20,16 +22,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakemill.llm.common import LOWER, batch, chunks, mix, prefix_sums, scratch, stored, stretch_hash, table, utf8
+from lakemill.llm.common import LOWER, batch, chunks, mix, pieces, prefix_sums, scratch, stored, stretch_hash, table, utf8
 
 FEWEST, CONTAINED_PERCENT, TOP = 10, 50, 2000
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+#: Buckets that keys meet in: one for so many of the blocks' keys, and no fewer than the least.
+BUCKET_KEYS, BUCKETS = 1 << 19, 256
 #: A name is block << LOCAL | number in the block.
 LOCAL = 31
 #: Blocks of a task: more would run into the next task's numbers, and raise.
@@ -60,21 +64,42 @@ def words_and_pieces(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray,
     return first, last, row, fresh
 
 
+def pack(*columns: np.ndarray, tail: bytes = b"") -> bytes:
+    """Whole numbers in columns of one length, by planes of bytes, and some bytes behind them, compressed."""
+    planes = [np.ascontiguousarray(c, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns]
+    return zstandard.compress(b"".join([len(columns[0]).to_bytes(8, "little"), *planes, tail]), 3)
+
+
+def unpack(packed: bytes, columns: int) -> tuple[list[np.ndarray], bytes]:
+    raw = zstandard.decompress(packed)
+    n = int.from_bytes(raw[:8], "little")
+    out = [np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 8 + 8 * n * i).reshape(8, n).T).view("<i8").ravel() for i in range(columns)]
+    return out, raw[8 + 8 * n * columns :]
+
+
+def in_buckets(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of each bucket's entries, in their order."""
+    order = np.argsort(bucket, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
+        yield int(bucket[part[0]]), part
+
+
 def blocks_of(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks of texts (lang, text) as rows of two kinds: the sequence of a block's words as numbers, and its different words.
 
-    sequence: little-endian 32-bit numbers, 0 between pieces; a word's number is
-    its place in the block's list of (lang, word). Words with n, their count.
+    sequence: packed numbers, 0 between pieces, as many as n; a word's number is
+    its place in the block's list. Words as key, which is the language, a space
+    and the word, with n, their count.
     """
-    schema = "kind string, block long, sequence binary, number long, lang string, word string, n long"
+    schema = "kind string, block long, sequence binary, number long, key string, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, index = TaskContext.get().partitionId(), 0
-        for rows in batches:
+        for rows in pieces(batches, 4096):
             data, starts = utf8(rows.column(1))
             data = LOWER[data]
             coded = rows.column(0).dictionary_encode()
-            langs, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+            langs, code = [x.encode() + b" " for x in coded.dictionary.to_pylist()], coded.indices.to_numpy().astype(np.int64)
             for low, high in chunks(starts, block_bytes):
                 own = data[starts[low] : starts[high]]
                 first, last, row, fresh = words_and_pieces(own, starts[low : high + 1] - starts[low])
@@ -85,85 +110,175 @@ def blocks_of(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
                 lang = code[low:high][row]
                 sums, down = prefix_sums(own)
                 key = mix(stretch_hash(sums, down, first, last) + lang.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                del sums
                 _, sample, number, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
                 order = np.argsort(-n, kind="stable")  # frequent words get small numbers, which pack well
                 rank = np.empty(len(order), np.int32)
                 rank[order] = np.arange(1, len(order) + 1)
-                cuts = np.flatnonzero(fresh)
-                sequence = np.insert(rank[number].astype("<i4"), cuts[1:], 0).tobytes()
+                sequence = np.insert(rank[number], np.flatnonzero(fresh)[1:], 0)
                 sample, n = sample[order], n[order]
                 raw = own.tobytes()
-                words = pa.array([raw[a:b] for a, b in zip(first[sample].tolist(), last[sample].tolist(), strict=True)], pa.binary()).cast(pa.string())
-                block = (task << TASK_BLOCKS) | index
+                keys = [langs[i] + raw[a:b] for i, a, b in zip(lang[sample].tolist(), first[sample].tolist(), last[sample].tolist(), strict=True)]
+                block, count = (task << TASK_BLOCKS) | index, len(sample)
                 index += 1
-                count = len(sample)
-                own_lang = pa.array([langs[i] for i in lang[sample].tolist()], pa.string())
-                yield batch(kind=["sequence"], block=[block], sequence=pa.array([sequence], pa.binary()), number=pa.nulls(1, pa.int64()), lang=pa.nulls(1, pa.string()), word=pa.nulls(1, pa.string()), n=pa.nulls(1, pa.int64()))
-                yield batch(kind=["word"] * count, block=np.full(count, block), sequence=pa.nulls(count, pa.binary()), number=np.arange(1, count + 1), lang=own_lang, word=words, n=n.astype(np.int64))
+                yield batch(kind=["sequence"], block=[block], sequence=pa.array([pack(sequence)], pa.binary()), number=pa.nulls(1, pa.int64()), key=pa.nulls(1, pa.string()), n=[len(sequence)])
+                yield batch(kind=["word"] * count, block=np.full(count, block), sequence=pa.nulls(count, pa.binary()), number=np.arange(1, count + 1), key=pa.array(keys, pa.binary()).cast(pa.string()), n=n.astype(np.int64))
 
     return documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(run, schema)
 
 
-def named(rows: DataFrame, key: tuple[str, ...], fewest: int) -> DataFrame:
-    """Rows (block, number, n, *key) of the sequences that occur often enough, with their count f and name.
-
-    A key has one row for each block that has it; its window is no longer than that.
-    """
-    same = Window.partitionBy(*key)
-    place = F.shiftleft("block", LOCAL).bitwiseOR(F.col("number"))
-    return rows.select("*", place.alias("place"), F.sum("n").over(same).alias("f"), F.min(place).over(same).alias("name")).where(F.col("f") >= fewest)
-
-
-def names(rows: DataFrame) -> DataFrame:
-    """One row for each name of named rows."""
-    return rows.where(F.col("place") == F.col("name"))
+def word_rows(words: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, packed): the words of blocks, packed by bucket of their key."""
 
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        some: list[pa.RecordBatch] = []
+        for rows in batches:
+            some.append(rows)
+            if sum(r.num_rows for r in some) >= 1 << 17:
+                yield pa.Table.from_batches(some)
+                some = []
+        if some:
+            yield pa.Table.from_batches(some)
 
-def adjacent(sequence: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The different pairs of adjacent names: left and right name, count, and for each place the pair's number (0: none there).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in gathered(batches):
+            block, number, n = (rows.column(i).to_numpy() for i in (0, 1, 3))
+            data, starts = utf8(rows.column(2))
+            sums, down = prefix_sums(data)
+            bucket = (stretch_hash(sums, down, starts[:-1], starts[1:]) % np.uint64(buckets)).astype(np.int64)
+            raw, out = data.tobytes(), []
+            begin, end = starts[:-1].tolist(), starts[1:].tolist()
+            for b, at in in_buckets(bucket):
+                out.append((b, pack((block[at] << LOCAL) | number[at], n[at], np.diff(starts)[at], tail=b"".join(raw[begin[i] : end[i]] for i in at.tolist()))))
+            yield batch(bucket=pa.array([b for b, _ in out], pa.int64()), packed=pa.array([x for _, x in out], pa.binary()))
+
+    return words.select("block", "number", "key", "n").mapInArrow(run, "bucket long, packed binary")
+
+
+def _sent_back(place: np.ndarray, name: np.ndarray) -> list[tuple[int, bytes]]:
+    """For each block its numbers and their names, packed."""
+    return [(b, pack(place[at] & ((1 << LOCAL) - 1), name[at])) for b, at in in_buckets(place >> LOCAL)]
+
+
+NAMED = "block long, packed binary, name long, key string, left long, right long, f long"
+
+
+def _named(back: list[tuple[int, bytes]], name: np.ndarray, f: np.ndarray, key: pa.Array | None = None, left: np.ndarray | None = None, right: np.ndarray | None = None) -> pa.Table:
+    m, n = len(back), len(name)
+    null = lambda kind: pa.nulls(m + n, kind)
+
+    def after(values: object, kind: pa.DataType) -> pa.Array:
+        return pa.concat_arrays([pa.nulls(m, kind), values if isinstance(values, pa.Array) else pa.array(values, kind)])
+
+    return pa.table({
+        "block": pa.concat_arrays([pa.array([b for b, _ in back], pa.int64()), pa.nulls(n, pa.int64())]),
+        "packed": pa.concat_arrays([pa.array([x for _, x in back], pa.binary()), pa.nulls(n, pa.binary())]),
+        "name": after(name, pa.int64()),
+        "key": null(pa.string()) if key is None else after(key, pa.string()),
+        "left": null(pa.int64()) if left is None else after(left, pa.int64()),
+        "right": null(pa.int64()) if right is None else after(right, pa.int64()),
+        "f": after(f, pa.int64()),
+    })
+
+
+def named_words(rows: DataFrame, fewest: int) -> DataFrame:
+    """Names of the words that occur often enough: for each block that has one (block, packed numbers and names), and (name, key, f)."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        place, n, keys = [], [], []
+        for packed in rows.column("packed").to_pylist():
+            (p, m, size), raw = unpack(packed, 3)
+            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+            place.append(p)
+            n.append(m)
+            keys.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(p), [None, pa.py_buffer(ends), pa.py_buffer(raw)]))
+        place, n = np.concatenate(place), np.concatenate(n)
+        coded = pa.chunked_array(keys).combine_chunks().dictionary_encode()
+        own = coded.indices.to_numpy()
+        f, name = np.zeros(len(coded.dictionary), np.int64), np.full(len(coded.dictionary), np.iinfo(np.int64).max)
+        np.add.at(f, own, n)
+        np.minimum.at(name, own, place)
+        often = np.flatnonzero(f >= fewest)
+        kept = np.flatnonzero(f[own] >= fewest)
+        return _named(_sent_back(place[kept], name[own[kept]]), name[often], f[often], key=coded.dictionary.take(pa.array(often)).cast(pa.binary()).cast(pa.string()))
+
+    return rows.groupBy("bucket").applyInArrow(run, NAMED)
+
+
+def named_pairs(rows: DataFrame, fewest: int, send: bool = True) -> DataFrame:
+    """Names of the pairs that occur often enough: for each block that has one (block, packed numbers and names), and (name, left, right, f)."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        left, right, n, place = [], [], [], []
+        for block, base, packed in zip(*(rows.column(c).to_pylist() for c in ("block", "base", "packed")), strict=True):
+            (a, b, m), _ = unpack(packed, 3)
+            left.append(np.cumsum(a))
+            right.append(b)
+            n.append(m)
+            place.append((block << LOCAL) + base + np.arange(len(a)))
+        left, right, n, place = (np.concatenate(x) for x in (left, right, n, place))
+        order = np.lexsort((place, right, left))
+        left, right, n, place = left[order], right[order], n[order], place[order]
+        begin = np.flatnonzero(np.append(True, (np.diff(left) != 0) | (np.diff(right) != 0)))
+        f, size = np.add.reduceat(n, begin), np.diff(np.append(begin, len(left)))
+        often = f >= fewest
+        kept = np.repeat(often, size)
+        back = _sent_back(place[kept], np.repeat(place[begin], size)[kept]) if send else []
+        at = begin[often]
+        return _named(back, place[at], f[often], left=left[at], right=right[at])
+
+    return rows.groupBy("bucket").applyInArrow(run, NAMED)
+
+
+def adjacent(sequence: np.ndarray, name: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
+    """The different pairs of adjacent names by bucket, left and right name: bucket, left, right, count; and for each place the pair's number (0: none there).
 
     sequence: numbers, 0 for none; name: of each number, -1 if it has none.
-    Numbers of pairs begin with 1, in the order of left and right name.
+    Numbers of pairs begin with 1.
     """
     own = name[sequence]
-    both = (own[:-1] >= 0) & (own[1:] >= 0)
-    at = np.flatnonzero(both)
+    at = np.flatnonzero((own[:-1] >= 0) & (own[1:] >= 0))
     out = np.zeros(max(0, len(sequence) - 1), np.int64)
-    used, dense = np.unique(own[own >= 0], return_inverse=True)  # names by size: pairs sort as their names do
-    small = np.zeros(len(own), np.int64)
-    small[own >= 0] = dense
-    key, number, n = np.unique(small[at] * max(1, len(used)) + small[at + 1], return_inverse=True, return_counts=True)
-    out[at] = number + 1
-    return used[key // max(1, len(used))] if len(key) else key, used[key % max(1, len(used))] if len(key) else key, n, out, np.arange(1, len(key) + 1)
-
-
-def pairs_of(blocks: DataFrame, words: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """(block, number, left, right, n): each block's different pairs of adjacent named words, or of adjacent named pairs of these."""
+    if not len(at):
+        return (np.zeros(0, np.int64),) * 4 + (out,)
+    used, small = np.unique(own, return_inverse=True)  # names by size: pairs sort as their names do
+    key, number, n = np.unique(small[at] * len(used) + small[at + 1], return_inverse=True, return_counts=True)
+    left, right = used[key // len(used)], used[key % len(used)]
+    bucket = (mix(left.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + mix(right.astype(np.uint64))) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(1, len(order) + 1)
+    out[at] = rank[number]
+    return bucket[order], left[order], right[order], n[order], out
+
+
+def pair_rows(blocks: DataFrame, words: DataFrame, buckets: int, pairs: DataFrame | None = None) -> DataFrame:
+    """(bucket, block, base, packed): each block's different pairs of adjacent named words, or of adjacent named pairs of these, packed by bucket."""
     second = pairs is not None
-    level = words.select("block", F.lit(1).alias("level"), "number", "name")
+    level = words.where(F.col("block").isNotNull()).select("block", F.lit(1).alias("level"), "packed")
     if second:
-        level = level.unionByName(pairs.select("block", F.lit(2).alias("level"), "number", "name"))
+        level = level.unionByName(pairs.where(F.col("block").isNotNull()).select("block", F.lit(2).alias("level"), "packed"))
 
-    def lookup(rows: pd.DataFrame, level: int, size: int) -> np.ndarray:
-        own = rows[rows["level"] == level]
+    def lookup(mapping: pa.Table, level: int, size: int) -> np.ndarray:
         out = np.full(size + 1, -1, np.int64)
-        out[own["number"].to_numpy()] = own["name"].to_numpy()
+        for own, packed in zip(mapping.column("level").to_pylist(), mapping.column("packed").to_pylist(), strict=True):
+            if own == level:
+                (number, name), _ = unpack(packed, 2)
+                out[number] = name
         return out
 
     def run(sequence: pa.Table, mapping: pa.Table) -> pa.Table:
-        found = mapping.select(["level", "number", "name"]).to_pandas()
-        block, own = 0, None
-        for block, raw in zip(sequence.column("block").to_pylist(), sequence.column("sequence").to_pylist(), strict=True):
-            own = np.frombuffer(raw, "<i4")
-        if own is None or not len(found):
-            empty = np.zeros(0, np.int64)
-            return pa.table({"block": empty, "number": empty, "left": empty, "right": empty, "n": empty})
-        left, right, n, place, number = adjacent(own, lookup(found, 1, int(own.max())))
-        if second:
-            left, right, n, _, number = adjacent(place, lookup(found, 2, int(place.max(initial=0))))
-        return pa.table({"block": np.full(len(n), block), "number": number, "left": left, "right": right, "n": n.astype(np.int64)})
+        out = []
+        for block, packed in zip(sequence.column("block").to_pylist(), sequence.column("sequence").to_pylist(), strict=True):
+            (own,), _ = unpack(packed, 1)
+            bucket, left, right, n, place = adjacent(own, lookup(mapping, 1, int(own.max())), buckets)
+            if second:
+                bucket, left, right, n, _ = adjacent(place, lookup(mapping, 2, int(place.max(initial=0))), buckets)
+            for b, at in in_buckets(bucket):
+                out.append((b, block, int(at[0]) + 1, pack(np.diff(left[at], prepend=0), right[at], n[at])))
+        return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "block": pa.array([x[1] for x in out], pa.int64()), "base": pa.array([x[2] for x in out], pa.int64()), "packed": pa.array([x[3] for x in out], pa.binary())})
 
-    return blocks.groupBy("block").cogroup(level.groupBy("block")).applyInArrow(run, "block long, number long, left long, right long, n long")
+    return blocks.groupBy("block").cogroup(level.groupBy("block")).applyInArrow(run, "bucket long, block long, base long, packed binary")
 
 
 def candidates(documents: DataFrame, fewest: int = FEWEST, percent: int = CONTAINED_PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -181,13 +296,18 @@ def candidates(documents: DataFrame, fewest: int = FEWEST, percent: int = CONTAI
     cut.write.option("compression", "zstd").partitionBy("kind").parquet(path)
     read = spark.read.schema(cut.schema).parquet(path)
     blocks = read.where(F.col("kind") == "sequence").select("block", "sequence")
-    listed = read.where(F.col("kind") == "word").select("block", "number", "lang", "word", "n")
-    words = stored(named(listed, ("lang", "word"), fewest).select("block", "number", "place", "name", "lang", "word", "f"))
-    pairs = stored(named(pairs_of(blocks, words), ("left", "right"), fewest).select("block", "number", "place", "name", "left", "right", "f"))
-    triples = stored(pairs_of(blocks, words, pairs).groupBy("left", "right").agg(F.sum("n").alias("a")).where(F.col("a") >= fewest))
-    word = stored(names(words).select("name", "lang", "word", "f"))
-    pair = stored(names(pairs).select("name", "left", "right", "f"))
-    total = listed.groupBy("lang").agg(F.sum("n").alias("n"))
+    listed = read.where(F.col("kind") == "word")
+    size = read.groupBy("kind").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).collect()  # a row for each kind
+    rows = {r["kind"]: r["rows"] if r["kind"] == "word" else r["n"] for r in size}
+    many = {k: max(BUCKETS, rows.get(k, 0) // BUCKET_KEYS) for k in ("word", "sequence")}
+    words = stored(named_words(word_rows(listed, many["word"]), fewest))
+    pairs = stored(named_pairs(pair_rows(blocks, words, many["sequence"]), fewest))
+    triples = stored(named_pairs(pair_rows(blocks, words, many["sequence"], pairs), fewest, send=False).select("left", "right", F.col("f").alias("a")))
+    spelled = F.substring_index("key", " ", -1)
+    lang = F.substr("key", F.lit(1), F.char_length("key") - F.char_length(spelled) - 1)
+    word = words.where(F.col("name").isNotNull()).select("name", lang.alias("lang"), spelled.alias("word"), "f")
+    pair = pairs.where(F.col("name").isNotNull()).select("name", "left", "right", "f")
+    total = listed.groupBy(lang.alias("lang")).agg(F.sum("n").alias("n"))
 
     def side(df: DataFrame, prefix: str) -> DataFrame:
         return df.select(*(F.col(c).alias(f"{prefix}_{c}") for c in df.columns))
