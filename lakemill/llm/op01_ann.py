@@ -169,8 +169,16 @@ def search(
             q = active[rows]
             score = queries[q] @ vectors[a:b].T
             score[query_ids[q][:, None] == ids[None, a:b]] = -np.inf
-            slack = 1e-9 * (1 + np.abs(floor[q]))  # sums in another order differ by less
-            score[score < (np.where(np.isfinite(floor[q]), floor[q] - slack, -np.inf))[:, None]] = -np.inf
+            least = np.maximum(best[q, -1], floor[q])
+            if score.shape[1] > k:
+                least = np.maximum(least, np.partition(score, -k, axis=1)[:, -k])
+            near = score >= np.where(np.isfinite(least), least - 1e-9 * (1 + np.abs(least)), -np.finfo(float).max)[:, None]  # sums in another order differ by less
+            # What may be among the best is scored pair by pair before anything is cut: equal vectors have equal scores wherever they lie.
+            ask, at = np.nonzero(near)
+            score = np.full(score.shape, -np.inf)
+            for i in range(0, len(ask), 65536):
+                u, v = ask[i : i + 65536], at[i : i + 65536]
+                score[u, v] = (queries[q[u]] * vectors[a + v]).sum(1)
             good = np.flatnonzero((score >= best[q, -1:]).any(1))  # equal scores may have smaller ids
             if len(good):
                 q, score = q[good], score[good]
@@ -179,9 +187,7 @@ def search(
                 kept = np.lexsort((least_id[all_places], -all_scores), axis=1)[:, :k]
                 best[q], place[q] = np.take_along_axis(all_scores, kept, 1), np.take_along_axis(all_places, kept, 1)
     q, at = np.nonzero(np.isfinite(best))
-    chosen = place[q, at]
-    # Each pair's product once more, by itself: equal vectors have equal scores wherever they lie.
-    return query_ids[q], ids[chosen], np.concatenate([np.zeros(0), *((queries[q[i : i + 65536]] * vectors[chosen[i : i + 65536]]).sum(1) for i in range(0, len(q), 65536))])
+    return query_ids[q], ids[place[q, at]], best[q, at]
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:

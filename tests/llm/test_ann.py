@@ -81,6 +81,24 @@ def test_ties_go_to_smaller_ids_and_own_row_is_none(spark):
     assert [r["vec_id"] for r in A.nearest(df, df.where("vec_id = 0")).orderBy("rank").collect()] == list(range(1, 21))
 
 
+def test_ties_across_leaves_are_cut_by_id():
+    r = np.random.default_rng(12)
+    base = r.standard_normal((400, 96))
+    ids = r.permutation(2400)
+    vectors = base[ids % 400]
+    queries, query_ids = vectors[:1000], ids[:1000]
+    longest = float(np.sqrt((vectors**2).sum(1).max())) * (1 + 1e-12)
+    q, found, score = A.search(vectors, ids, longest, queries, query_ids, 20, 1 - 1e-12)
+    order = np.lexsort((found, -score, q))
+    q, found, score = q[order], found[order], score[order]
+    wrong = 0
+    for i, own in zip(query_ids.tolist(), queries, strict=True):
+        exact = (vectors * own).sum(1)
+        exact[ids == i] = -np.inf
+        wrong += found[q == i].tolist() != ids[np.lexsort((ids, -exact))[:20]].tolist()
+    assert wrong == 0
+
+
 def test_unusable_vectors_take_no_part(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [math.nan, 1.0]), (5, [math.inf, 1.0]), (6, []), (None, [1.0, 1.0]), (7, [1.0, 1.0]), (8, [1.0, 1.0, 1.0])]
     df = A.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
