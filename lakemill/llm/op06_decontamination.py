@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ COSINE, SHORTEST = 0.45, 0.5
 ORDINARY = 2.0
 #: Share of an item's words in the common subsequence: alone, or with the answer (an item without one has but the first way).
 ALONE, WITH_ANSWER = 0.65, 0.5
-#: Items of fewer words tell nothing inside a text: only a text that is the item leaks it.
+#: Items of fewer words leak where all their words stand one behind the other; a single word, which says nothing inside a text, only where it is all of the text.
 FEWEST_WORDS = 5
 #: Items that are searched in one pass; more items take more passes, with the same results.
 BLOCK_ITEMS = 5000
@@ -257,6 +258,29 @@ def masks_of(words: list[int]) -> dict[int, int]:
     return out
 
 
+def short_items(items: list[Item]) -> dict[tuple[int, ...], list[int]]:
+    """Places of the items of too few words for a comparison, by their words."""
+    out: dict[tuple[int, ...], list[int]] = {}
+    for i, item in enumerate(items):
+        if len(item.words) < FEWEST_WORDS:
+            out.setdefault(tuple(item.words), []).append(i)
+    return out
+
+
+def find_short(short: dict[tuple[int, ...], list[int]], hashes: np.ndarray, upto: np.ndarray) -> list[tuple[int, int, float, bool]]:
+    """(row, item's place, 1, True) where all words of a short item stand one behind the other in a row."""
+    out = []
+    counts = np.diff(upto)
+    row = np.repeat(np.arange(len(counts)), counts)
+    rest = np.repeat(upto[1:], counts) - np.arange(len(hashes))
+    for first in sorted({w[0] for w in short}):
+        for at in np.flatnonzero(hashes == np.uint64(first)).tolist():
+            for many in range(1, FEWEST_WORDS):
+                if rest[at] >= many and (many > 1 or counts[row[at]] == 1) and (own := short.get(tuple(hashes[at : at + many].tolist()))):
+                    out += [(int(row[at]), i, 1.0, True) for i in own]
+    return list(dict.fromkeys(out))
+
+
 def find(space: Space, masks: list[tuple[dict, dict]], hashes: np.ndarray, upto: np.ndarray) -> list[tuple[int, int, float, bool]]:
     """(row, item's place, share of the item in the subsequence, whether it counts as a leak), for each candidate."""
     term = term_of(space.terms, hashes)
@@ -310,6 +334,8 @@ def find(space: Space, masks: list[tuple[dict, dict]], hashes: np.ndarray, upto:
     for (r, i), regions in found.items():
         item, (mine, answer) = space.items[i], masks[i]
         many = len(item.words)
+        if many < FEWEST_WORDS:
+            continue  # find_short looks for these
         for low, high in regions:
             best, leak = 0.0, False
             reach = 2 * many
@@ -317,9 +343,6 @@ def find(space: Space, masks: list[tuple[dict, dict]], hashes: np.ndarray, upto:
                 words = hashes[a : min(high, a + reach)].tolist()
                 share = common_subsequence(words, mine, many) / many
                 best = max(best, share)
-                if many < FEWEST_WORDS:
-                    leak |= share == 1 and upto[r + 1] - upto[r] == many
-                    continue
                 said = answer and share >= WITH_ANSWER and common_subsequence(words, answer, len(item.answer)) >= 0.8 * len(item.answer)
                 leak |= share >= ALONE or bool(said)
             out.append((r, i, best, leak))
@@ -329,9 +352,14 @@ def find(space: Space, masks: list[tuple[dict, dict]], hashes: np.ndarray, upto:
 NAMES = ("item_id", "share", "contaminated")
 
 
-def _mark(documents: DataFrame, space: Space, ids: list, kind: str, names: tuple[str, str, str]) -> DataFrame:
+def _mark(documents: DataFrame, shared: Broadcast, low_item: int, high_item: int, ids: list, kind: str, names: tuple[str, str, str]) -> DataFrame:
+    made: list = []  # in each task: the block of items, what they are compared by
+
     def run(rows: pa.RecordBatch) -> list:
-        masks = [(masks_of(i.words), masks_of(i.answer)) for i in space.items]
+        if not made:
+            own = block_of(shared.value, low_item, high_item)
+            made.extend((own, [(masks_of(i.words), masks_of(i.answer)) for i in own.items], short_items(own.items)))
+        space, masks, short = made
         best: dict[int, tuple[bool, float, int]] = {}
         place = {x: n for n, x in enumerate(ids)}
         old = {n: rows.schema.get_field_index(n) for n in names}
@@ -339,7 +367,7 @@ def _mark(documents: DataFrame, space: Space, ids: list, kind: str, names: tuple
             if item is not None:
                 best[r] = (leak, share, -place[item])
         for low, _, hashes, upto in _per_chunk(rows):
-            for r, i, share, leak in find(space, masks, hashes, upto):
+            for r, i, share, leak in [*find(space, masks, hashes, upto), *(find_short(short, hashes, upto) if short else [])]:
                 best[low + r] = max(best.get(low + r, (False, 0.0, 0)), (leak, share, -space.items[i].number))
         got = [best.get(r) for r in range(rows.num_rows)]
         column = rows.schema.field(names[0]).type
@@ -355,8 +383,10 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, block_items: int = BL
     of any type that has an order, rows with a null one are ignored. Items that
     repeat are searched each; of equal shares the smaller id is given. Other
     columns pass through, columns named as an added one (``names``) are replaced;
-    an empty benchmark marks nothing. The benchmark's items go to every task, in
-    blocks if there are many, a pass over the documents each.
+    an empty benchmark marks nothing. Items of two to four words are leaked
+    where they stand whole, of one word where the text has no other. The
+    benchmark's items go to every task, in blocks if there are many, a pass over
+    the documents each.
     """
     kind = benchmark.schema["item_id"].dataType.simpleString()
     rows = benchmark.select("item_id", "text").where(F.col("item_id").isNotNull()).orderBy("item_id", "text").collect()
@@ -364,9 +394,9 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, block_items: int = BL
     number = {x: n for n, x in enumerate(ids)}
     out = documents.drop(*names).withColumns({names[0]: F.lit(None).cast(kind), names[1]: F.lit(0.0), names[2]: F.lit(False)})
     if items := as_items([(number[r["item_id"]], r["text"]) for r in rows]):
-        space = fit_space(documents, items, dimensions)
+        shared = documents.sparkSession.sparkContext.broadcast(fit_space(documents, items, dimensions))  # once for all blocks; bounded by SPACE_BYTES and the items' words
         for low in range(0, len(items), block_items):
-            out = _mark(out, block_of(space, low, low + block_items), ids, kind, names)
+            out = _mark(out, shared, low, low + block_items, ids, kind, names)
     return out
 
 

@@ -51,3 +51,10 @@ def test_odd_rows_empty_tables_and_other_columns(spark):
 def test_common_subsequence():
     masks = D.masks_of([1, 2, 3, 4, 2])
     assert D.common_subsequence([9, 1, 3, 2, 7], masks, 5) == 3 and D.common_subsequence([], masks, 5) == 0 and D.common_subsequence([1, 2, 3, 4, 2], masks, 5) == 5
+
+
+def test_short_items_leak_where_they_stand_whole(spark):
+    items = spark.createDataFrame([(1, "Paris, France"), (2, "the"), (3, "one two three four")], "item_id long, text string")
+    texts = ["she went to paris france today", "paris in france", "the", "the cat", "zero one two three. four five", "one two three", None, ""]
+    rows = D.find_leaks(documents(spark, list(enumerate(texts))), items).orderBy("doc_id").collect()
+    assert [r["item_id"] if r["contaminated"] else None for r in rows] == [1, None, 2, None, 3, None, None, None]
