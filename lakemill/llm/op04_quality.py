@@ -34,12 +34,12 @@ class Network:
 
 
 def lay_out(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Documents padded with zeros to whole cells, with room for a filter at the end; each document's first cell."""
+    """Documents padded with zeros to whole cells, with room for a filter on both sides, so that none sees two documents; each document's first cell."""
     lengths = np.diff(starts)
-    cells = (lengths + WIDTH + CELL - 1) // CELL
+    cells = (lengths + 2 * WIDTH + CELL - 1) // CELL
     first = np.concatenate([[0], np.cumsum(cells)])
     laid = np.zeros(first[-1] * CELL + WIDTH, np.uint8)
-    laid[np.arange(len(data)) + np.repeat(first[:-1] * CELL - starts[:-1], lengths)] = data
+    laid[np.arange(len(data)) + np.repeat(first[:-1] * CELL + WIDTH - starts[:-1], lengths)] = data
     return laid, first
 
 
