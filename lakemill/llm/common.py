@@ -181,7 +181,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, modulus
     Ids are taken in the order of a hash of the id from the labelled rows whose
     remainder isn't the one left out; a document labelled twice has its smaller
     label, one that stands twice its smallest text. Documents of any length are
-    taken whole, as far in that order as the bytes reach. Returns a pandas frame
+    taken whole in that order; one that doesn't fit in the bytes that are left
+    is passed over alone. Returns a pandas frame
     (text, label) and the number of labelled rows of each class.
     """
     known = labels.where(F.col(label).isin(0, 1) & (fold("doc_id", modulus) != left_out)).groupBy("doc_id").agg(F.min(label).alias("label_"))
@@ -194,11 +195,19 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, modulus
 
 
 def first_bytes(rows: DataFrame, order: list[str], most_bytes: int) -> DataFrame:
-    """Of a stored table with a bounded number of rows, those whose texts, in an order, together have no more than so many bytes."""
+    """Of a stored table with a bounded number of rows, those whose texts together have no more than so many bytes.
+
+    Rows are taken in the order; one whose text doesn't fit in what is left is
+    passed over, those behind it are still taken if they fit.
+    """
     sizes = rows.select(*order, F.octet_length("text").alias("bytes")).toPandas().sort_values(order)
-    taken = sizes[sizes["bytes"].cumsum() <= most_bytes]
-    if len(taken) == len(sizes):
+    left, fits = most_bytes, []
+    for size in sizes["bytes"].fillna(0).astype(int).tolist():
+        fits.append(size <= left)
+        left -= size if fits[-1] else 0
+    if all(fits):
         return rows
+    taken = sizes[np.array(fits, bool)]
     keys = rows.sparkSession.createDataFrame(taken[order].values.tolist(), rows.select(*order).schema)
     return rows.join(F.broadcast(keys), order, "left_semi")
 

@@ -76,12 +76,57 @@ def test_training_without_labels(spark):
     assert X.score_toxicity(df, X.fit_toxicity(df, labels)).count() == 1 and Q.score_quality(df, Q.fit_quality(df, labels)).count() == 1
 
 
-def test_the_sample_takes_long_documents_as_far_as_its_bytes_reach(spark):
+def test_the_sample_passes_over_only_what_does_not_fit(spark):
     from lakemill.llm.common import labelled_sample
 
     df = documents(spark, [(i, "x" * (100_000 if i % 5 == 0 else 10)) for i in range(40)])
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
     rows, counts = labelled_sample(df, labels, "toxic", 4, 2, (100, 100), 1 << 30)
     assert len(rows) == sum(counts) and (rows["text"].str.len() == 100_000).any()
+    short = int((rows["text"].str.len() == 10).sum())
     some, _ = labelled_sample(df, labels, "toxic", 4, 2, (100, 100), 250_000)
-    assert 0 < len(some) < len(rows) and 100_000 <= some["text"].str.len().sum() <= 250_000
+    assert (some["text"].str.len() == 100_000).sum() == 2 and (some["text"].str.len() == 10).sum() == short
+
+
+@pytest.mark.parametrize("long_one", range(0, 50, 7))
+def test_one_long_text_costs_no_other(spark, long_one):
+    from lakemill.llm.common import first_bytes
+
+    df = documents(spark, [(i, "x" * (3000 if i == long_one else 50)) for i in range(50)])
+    assert {r["doc_id"] for r in first_bytes(df, ["doc_id"], 2500).collect()} == set(range(50)) - {long_one}
+
+
+def test_machine_equals_a_loop_over_pairs():
+    m, r = machine(), random.Random(8)
+    texts = [prose(r, n) + t for n, t in ((0, ""), (3, " insult the group"), (40, " insult insult group praise"), (1, ""))]
+    raw = [t.encode() for t in texts]
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    rows, bins = X.terms_of(np.frombuffer(b"".join(raw), np.uint8), starts)
+    got = X.machine_logits(m, rows, bins, len(texts))
+    for i in range(len(texts)):
+        own = sorted({int(m.term[b]) for b in bins[rows == i]} - {-1})
+        want = float(m.constant) + sum(float(m.weights[t]) for t in own)
+        want += sum(float(m.factors[a] @ m.factors[b]) for n, a in enumerate(own) for b in own[n + 1 :])
+        assert abs(got[i] - want) < 1e-4 * max(1, abs(want))
+
+
+def test_network_equals_a_plain_convolution():
+    net = network()
+    raw = [b"", b"ab", b"x" * 255, bytes(range(256)) * 3]
+    data, starts = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    laid, first = Q.lay_out(data, starts)
+    got = Q.responses(net, laid)
+    for i, text in enumerate(raw):
+        own = np.frombuffer(bytes(Q.WIDTH) + text + bytes((first[i + 1] - first[i]) * Q.CELL - len(text)), np.uint8)
+        cells = got[first[i] : first[i + 1]].reshape(-1, got.shape[2])
+        for p in range(len(cells)):
+            want = sum(net.taps[k, int(b)] for k, b in enumerate(own[p * Q.STRIDE : p * Q.STRIDE + Q.WIDTH]))
+            assert np.abs(cells[p] - want).max() < 1e-4
+
+
+def test_a_score_does_not_depend_on_the_next_document():
+    net = network()
+    texts = [b"", b"ab", b"x" * 113, b"y" * 120, bytes([255]) * 300]
+    alone = [float(Q.predict(net, np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]) for t in texts]
+    together = Q.predict(net, np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    assert np.abs(together - alone).max() < 1e-6
