@@ -72,7 +72,7 @@ def eligibility(claims: DataFrame, people: DataFrame, least: int = 0) -> DataFra
     matched = F.get_json_object("claim_json", "$.identityMatch.status") == "matched"
     outcomes = [
         (F.col("claim_type").isin(*SENSITIVE), False, "blocked-sensitive-claim-type"),
-        (F.col("review_score") < least, False, "below-min-score"),
+        (F.coalesce("review_score", F.lit(0)) < least, False, "below-min-score"),
         (~F.col("source_name").eqNullSafe(F.lit(ENTITY_SOURCE)), True, "non-wikidata-non-sensitive"),
         (~F.col("claim_type").isin(*UNLOCKED), False, "wikidata-claim-type-not-auto-unlocked"),
         (F.col("f_key").isNotNull(), False, "wikidata-fallback-skipped-public-field-exists"),
@@ -86,13 +86,32 @@ def eligibility(claims: DataFrame, people: DataFrame, least: int = 0) -> DataFra
     return rows.select(F.col("id").alias("claim_id"), "claim_type", eligible.alias("eligible"), reason.alias("reason"))
 
 
-def approve_eligible(claims: DataFrame, verdicts: DataFrame, version: str = "auto-review") -> DataFrame:
-    """Claims after one pass of automatic review. A set-based pass leaves nothing eligible, so no batches are needed."""
-    ok = verdicts.where("eligible").select(F.col("claim_id").alias("ok_id"), F.lit(True).alias("ok"))
-    joined = claims.join(ok, F.col("id") == F.col("ok_id"), "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
-    changes = {"review_status": "verified", "visibility": "public", "is_public": True}
-    out = joined.withColumns({c: F.when(F.col("ok"), F.lit(v)).otherwise(F.col(c)) for c, v in changes.items()})
-    return out.withColumn("scoring_version", F.when(F.col("ok"), version)).select(*claims.columns, "scoring_version")
+#: Fixed value: what is noted with a claim that was approved by itself.
+AUTO_REASON = "low-sensitivity claim auto-approved after verified external_id or matched identity evidence for the same person and source entity"
+
+
+def approve_eligible(claims: DataFrame, verdicts: DataFrame, version: str = "auto-review", reviewed_at: str | None = None) -> DataFrame:
+    """Claims after one pass of automatic review. A set-based pass leaves nothing eligible, so no batches are needed.
+
+    Only approved rows change: state, visibility, version, times, and
+    scoring_reasons, a JSON array that gets one more entry (another value than an
+    array is replaced). Columns that the table lacks are added, null elsewhere.
+    """
+    ok = verdicts.where("eligible").select(F.col("claim_id").alias("ok_id")).distinct().withColumn("ok_", F.lit(True))
+    rows = claims.join(ok, F.col("id") == F.col("ok_id"), "left").drop("ok_id").withColumn("ok_", F.coalesce("ok_", F.lit(False)))
+    now = F.lit(reviewed_at) if reviewed_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    entry = F.to_json(F.struct(F.lit(version).alias("version"), F.lit(AUTO_REASON).alias("reason"), now.alias("reviewedAt")))
+    kinds = {f.name: f.dataType for f in claims.schema}
+    told = F.col("scoring_reasons") if "scoring_reasons" in kinds else F.lit(None)
+    told = F.trim(F.to_json(told) if "scoring_reasons" in kinds and kinds["scoring_reasons"].typeName() == "array" else told.cast("string"))
+    listed = told.rlike(r"(?s)^\[.*\S.*\]$") & ~told.rlike(r"(?s)^\[\s*\]$")
+    reasons = F.when(listed, F.concat(F.substr(told, F.lit(1), F.char_length(told) - 1), F.lit(","), entry, F.lit("]"))).otherwise(F.concat(F.lit("["), entry, F.lit("]")))
+    changes = {"review_status": F.lit("verified"), "visibility": F.lit("public"), "is_public": F.lit(True), "scoring_version": F.lit(version), "scoring_reasons": reasons, "auto_reviewed_at": now}
+    if "updated_at" in kinds and kinds["updated_at"].typeName() in ("string", "timestamp"):
+        changes["updated_at"] = now.cast(kinds["updated_at"])
+    old = {c: (told if c == "scoring_reasons" else F.col(c)) if c in kinds else F.lit(None) for c in changes}
+    out = {c: F.when(F.col("ok_"), v).otherwise(old[c]) for c, v in changes.items()}
+    return rows.select(*(out[c].alias(c) if c in out else F.col(f"`{c}`") for c in claims.columns), *(out[c].alias(c) for c in out if c not in kinds))
 
 
 def sensitive_public_count(claims: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakemill.functions import text as T
 from lakemill.operators.contracts import ENUMS
+from lakemill.session import checkpoint
 
 #: Patterns of personal data, with the names of their rules.
 RISK_PATTERNS = {
@@ -74,18 +75,86 @@ def promotion_errors(candidates: DataFrame) -> DataFrame:
     return candidates.select("id", F.array_compact(F.array(*(F.when(c, m) for c, m in rules))).alias("errors"))
 
 
-def promote(candidates: DataFrame, people: DataFrame, companies: DataFrame) -> DataFrame:
-    """Relations of the candidates that may be promoted, with ids of people and companies that exist by name, or new ones made of the name."""
+def _companies_of(rows: DataFrame, companies: DataFrame) -> DataFrame:
+    """Candidates (id, place, company_name, number) with the company that each reuses or makes: company_id and company_new.
+
+    As if candidates were taken one by one in the order of place: a company of
+    the same number is reused (the oldest), else one of the same name, else one
+    is made, which later candidates may reuse. In each round all that depend on
+    no undecided candidate are decided, at least the first of all; rounds are
+    few, as a candidate only waits where names and numbers cross.
+    """
+    known = companies.select(F.lit("0").alias("k_place"), F.col("id").alias("k_id"), F.col("name").alias("k_name"), F.nullif(F.trim("unified_business_no"), F.lit("")).alias("k_number"))
+    open_, done = rows, None
+    while True:
+        first = lambda key: F.min("place").over(Window.partitionBy(key))
+        oldest = F.min(F.struct("k_place", "k_id"))
+        by_number = known.where("k_number IS NOT NULL").groupBy("k_number").agg(oldest.alias("n_"))
+        by_name = known.groupBy("k_name").agg(oldest.alias("m_"))
+        seen = open_.withColumns({"number_first": F.when(F.col("number").isNotNull(), first("number")), "name_first": first("company_name")})
+        seen = seen.join(by_number, F.col("number") == F.col("k_number"), "left").join(by_name, F.col("company_name") == F.col("k_name"), "left")
+        waits_number, waits_name = F.coalesce(F.col("number_first") < F.col("place"), F.lit(False)), F.col("name_first") < F.col("place")
+        told_number, told_name = F.coalesce(F.col("n_.k_place") < F.col("place"), F.lit(False)), F.coalesce(F.col("m_.k_place") < F.col("place"), F.lit(False))
+        found = F.when(told_number, F.col("n_.k_id")).when(~waits_number & told_name, F.col("m_.k_id"))
+        makes = ~told_number & ~waits_number & ~told_name & ~waits_name
+        step = checkpoint(seen.select(*rows.columns, F.coalesce(found, F.when(makes, F.concat(F.lit("company-"), T.hash_id("company_name")))).alias("company_id"), F.coalesce(makes, F.lit(False)).alias("company_new")))
+        settled = step.where("company_id IS NOT NULL")
+        done = settled if done is None else done.unionByName(settled)
+        open_ = step.where("company_id IS NULL").drop("company_id", "company_new")
+        if open_.isEmpty():
+            return done
+        known = known.unionByName(settled.where("company_new").select(F.col("place").alias("k_place"), F.col("company_id").alias("k_id"), F.col("company_name").alias("k_name"), F.col("number").alias("k_number")))
+
+
+def promotion(candidates: DataFrame, people: DataFrame, companies: DataFrame, documents: DataFrame, relations: DataFrame, at: str, by: str = "local-admin") -> dict[str, DataFrame]:
+    """What promoting all candidates that may be promoted adds and changes, table by table.
+
+    As if they were promoted one by one in the order of their ids. A person is
+    reused by name, a company by its business number, else by name, a public
+    source document by the raw record it was made of, a relation by person,
+    company, type and document; what is missing is made, once. ``candidates``
+    gives the new state of the promoted ones. Ids of new rows come from their
+    content, so that a run that is repeated on the same tables gives the same
+    rows, and one on the tables it has changed gives none: promoted candidates
+    are no longer pending. candidates: the columns of promotion_errors and
+    unified_business_no, review_note; documents: id, raw_record_id, is_public;
+    relations: id, person_id, company_id, relation_type, evidence_source_id.
+    """
     fine = promotion_errors(candidates).where(F.size("errors") == 0).select(F.col("id").alias("ok_id"))
-    rows = candidates.join(fine, F.col("id") == F.col("ok_id"), "left_semi")
-    p = people.groupBy(F.col("name").alias("p_name")).agg(F.min("id").alias("p_id"))
-    c = companies.groupBy(F.col("name").alias("c_name")).agg(F.min("id").alias("c_id"))
-    joined = rows.join(p, F.col("person_name") == F.col("p_name"), "left").join(c, F.col("company_name") == F.col("c_name"), "left")
-    new_person, new_company = F.concat(F.lit("person-"), T.hash_id("person_name")), F.concat(F.lit("company-"), T.hash_id("company_name"))
-    return joined.select(
-        F.col("id").alias("candidate_id"), F.coalesce("p_id", new_person).alias("person_id"), F.coalesce("c_id", new_company).alias("company_id"), F.col("guessed_relation_type").alias("relation_type"),
-        F.col("confidence_suggestion").alias("confidence_level"), T.evidence_summary("evidence_text").alias("evidence_summary"), F.lit("verified").alias("verification_status"),
-    )
+    rows = candidates.join(fine, F.col("id") == F.col("ok_id"), "left_semi").withColumn("place", F.concat(F.lit("1"), "id"))  # what is there comes before, at 0
+    rows = checkpoint(rows.withColumn("number", F.nullif(F.trim(T.text("unified_business_no")), F.lit(""))))
+    first = lambda *key: F.row_number().over(Window.partitionBy(*key).orderBy("place")) == 1
+    person = people.groupBy(F.col("name").alias("p_name")).agg(F.min("id").alias("p_id"))
+    named = rows.join(person, F.col("person_name") == F.col("p_name"), "left")
+    named = named.select(*rows.columns, F.coalesce("p_id", F.concat(F.lit("person-"), T.hash_id("person_name"))).alias("person_id"), (F.col("p_id").isNull() & first("person_name")).alias("person_new"))
+    company = _companies_of(rows.select("id", "place", "company_name", "number"), companies).select(F.col("id").alias("c_id"), "company_id", "company_new")
+    named = named.join(company, F.col("id") == F.col("c_id")).drop("c_id")
+    of_raw = documents.where("is_public AND raw_record_id IS NOT NULL").groupBy(F.col("raw_record_id").alias("d_raw")).agg(F.min("id").alias("d_id"))
+    named = named.join(of_raw, F.col("source_record_id") == F.col("d_raw"), "left")
+    made = F.concat(F.lit("document-"), T.hash_id(F.coalesce("source_record_id", "id")))
+    named = named.withColumn("document_new", F.col("d_id").isNull() & (F.col("source_record_id").isNull() | first("source_record_id"))).withColumn("document_id", F.coalesce("d_id", made))
+    tie = ("person_id", "company_id", "relation_type", "evidence_source_id")
+    known = relations.groupBy(*(F.col(c).alias(f"r_{c}") for c in tie)).agg(F.min("id").alias("r_id"))
+    named = named.withColumnsRenamed({"guessed_relation_type": "relation_type", "document_id": "evidence_source_id"})
+    on = [F.col(c) == F.col(f"r_{c}") for c in tie]
+    named = named.join(known, on, "left").withColumn("relation_new", F.col("r_id").isNull() & first(*tie))
+    named = checkpoint(named.withColumn("relation_id", F.coalesce("r_id", F.concat(F.lit("relation-"), T.hash_id(*tie)))))
+    url = F.nullif(F.trim(T.text("source_url")), F.lit(""))
+    note = F.concat(F.lit(f"promoted_at={at}; relation_id="), F.col("relation_id"))
+    old = F.nullif(T.text("review_note"), F.lit(""))
+    return {
+        "people": named.where("person_new").select(F.col("person_id").alias("id"), F.col("person_name").alias("name"), F.lit(True).alias("is_public")),
+        "companies": named.where("company_new").select(F.col("company_id").alias("id"), F.col("company_name").alias("name"), F.col("number").alias("unified_business_no"), url.alias("source_url"), F.lit(True).alias("is_public")),
+        "source_documents": named.where("document_new").select(
+            F.col("evidence_source_id").alias("id"), F.coalesce(F.nullif(F.trim(T.text("source_type")), F.lit("")), F.lit("manual_review")).alias("source_type"), F.nullif(F.trim(T.text("source_name")), F.lit("")).alias("source_name"),
+            url.alias("source_url"), F.col("source_record_id").alias("raw_record_id"), F.lit(True).alias("is_public"),
+        ),
+        "person_company_relations": named.where("relation_new").select(
+            F.col("relation_id").alias("id"), *tie, F.col("confidence_suggestion").alias("confidence_level"), "evidence_text", F.lit("verified").alias("verification_status"), F.lit(True).alias("is_public"),
+            F.lit(by).alias("reviewed_by"), F.lit(at).alias("reviewed_at"),
+        ),
+        "relation_candidates": named.select("id", F.lit("verified").alias("review_status"), F.concat_ws("\n", old, note).alias("review_note"), F.lit(at).alias("updated_at")),
+    }
 
 
 def staged(changes: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakemill.functions import text as T
 from lakemill.operators.views import keep_first
+from lakemill.session import checkpoint
 
 NATIONAL_TYPES = ("president", "vice_president", "party_list_legislator", "referendum")
 NATIONAL_NAMES = ("全國", "臺灣", "台灣")
@@ -38,15 +39,21 @@ def search_groups(results: DataFrame) -> DataFrame:
     return results.groupBy("type_rank", "type").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids")).orderBy("type_rank")
 
 
-def region_closure(regions: DataFrame, start: str, depth: int = 12) -> DataFrame:
-    """A region and all below it, level by level; regions are a tree of few levels."""
-    level = regions.where(F.col("region_id") == start).select("region_id")
-    out = level.withColumn("level", F.lit(0))
-    for i in range(1, depth):
-        level = regions.join(F.broadcast(level.select(F.col("region_id").alias("up"))), F.col("parent_region_id") == F.col("up")).select("region_id")
-        if level.isEmpty():
-            break
-        out = out.unionByName(level.withColumn("level", F.lit(i)))
+def region_closure(regions: DataFrame, start: str) -> DataFrame:
+    """A region and all below it, level by level, however many levels there are.
+
+    A level's ids are broadcast only if Spark finds them small. A region that is
+    met again, in a circle of parents, is not followed a second time.
+    """
+    links = regions.select("region_id", F.col("parent_region_id").alias("up_"))
+    level = links.where(F.col("region_id") == start).select("region_id").distinct().withColumn("level", F.lit(0))
+    out, i = level, 0
+    while not level.isEmpty():
+        i += 1
+        ups = level.select(F.col("region_id").alias("id_"))
+        below = links.join(ups, F.col("up_") == F.col("id_")).select("region_id").distinct()
+        level = checkpoint(below.join(out.select("region_id"), "region_id", "left_anti").withColumn("level", F.lit(i)))
+        out = out.unionByName(level)
     return out
 
 
@@ -63,7 +70,7 @@ def is_national() -> Column:
 def related_races(races: DataFrame, regions: DataFrame, start: str) -> DataFrame:
     """Races of a region, of those below it, and national ones."""
     below = region_closure(regions, start).select("region_id").distinct().withColumnRenamed("region_id", "b_id")
-    rows = races.join(F.broadcast(below), F.col("region_id") == F.col("b_id"), "left")
+    rows = races.join(below, F.col("region_id") == F.col("b_id"), "left")
     return rows.where(F.col("b_id").isNotNull() | is_national()).drop("b_id")
 
 

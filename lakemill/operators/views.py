@@ -220,11 +220,15 @@ def identity_probable_match_queue(t: Tables) -> DataFrame:
     return out.orderBy(F.desc("score"), "election_year", "raw_name", "match_id")
 
 
+#: States of a match that a reviewer hasn't settled.
+OPEN_MATCHES = ("possible_match", "probable_match")
+
+
 def identity_unmatched_source_people(t: Tables) -> DataFrame:
     """Source people without a confirmed match, with their best score and the lexically first open status."""
     matches = t["person_identity_matches"].select(F.col("source_person_id").alias("m_source"), "match_status", "score")
     confirmed = matches.where(F.col("match_status") == "auto_matched").select("m_source")
-    best = matches.groupBy("m_source").agg(F.max("score").alias("best"), F.expr("min(match_status) FILTER (WHERE match_status IN ('probable_match', 'possible_match'))").alias("open_status"))
+    best = matches.groupBy("m_source").agg(F.max("score").alias("best"), F.min(F.when(F.col("match_status").isin(*OPEN_MATCHES), F.col("match_status"))).alias("open_status"))
     left = t["source_people"].join(confirmed, F.col("id") == F.col("m_source"), "left_anti")
     joined = left.join(best, F.col("id") == F.col("m_source"), "left")
     kept = ("source_person_key", "source_type", "source_name", "source_url", "raw_name", "normalized_name", "party", "position", "district", "election_year", "confidence_suggestion", "updated_at")

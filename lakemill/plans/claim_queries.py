@@ -47,7 +47,7 @@ ok AS (SELECT DISTINCT person_id || ':' || claim_type AS k FROM person_claims WH
 SELECT claim_id, claim_type, reason IN ('non-wikidata-non-sensitive', 'wikidata-verified-external-id-unlocked', 'wikidata-identity-match-auto-unlocked') AS eligible, reason FROM (
 SELECT id AS claim_id, claim_type, CASE
   WHEN claim_type IN ('legal_case', 'family_relation') THEN 'blocked-sensitive-claim-type'
-  WHEN review_score < 20 THEN 'below-min-score'
+  WHEN coalesce(review_score, 0) < 20 THEN 'below-min-score'
   WHEN source_name <> '{ENTITY}' THEN 'non-wikidata-non-sensitive'
   WHEN claim_type NOT IN ('external_id', 'gender', 'birth_date', 'education', 'experience', 'position', 'office', 'district', 'party') THEN 'wikidata-claim-type-not-auto-unlocked'
   WHEN claim_type IN ('education', 'experience') AND EXISTS (SELECT 1 FROM fk WHERE k = person_id || ':' || claim_type) THEN 'wikidata-fallback-skipped-public-field-exists'
@@ -63,6 +63,14 @@ def eligible(t):
     return C.eligibility(t["person_claims"], V.public_people(t), 20)
 
 
+#: Reasons that earlier runs left.
+_TOLD_REASONS = """CASE CAST(review_score AS INT) % 4 WHEN 0 THEN '[]' WHEN 1 THEN '[{"version":"v2"}]' WHEN 2 THEN 'none' END"""
+
+
+def scored(t):
+    return t["person_claims"].withColumn("scoring_reasons", F.expr(_TOLD_REASONS))
+
+
 def fresh_claims(t):
     """Claims as a second ingest brings them: all pending, ids of external kind verified A."""
     rows = t["person_claims"]
@@ -114,8 +122,65 @@ SELECT id, array_to_string(list_filter([CASE WHEN {_blank("person_name")} THEN '
   CASE WHEN len(risk) > 0 THEN 'privacy risk detected: ' || array_to_string(risk, ', ') END], lambda x: x IS NOT NULL), '|') AS errors FROM scanned"""
 
 
+#: Candidates that share business numbers, names and raw records with each other and with what is there.
+_NUMBER = "CASE WHEN position % 3 = 0 THEN lpad(CAST(position % 30 AS STRING), 8, '1') WHEN position % 7 = 0 THEN ' ' END"
+_COMPANY = "CASE WHEN position % 4 = 1 THEN 'Supplier#' || lpad(CAST(position % 20 AS STRING), 9, '0') ELSE 'Company ' || CAST(position % 12 AS STRING) END"
+_RAW = "CASE WHEN position % 5 <> 0 THEN 'raw-' || CAST(position % 25 AS STRING) END"
+OFFER = {"company_name": f"CASE WHEN company_name IS NOT NULL THEN {_COMPANY} END", "unified_business_no": _NUMBER, "source_record_id": _RAW, "review_note": "CASE WHEN position % 4 = 2 THEN 'seen' END", "review_status": "CASE WHEN position % 16 = 0 THEN 'verified' ELSE 'pending' END", "guessed_relation_type": "CASE WHEN position % 8 = 0 THEN 'friend' ELSE 'donor' END", "confidence_suggestion": "CASE position % 5 WHEN 0 THEN 'B' WHEN 1 THEN 'D' ELSE 'A' END"}
+_RAW_OF = "'raw-' || regexp_extract(source_url, '[0-9]+$', 0)"
+PROMOTED_AT = "2024-05-06T07:08:09Z"
+
+
 def promoted(t):
-    return privacy.promote(t["changes"], t["people"], t["companies"]).drop("evidence_summary")
+    offers = t["changes"].withColumns({c: F.expr(x) for c, x in OFFER.items()})
+    documents = t["source_documents"].withColumn("raw_record_id", F.expr(_RAW_OF))
+    return privacy.promotion(offers, t["people"], t["companies"], documents, t["person_company_relations"], PROMOTED_AT)
+
+
+def promotion_rows(t):
+    """All rows that promotion adds and changes, in one table."""
+    found = promoted(t)
+    parts = {
+        "people": ("name",), "companies": ("name", "unified_business_no", "source_url"), "source_documents": ("source_type", "source_name", "source_url", "raw_record_id"),
+        "person_company_relations": ("person_id", "company_id", "relation_type", "evidence_source_id", "confidence_level"), "relation_candidates": ("review_status", "review_note"),
+    }
+    rows = [found[k].select(F.lit(k).alias("table_name"), "id", F.concat_ws("|", *(F.coalesce(c, F.lit("-")) for c in columns)).alias("told")) for k, columns in parts.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]).unionByName(rows[4])
+
+
+OFFERED = f"SELECT * REPLACE ({', '.join(f'{x} AS {c}' for c, x in OFFER.items() if c != 'review_note')}), {OFFER['review_note']} AS review_note FROM changes"
+#: One candidate after the other: the company each takes, and the list of those made so far.
+WALKED = """
+WITH RECURSIVE queue AS (
+  SELECT row_number() OVER (ORDER BY o.id) AS k, o.*, nullif(trim(o.unified_business_no), '') AS no,
+         (SELECT min(id) FROM companies c WHERE c.unified_business_no = nullif(trim(o.unified_business_no), '')) AS by_no, (SELECT min(id) FROM companies c WHERE c.name = o.company_name) AS by_name
+  FROM offered o JOIN offer_errors e ON e.id = o.id WHERE e.errors = ''),
+steps AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(id VARCHAR, name VARCHAR, no VARCHAR)[]) AS made, CAST(NULL AS VARCHAR) AS company_id, false AS company_new
+  UNION ALL
+  SELECT k, CASE WHEN taken IS NULL THEN list_append(made, {'id': fresh, 'name': company_name, 'no': no}) ELSE made END, coalesce(taken, fresh), taken IS NULL
+  FROM (SELECT q.k, s.made, q.company_name, q.no, 'company-' || left(sha1(q.company_name), 12) AS fresh,
+               coalesce(q.by_no, list_filter(s.made, lambda m: m.no = q.no)[1].id, q.by_name, list_filter(s.made, lambda m: m.name = q.company_name)[1].id) AS taken
+        FROM steps s JOIN queue q ON q.k = s.k + 1) x)
+SELECT q.*, company_id, company_new,
+       coalesce((SELECT min(id) FROM people p WHERE p.name = q.person_name), 'person-' || left(sha1(q.person_name), 12)) AS person_id,
+       NOT EXISTS (SELECT 1 FROM people p WHERE p.name = q.person_name) AND row_number() OVER (PARTITION BY person_name ORDER BY k) = 1 AS person_new,
+       d.id AS old_document, coalesce(d.id, 'document-' || left(sha1(coalesce(q.source_record_id, q.id)), 12)) AS document_id
+FROM queue q JOIN steps USING (k) LEFT JOIN (SELECT min(id) AS id, RAW_OF AS raw FROM source_documents WHERE is_public GROUP BY ALL) d ON d.raw = q.source_record_id""".replace("RAW_OF", _RAW_OF)
+RELATED = """
+SELECT w.*, r.id AS old_relation, coalesce(r.id, 'relation-' || left(sha1(w.person_id || '|' || w.company_id || '|' || w.guessed_relation_type || '|' || w.document_id), 12)) AS relation_id,
+       row_number() OVER (PARTITION BY w.person_id, w.company_id, w.guessed_relation_type, w.document_id ORDER BY w.k) AS nth, row_number() OVER (PARTITION BY w.document_id ORDER BY w.k) AS nth_document
+FROM walked w LEFT JOIN (SELECT min(id) AS id, person_id, company_id, relation_type, evidence_source_id FROM person_company_relations GROUP BY ALL) r
+  ON r.person_id = w.person_id AND r.company_id = w.company_id AND r.relation_type = w.guessed_relation_type AND r.evidence_source_id = w.document_id"""
+PROMOTED_ROWS = f"""
+SELECT 'people' AS table_name, person_id AS id, person_name AS told FROM related WHERE person_new
+UNION ALL SELECT 'companies', company_id, company_name || '|' || coalesce(no, '-') || '|' || coalesce(nullif(trim(source_url), ''), '-') FROM related WHERE company_new
+UNION ALL SELECT 'source_documents', document_id, coalesce(nullif(trim(source_type), ''), 'manual_review') || '|' || coalesce(nullif(trim(source_name), ''), '-') || '|' || coalesce(nullif(trim(source_url), ''), '-') || '|' || coalesce(source_record_id, '-')
+  FROM related WHERE old_document IS NULL AND nth_document = 1
+UNION ALL SELECT 'person_company_relations', relation_id, concat_ws('|', person_id, company_id, guessed_relation_type, document_id, confidence_suggestion) FROM related WHERE old_relation IS NULL AND nth = 1
+UNION ALL SELECT 'relation_candidates', id, 'verified|' || CASE WHEN coalesce(review_note, '') = '' THEN '' ELSE review_note || chr(10) END || 'promoted_at={PROMOTED_AT}; relation_id=' || relation_id FROM related"""
+PROMOTED_RELATIONS = """
+SELECT relation_id AS id, person_id, company_id, guessed_relation_type AS relation_type, document_id AS evidence_source_id, confidence_suggestion AS confidence_level, 'verified' AS verification_status FROM related WHERE old_relation IS NULL AND nth = 1"""
 
 
 def new_companies(t):
@@ -130,9 +195,11 @@ def add(register) -> None:
     register("r01_r02_exploded_claims", lambda t: C.explode_claims(records(t), "id", FIELDS, F.col("matched")), EXPLODED, records=RECORDS)
     register("r10_review_eligibility", eligible, ELIGIBLE, **ALL)
     register("a17_eligibility_histogram", lambda t: eligible(t).groupBy("reason").agg(F.count("*").alias("n")), "SELECT reason, count(*) AS n FROM eligible_ GROUP BY reason", **(ALL | {"eligible_": ELIGIBLE}))
-    register("r11_after_auto_review", lambda t: C.approve_eligible(claims(t), eligible(t)).select("id", "review_status", "visibility", "is_public", "scoring_version"), """
+    register("r11_after_auto_review", lambda t: C.approve_eligible(scored(t), eligible(t), reviewed_at=PROMOTED_AT).select("id", "review_status", "visibility", "is_public", "scoring_version", "scoring_reasons", "auto_reviewed_at"), f"""
         SELECT c.id, CASE WHEN e.eligible THEN 'verified' ELSE c.review_status END AS review_status, CASE WHEN e.eligible THEN 'public' ELSE c.visibility END AS visibility, coalesce(e.eligible, false) OR c.is_public AS is_public,
-               CASE WHEN e.eligible THEN 'auto-review' END AS scoring_version FROM person_claims c LEFT JOIN eligible_ e ON e.claim_id = c.id""", **(ALL | {"eligible_": ELIGIBLE}))
+               CASE WHEN e.eligible THEN 'auto-review' ELSE c.scoring_version END AS scoring_version, CASE WHEN e.eligible THEN '{PROMOTED_AT}' END AS auto_reviewed_at,
+               CASE WHEN e.eligible THEN CASE WHEN told IN ('[]', 'none') OR told IS NULL THEN '[' ELSE left(told, length(told) - 1) || ',' END || '{{"version":"auto-review","reason":"{C.AUTO_REASON}","reviewedAt":"{PROMOTED_AT}"}}]' ELSE told END AS scoring_reasons
+        FROM (SELECT * EXCLUDE (scoring_reasons), {_TOLD_REASONS} AS told FROM person_claims) c LEFT JOIN eligible_ e ON e.claim_id = c.id""", **(ALL | {"eligible_": ELIGIBLE}))
     register("a19_sensitive_guard", lambda t: C.sensitive_public_count(claims(t)).unionByName(C.sensitive_public_count(C.approve_eligible(claims(t), eligible(t)))), """
         SELECT count(*) AS n FROM person_claims WHERE claim_type IN ('legal_case', 'family_relation') AND is_public
         UNION ALL SELECT count(*) FROM person_claims WHERE claim_type IN ('legal_case', 'family_relation') AND is_public""")
@@ -178,9 +245,9 @@ def add(register) -> None:
                'candidate-' || left(sha1(coalesce(c.person_name, '') || '|' || coalesce(c.company_name, '') || '|' || coalesce(c.guessed_relation_type, '') || '|' || c.evidence_text), 12) AS candidate_id,
                c.person_name, c.company_name, c.guessed_relation_type, 'pending' AS review_status, false AS is_public
         FROM changes c JOIN item_errors e ON e.position = c.position WHERE e.errors = ''""", scanned=SCANNED, item_errors=ITEM_ERRORS)
-    register("k11_promoted_relations", promoted, """
-        SELECT c.id AS candidate_id, coalesce(p.id, 'person-' || left(sha1(c.person_name), 12)) AS person_id, coalesce(f.id, 'company-' || left(sha1(c.company_name), 12)) AS company_id, c.guessed_relation_type AS relation_type, c.confidence_suggestion AS confidence_level, 'verified' AS verification_status
-        FROM changes c JOIN promotion e ON e.id = c.id LEFT JOIN (SELECT name, min(id) AS id FROM people GROUP BY 1) p ON p.name = c.person_name LEFT JOIN (SELECT name, min(id) AS id FROM companies GROUP BY 1) f ON f.name = c.company_name WHERE e.errors = ''""", scanned=SCANNED, promotion=PROMOTION)
+    promotion = {"scanned_offers": SCANNED.replace("FROM changes", "FROM offered"), "offer_errors": PROMOTION.replace("FROM scanned", "FROM scanned_offers"), "offered": OFFERED, "walked": WALKED, "related": RELATED}
+    register("k11_promotion_rows", promotion_rows, PROMOTED_ROWS, **promotion)
+    register("k11_promoted_relations", lambda t: promoted(t)["person_company_relations"].select("id", "person_id", "company_id", "relation_type", "evidence_source_id", "confidence_level", "verification_status"), PROMOTED_RELATIONS, **promotion)
     register("r28_missing_parents", lambda t: contracts.missing_parents(t["candidates"], "id", "person_id", t["people"], "id").unionByName(contracts.missing_parents(t["races"], "id", "region_id", t["regions"], "id")).unionByName(contracts.missing_parents(t["person_claims"], "id", "source_person_id", t["source_people"].where("is_public"), "id")), """
         SELECT id AS key, person_id AS missing FROM candidates c WHERE person_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM people p WHERE p.id = c.person_id)
         UNION ALL SELECT id, region_id FROM races r WHERE region_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM regions g WHERE g.id = r.region_id)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from lakemill.operators import views as V
 
 OPEN = ", ".join(f"'{x}'" for x in V.OPEN_RACES)
+REVIEWABLE, OPEN_MATCHES = (", ".join(f"'{x}'" for x in names) for names in (V.REVIEWABLE, V.OPEN_MATCHES))
 TOLD_PHOTO = ", ".join(V.PHOTO_COLUMNS)
 
 CANONICAL = """
@@ -17,7 +18,7 @@ SELECT id AS person_id, coalesce((SELECT max(canonical_person_id) FROM person_me
 SEEN = "SELECT * FROM people WHERE is_public"
 PHOTOS = f"""
 SELECT person_id, id AS media_id, url AS photo_url, {TOLD_PHOTO} FROM person_media
-WHERE is_primary AND is_public AND verification_status = 'verified' AND license_type NOT IN ('unknown') AND person_id IN (SELECT id FROM people WHERE is_public)"""
+WHERE is_primary AND is_public AND verification_status = 'verified' AND license_type <> 'unknown' AND person_id IN (SELECT id FROM people WHERE is_public)"""
 
 _FOLDED = ("alias", "party", "position", "election_year", "district", "education", "experience")
 _NEWEST = ", ".join(f"arg_max({c}, (updated_at IS NULL, coalesce(updated_at, 0), id)) FILTER ({c} IS NOT NULL) AS n_{c}" for c in _FOLDED)
@@ -90,10 +91,10 @@ SELECT shown.id AS identity_source_id, canonical_person_id AS person_id, seen.na
 FROM (SELECT * FROM source_people WHERE is_public) shown JOIN (SELECT source_person_id, person_id, match_status, score FROM person_identity_matches WHERE match_status = 'auto_matched') sure ON source_person_id = shown.id
 JOIN canonical USING (person_id) JOIN seen ON seen.id = canonical_person_id"""
 
-CLAIM_QUEUE = """
+CLAIM_QUEUE = f"""
 SELECT id AS claim_id, person_id, source_person_id, (SELECT raw_name FROM source_people s WHERE s.id = source_person_id) AS raw_name, (SELECT normalized_name FROM source_people s WHERE s.id = source_person_id) AS normalized_name, claim_type, claim_value,
        claim_json, confidence_level, CAST(review_score AS BIGINT) AS review_score, review_status, visibility, source_name, source_url, scoring_version, scoring_reasons, updated_at
-FROM person_claims WHERE review_status IN ('pending', 'needs_more_evidence')"""
+FROM person_claims WHERE review_status IN ({REVIEWABLE})"""
 
 PROBABLE = """
 WITH theirs AS (SELECT id AS source_person_id, source_person_key, raw_name, party AS source_party, position AS source_position, district AS source_district, CAST(election_year AS BIGINT) AS election_year FROM source_people),
@@ -102,8 +103,8 @@ SELECT id AS match_id, source_person_id, source_person_key, raw_name, source_par
        match_method, match_reason, evidence_json, updated_at
 FROM person_identity_matches JOIN theirs USING (source_person_id) JOIN ours USING (person_id) WHERE match_status = 'probable_match'"""
 
-UNMATCHED = """
-WITH tried AS (SELECT source_person_id AS tried_id, bool_or(match_status = 'auto_matched') AS sure, max(score) AS best, min(CASE WHEN match_status LIKE 'p%_match' THEN match_status END) AS open_status FROM person_identity_matches GROUP BY 1)
+UNMATCHED = f"""
+WITH tried AS (SELECT source_person_id AS tried_id, bool_or(match_status = 'auto_matched') AS sure, max(score) AS best, min(CASE WHEN match_status IN ({OPEN_MATCHES}) THEN match_status END) AS open_status FROM person_identity_matches GROUP BY 1)
 SELECT id AS source_person_id, source_person_key, source_type, source_name, source_url, raw_name, normalized_name, party, position, district, CAST(election_year AS BIGINT) AS election_year, confidence_suggestion, updated_at,
        CASE WHEN best IS NULL THEN 0 ELSE CAST(best AS BIGINT) END AS best_match_score, CASE WHEN open_status IS NULL THEN 'unmatched' ELSE open_status END AS review_status
 FROM source_people LEFT JOIN tried ON tried_id = id WHERE sure IS NOT TRUE"""
@@ -111,7 +112,7 @@ FROM source_people LEFT JOIN tried ON tried_id = id WHERE sure IS NOT TRUE"""
 LEGAL = f"""
 WITH ours AS (SELECT id AS person_id, name AS person_name, party AS person_party, position AS person_position, district AS person_district FROM people)
 SELECT id AS lead_id, {", ".join("CAST(match_score AS BIGINT) AS match_score" if c == "match_score" else c for c in V.LEAD_COLUMNS)}, matched_person_id AS person_id, person_name, person_party, person_position, person_district
-FROM legal_record_leads LEFT JOIN ours ON ours.person_id = matched_person_id WHERE is_public IS FALSE AND review_status IN ('needs_more_evidence', 'pending')"""
+FROM legal_record_leads LEFT JOIN ours ON ours.person_id = matched_person_id WHERE is_public IS FALSE AND review_status IN ({REVIEWABLE})"""
 
 
 def add(register) -> None:

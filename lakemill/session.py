@@ -46,6 +46,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def checkpoint(df):
+    """Cuts lineage in the shared folder: what a loop has found so far is computed once, and no lost executor loses it."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder, in the session's own subfolder; see clear_scratch."""
     return f"{shared_folder(spark)}/lakemill-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
