@@ -99,6 +99,9 @@ SELECT g.normalized_name, g.record_count, g.top_recommendation, m.sig AS missing
 FROM groups_ g JOIN (SELECT nn, CASE WHEN bool_or(len(births) = 0) AND bool_or(len(ids) = 0) THEN 'birth_date,external_id' WHEN bool_or(len(births) = 0) THEN 'birth_date' WHEN bool_or(len(ids) = 0) THEN 'external_id' END AS sig FROM features GROUP BY nn) m ON m.nn = g.normalized_name
 WHERE g.top_recommendation IN ('same_name_only', 'manual_review') AND m.sig IS NOT NULL"""
 
+#: How many pairs of each name have which score and advice: links and pairs must agree in this.
+CLASS_ROWS = "SELECT normalized_name, score, recommendation, count(*) AS pairs FROM pairs GROUP BY ALL"
+
 FEATURE_VIEWS = ALL | {"features": FEATURES, "pairs": PAIRS, "groups_": GROUPS, "gaps": GAPS}
 
 LEADS = f"""
@@ -139,9 +142,13 @@ def features(t):
     return I.identity_features(V.public_people(t), V.public_person_claims(t), V.public_candidates(t))
 
 
+def class_rows(t):
+    return I.class_links(I.identity_classes(features(t))[0]).groupBy("normalized_name", "score", "recommendation").agg(F.sum("pairs").alias("pairs"))
+
+
 def groups(t):
     f = features(t)
-    return I.duplicate_groups(f, I.same_name_pairs(f))
+    return I.duplicate_groups(f, I.class_links(I.identity_classes(f)[0]))
 
 
 def official_rows(t):
@@ -153,7 +160,7 @@ def official_rows(t):
 
 def gaps(t):
     f = features(t)
-    return R.identity_gaps(f, I.duplicate_groups(f, I.same_name_pairs(f)))
+    return R.identity_gaps(f, I.duplicate_groups(f, I.class_links(I.identity_classes(f)[0])))
 
 
 def person_items(t):
@@ -175,6 +182,7 @@ def add(register) -> None:
         SELECT s.id AS source_person_id, p.id AS person_id, 'auto_matched' AS match_status, CAST(100 AS BIGINT) AS score FROM source_people s JOIN people p ON p.external_id = s.external_record_id""")
     register("r05_legal_lead_matches", lambda t: I.legal_lead_matches(t["legal_record_leads"], t["people"]), LEADS)
     register("r16_same_name_pairs", lambda t: I.same_name_pairs(features(t)), PAIRS, **FEATURE_VIEWS)
+    register("r16_class_links", class_rows, CLASS_ROWS, **FEATURE_VIEWS)
     register("a08_duplicate_groups", groups, GROUPS, **FEATURE_VIEWS)
     register("r17_identity_gaps", gaps, GAPS, **FEATURE_VIEWS)
     register("a15_gap_histogram", lambda t: R.gap_histogram(gaps(t)), """
