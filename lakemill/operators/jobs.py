@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lakemill.operators import store
 from lakemill.operators.claims import sensitive_public_count
+from lakemill.operators.privacy import promotion
+from lakemill.sources.snapshots import Store
 
 #: Tables in the order in which they may be written: parents before children, with their upsert keys.
 SNAPSHOT = [
@@ -18,18 +20,43 @@ SNAPSHOT = [
 
 
 def write_snapshot(spark: SparkSession, folder: str, fresh: dict[str, DataFrame], run: str) -> DataFrame:
-    """Upserts the tables that were delivered, parents first, and gives the run's log."""
-    written = {}
+    """Upserts the tables that were delivered, parents first, and gives the run's log.
+
+    All are published by one commit: readers see the whole delivery or nothing
+    of it, and after a failure the snapshot before is still the newest.
+    """
+    change, written = Store(spark, folder).change(), {}
     for name, keys in SNAPSHOT:
         if name not in fresh:
             continue
-        path = f"{folder}/{name}"
-        there = store.restored(spark, path)
-        store.replace_table(spark, store.upserted(spark.read.parquet(path), fresh[name], keys) if there else fresh[name], path)
+        try:
+            change.read(name)
+        except KeyError:
+            change.create(name, fresh[name], keys)
+        else:
+            change.merge(name, fresh[name])
         written[name] = fresh[name]
+    change.commit()
     return store.run_log(spark, run, written)
 
 
+#: Tables of promotion and their keys.
+PROMOTED = {"people": ["id"], "companies": ["id"], "source_documents": ["id"], "person_company_relations": ["id"], "relation_candidates": ["id"]}
+
+
+def promote_in_store(spark: SparkSession, folder: str, at: str) -> int:
+    """Promotes all candidates of a store that may be promoted and publishes the five tables at once; gives the version.
+
+    The store has all tables of ``PROMOTED`` with their keys. A second run adds nothing.
+    """
+    change = Store(spark, folder).change()
+    rows = promotion(*(change.read(n) for n in ("relation_candidates", "people", "companies", "source_documents", "person_company_relations")), at=at)
+    for name in PROMOTED:
+        if not rows[name].isEmpty():
+            change.merge(name, rows[name])
+    return change.commit()
+
+
 def write_report(df: DataFrame, path: str, *order: str) -> None:
     """A report as sorted JSON lines."""
     df.orderBy(*order).write.mode("overwrite").json(path)

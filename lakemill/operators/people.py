@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -153,37 +155,82 @@ def groups_by_key(keys: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError("the groups did not settle")
 
 
-def _fold(rows: pd.DataFrame) -> pd.DataFrame:
-    """Items of one group in input order: an item takes in all kept items that share a key with it; what is kept then has the keys of the preferred one.
+_FOLDED = ["person_id", "merged_person_ids", "merged_candidate_count"]
+
+
+class _Fold:
+    """Items of one group in order: an item takes in all kept items that share a key with it; what is kept then has the keys of the preferred one.
 
     The preferred one is the first by status, role and completeness; in ties the
-    one kept earlier. So a key of the other may be lost, and later items with it
-    stay apart.
+    one kept earlier. So the name of the other may be lost as a key, and later
+    items with it stay apart; external ids are never lost. A kept item is found
+    by its keys through a forest of what was taken in by what, so that a step
+    costs no more than the item's own keys, and lists of ids are put together at
+    the end.
     """
-    by_key: dict[str, dict] = {}
-    for row in rows.sort_values("position_").to_dict("records"):
-        item = row | {"merged": [row["person_id"]], "ids": list(row["own_ids"]), "name_key": row["name_key"], "count": row["candidate_count"]}
-
-        def keys(x: dict) -> list[str]:
-            return list(dict.fromkeys([x["name_key"], *(f"external:{i}" for i in x["ids"])]))
 
-        found = list({id(by_key[k]): by_key[k] for k in keys(item) if k in by_key}.values())
-        for old in found:
-            new_rank = (item["status_rank"], item["role_rank"], -(item["full"] + item["count"]))
-            old_rank = (old["status_rank"], old["role_rank"], -(old["full"] + old["count"]))
-            first, second = (item, old) if new_rank < old_rank else (old, item)
-            item = first | {"ids": sorted({*first["ids"], *second["ids"]}), "merged": list(dict.fromkeys([*first["merged"], *second["merged"]])), "count": first["count"] + second["count"]}
-        by_key = {k: v for k, v in by_key.items() if not any(v is f for f in found)}
-        by_key |= dict.fromkeys(keys(item), item)
-    kept = list({id(v): v for v in by_key.values()}.values())
-    return pd.DataFrame([{"person_id": k["person_id"], "merged_person_ids": k["merged"], "merged_candidate_count": k["count"]} for k in kept], columns=["person_id", "merged_person_ids", "merged_candidate_count"])
+    def __init__(self) -> None:
+        self.by_key: dict[str, int] = {}
+        self.up: list[int] = []
+        self.kept: dict[int, dict] = {}
+
+    def top(self, node: int) -> int:
+        up = self.up
+        while up[node] != node:
+            up[node] = up[up[node]]
+            node = up[node]
+        return node
+
+    def take(self, person: str, name: str, ids: list[str], status: int, role: int, full: int, count: int) -> None:
+        item = {"person_id": person, "name": name, "rank": (status, role), "full": full, "count": count, "merged": person}
+        own = list(dict.fromkeys([name, *(f"external:{i}" for i in ids)]))
+        node = len(self.up)
+        self.up.append(node)
+        for old_node in dict.fromkeys(self.top(self.by_key[k]) for k in own if k in self.by_key):
+            old = self.kept.pop(old_node)
+            new_first = (*item["rank"], -(item["full"] + item["count"])) < (*old["rank"], -(old["full"] + old["count"]))
+            first, second = (item, old) if new_first else (old, item)
+            item = first | {"merged": (first["merged"], second["merged"]), "count": first["count"] + second["count"]}
+            self.up[old_node] = node
+            self.by_key.pop(old["name"], None)  # only the preferred one's name stays a key
+        self.by_key |= dict.fromkeys(own[1:], node)
+        self.by_key[item["name"]] = node
+        self.kept[node] = item
+
+    def rows(self) -> pd.DataFrame:
+        def ids_of(merged: object) -> list[str]:
+            out: dict[str, None] = {}
+            stack = [merged]
+            while stack:
+                one = stack.pop()
+                if isinstance(one, tuple):
+                    stack.extend(reversed(one))
+                else:
+                    out.setdefault(one)
+            return list(out)
+
+        return pd.DataFrame([(k["person_id"], ids_of(k["merged"]), k["count"]) for k in self.kept.values()], columns=_FOLDED)
+
+
+def _folds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Groups that stand one behind the other, each in its order, in as many batches as there are."""
+    root, fold = None, _Fold()
+    for rows in batches:
+        for at, *item in rows[["root", "person_id", "name_key", "own_ids", "status_rank", "role_rank", "full", "candidate_count"]].itertuples(index=False):
+            if at != root:
+                yield fold.rows()
+                root, fold = at, _Fold()
+            fold.take(*item)
+    yield fold.rows()
 
 
 def fold_duplicates(items: DataFrame, order: str = "person_id") -> DataFrame:
     """The list with duplicates folded, in the order of a column: (person_id, merged_person_ids, merged_candidate_count).
 
     The fold depends on the order of items, but items of different components of
-    keys never meet; so components come from joins and each is folded by itself.
+    keys never meet; so components come from joins. Spark sorts each by the order
+    (what memory doesn't hold is spilled) and its items stream through the fold,
+    which remembers what it keeps and one place an item.
     """
     roots = groups_by_key(fold_keys(items))
     full = sum((F.coalesce(F.col(c) != "", F.lit(False)).cast("int") for c in ("position", "district", "education", "experience")), F.coalesce((F.col("gender") != "unknown").cast("int"), F.lit(0)))
@@ -192,7 +239,7 @@ def fold_duplicates(items: DataFrame, order: str = "person_id") -> DataFrame:
         F.transform("external_ids", lambda x: T.external_id(x)).alias("own_ids"), T.lookup(F.col("status"), T.STATUS_RANK, 9).alias("status_rank"), T.lookup(F.col("role"), T.ROLE_RANK, 9).alias("role_rank"),
         full.alias("full"), F.col("candidate_count").cast("long").alias("candidate_count"),
     )
-    return rows.groupBy("root").applyInPandas(_fold, "person_id string, merged_person_ids array<string>, merged_candidate_count long")
+    return rows.repartition("root").sortWithinPartitions("root", "position_", "person_id").mapInPandas(_folds, "person_id string, merged_person_ids array<string>, merged_candidate_count long")
 
 
 def local_offices(items: DataFrame) -> DataFrame:

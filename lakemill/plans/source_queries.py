@@ -22,6 +22,7 @@ from lakemill.operators import views as V
 from lakemill.plans.view_queries import ALL
 from lakemill.session import scratch
 from lakemill.sources import files, registries
+from lakemill.sources.snapshots import Store
 
 #: Rows of an archive that a query makes.
 ARCHIVE_ROWS = 5000
@@ -106,7 +107,8 @@ def snapshot(t) -> DataFrame:
     elections, regions = t["elections"], t["regions"]
     jobs.write_snapshot(t.spark, folder, {"regions": regions.where("parent_region_id IS NULL"), "elections": elections.where("year % 2 = 0")}, "first")
     log = jobs.write_snapshot(t.spark, folder, {"elections": elections.withColumn("name", F.concat("name", F.lit(" new"))), "regions": regions}, "second")
-    held = t.spark.read.parquet(f"{folder}/elections").select(F.lit("elections").alias("table"), "id", "name").unionByName(t.spark.read.parquet(f"{folder}/regions").select(F.lit("regions").alias("table"), "id", "name"))
+    kept = Store(t.spark, folder)
+    held = kept.read("elections").select(F.lit("elections").alias("table"), "id", "name").unionByName(kept.read("regions").select(F.lit("regions").alias("table"), "id", "name"))
     return held.join(log.select("table", "rows"), "table")
 
 

@@ -1,8 +1,8 @@
 """Incremental ingest: files that have arrived since the last run are upserted into a table, once each.
 
 The stream's checkpoint remembers which files were taken, so a run that is
-started again goes on where the last one ended; the upsert makes a batch that is
-taken twice harmless.
+started again goes on where the last one ended; the table's store remembers
+which batches it has.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakemill.operators.store import replace_table, restored, upserted
+from lakemill.sources.snapshots import BUCKETS, Store
 
 
 def latest_rows(batch: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -20,18 +20,25 @@ def latest_rows(batch: DataFrame, keys: list[str], order: str) -> DataFrame:
     return ranked.where("rn_ = 1").drop("rn_")
 
 
-def ingest_available(spark: SparkSession, source: str, schema: str, table: str, keys: list[str], order: str, state: str, kind: str = "json") -> int:
-    """Takes all new files of a folder into a table of Parquet and returns the number of batches.
+def ingest_available(spark: SparkSession, source: str, schema: str, folder: str, table: str, keys: list[str], order: str, state: str, kind: str = "json", buckets: int = BUCKETS) -> int:
+    """Takes all new files of a folder into a table of a store and returns the number of batches.
 
-    The table is made with the first batch. Rows without a whole key are left out.
+    The table is made with the first batch; a batch rewrites only the buckets
+    that its keys fall into. The commit of a batch notes its number, so that one
+    that is taken again after a crash changes nothing. Rows without a whole key
+    are left out.
     """
     taken = []
 
     def put(batch: DataFrame, number: int) -> None:
-        rows = latest_rows(batch.dropna(subset=keys), keys, order)
-        if restored(spark, table):
-            rows = upserted(spark.read.parquet(table), rows, keys)
-        replace_table(spark, rows, table)
+        change = Store(spark, folder).change()
+        if change.batch(f"{table} from {source}", number):
+            rows = latest_rows(batch.dropna(subset=keys), keys, order)
+            if table in change.store.tables():
+                change.merge(table, rows)
+            else:
+                change.create(table, rows, keys, buckets)
+            change.commit()
         taken.append(number)
 
     stream = spark.readStream.schema(schema).format(kind).load(source)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakemill.operators import enrichment, jobs
 from lakemill.sources import files, registries
+from lakemill.sources.snapshots import Store
 
 
 def test_archived_elections(spark, tmp_path):
@@ -65,7 +66,7 @@ def test_snapshot_is_rerun_safe(spark, tmp_path):
     for _ in range(2):
         log = jobs.write_snapshot(spark, str(tmp_path), {"elections": df}, "r1")
         assert [(r["table"], r["rows"]) for r in log.collect()] == [("elections", 2)]
-    assert spark.read.parquet(str(tmp_path / "elections")).count() == 2
+    assert Store(spark, str(tmp_path)).read("elections").count() == 2
 
 
 def test_batch_refuses_newly_public_sensitive_claims(spark):

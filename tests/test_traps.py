@@ -247,3 +247,26 @@ def test_folding_many_items_equals_the_fold_in_order(spark):
     rows = [(f"{i:03}", r.choice("abcdef"), r.choice("pqr"), r.choice([None, "x"]), None, None, r.choice([None, "e"]), None, "other", r.choice(["current", "former", "other"]), r.sample(["k1", "k2", "k3", "k4", "k5", "k6", "k7"], r.choice([0, 0, 1, 2])), r.choice([0, 1, 2])) for i in range(120)]
     got = {(x["person_id"], tuple(x["merged_person_ids"]), x["merged_candidate_count"]) for x in people.fold_duplicates(spark.createDataFrame(rows, ITEMS)).collect()}
     assert got == one_by_one(rows)
+
+
+def test_folding_200000_items_of_one_name_takes_linear_time(spark):
+    import time
+
+    def seconds(n):
+        items = spark.range(n).selectExpr(
+            "lpad(id, 7, '0') AS person_id", "'a' AS name", "'p' AS party", "CAST(NULL AS STRING) AS position", "CAST(NULL AS STRING) AS district", "CAST(NULL AS STRING) AS education", "CAST(NULL AS STRING) AS experience", "CAST(NULL AS STRING) AS gender",
+            "'other' AS role", "'other' AS status", "array(concat('x', id)) AS external_ids", "CAST(id % 3 AS INT) AS candidate_count",
+        )
+        fold, start = people._Fold(), time.perf_counter()
+        for i in range(n):
+            fold.take(f"{i:07}", "a|p", [f"x{i}"], 9, 9, 0, i % 3)
+        rows = fold.rows()
+        took = time.perf_counter() - start
+        assert len(rows) == 1 and len(rows["merged_person_ids"][0]) == n and rows["merged_candidate_count"][0] == sum(i % 3 for i in range(n))
+        return took, items
+
+    small, _ = seconds(20_000)
+    large, items = seconds(200_000)
+    assert large < 25 * max(small, 0.05)
+    one = people.fold_duplicates(items).collect()
+    assert len(one) == 1 and len(one[0]["merged_person_ids"]) == 200_000
