@@ -43,12 +43,29 @@ def backfilled(people: DataFrame, claims: DataFrame) -> DataFrame:
     return rows.withColumns(out).select(*people.columns)
 
 
+def first_regions(texts: DataFrame, regions: DataFrame) -> DataFrame:
+    """(text, stage) of different texts: the first region (place, region_id, name) whose id or slug a text is, or whose name it contains.
+
+    Each text is cut into its pieces of the lengths that names have, and pieces
+    meet names by equality: a text costs the same however many regions there
+    are. Texts without a region are left out.
+    """
+    stage = F.struct("place", "region_id", "name")
+    keys = regions.select(stage.alias("stage"), F.explode(F.array(F.struct(F.lit(True).alias("part"), F.col("name").alias("key")), *(F.struct(F.lit(False).alias("part"), F.col(c).alias("key")) for c in ("region_id", "slug")))).alias("k"))
+    keys = keys.where("k.key IS NOT NULL").groupBy("k.part", "k.key").agg(F.min("stage").alias("stage"))
+    lengths = regions.where("name IS NOT NULL").agg(F.collect_set(F.char_length("name")).alias("lengths"))  # one row: no more than the longest name has characters
+    size = F.char_length("text")
+    pieces = F.flatten(F.transform(F.filter("lengths", lambda n: n <= size), lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substr("text", i, n))))
+    told = F.concat(F.transform(F.array_distinct(pieces), lambda p: F.struct(F.lit(True).alias("part"), p.alias("key"))), F.array(F.struct(F.lit(False).alias("part"), F.col("text").alias("key"))))
+    cut = texts.join(F.broadcast(lengths)).select("text", F.explode(told).alias("t")).select("text", "t.part", "t.key")
+    return cut.join(keys, ["part", "key"]).groupBy("text").agg(F.min("stage").alias("stage"))
+
+
 def person_list(people: DataFrame, candidates: DataFrame, regions: DataFrame, claims: DataFrame) -> DataFrame:
     """A row a person with role, status, region, external ids and the number of candidacies.
 
     The region is the first in display order whose id, slug or name a text of the
-    person (district, races) is or contains; regions are few, so texts are
-    matched against a broadcast list of them whose size is that of the region table.
+    person (district, races) is or contains.
     """
     records = candidates.groupBy(F.col("person_id").alias("r_id")).agg(
         F.concat_ws(" ", F.array_sort(F.collect_set("person_position"))).alias("positions"), F.concat_ws(" ", F.array_sort(F.collect_set("race_title"))).alias("races"),
@@ -70,10 +87,11 @@ def person_list(people: DataFrame, candidates: DataFrame, regions: DataFrame, cl
         ],
         "other",
     )
-    stages = F.broadcast(regions.agg(F.array_sort(F.collect_list(F.struct("place", "region_id", "name", "slug"))).alias("stages")))
-    texts = F.array_compact(F.concat(F.array("district"), F.coalesce("region_names", none)))
-    hit = F.filter("stages", lambda g: F.exists("texts", lambda x: (x == g["region_id"]) | (x == g["slug"]) | x.contains(g["name"])))
-    rows = rows.withColumns({"status": status, "texts": texts}).join(stages, F.lit(True), "left").withColumn("region", F.get(hit, 0))
+    texts = F.array_distinct(F.array_compact(F.concat(F.array("district"), F.coalesce("region_names", none))))
+    of_person = rows.select(F.col("person_id").alias("t_id"), F.explode(texts).alias("text"))
+    found = first_regions(of_person.select("text").distinct(), regions)
+    region = of_person.join(found, "text").groupBy("t_id").agg(F.min("stage").alias("region"))
+    rows = rows.withColumn("status", status).join(region, F.col("person_id") == F.col("t_id"), "left")
     return rows.select(
         "person_id", "name", F.col("party"), "position", "district", "gender", "education", "experience", "role", "status", F.col("region.region_id").alias("region_id"),
         F.coalesce("region.name", "district", F.get("region_names", 0)).alias("region_name"), "candidate_count", "external_ids",
