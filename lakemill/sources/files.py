@@ -1,7 +1,8 @@
 """Readers: delimited text, zipped files, JSON in its wrappings, HTML, map rings.
 
-Files are read by Spark's readers; Python only decodes bytes and opens
-archives, a file at a time, inside tasks.
+Files are read by Spark's readers; Python only decodes bytes, a file at a time,
+inside tasks. Delimited files and archives of any size are read in splits: see
+delimited and archives.
 """
 
 from __future__ import annotations
@@ -15,29 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROW = "path string, entry string, line long, cells array<string>"
-
-
-def best_delimiter(header: str) -> str:
-    """The one of comma, semicolon and tab that stands most often; the first of them in ties."""
-    return max((",", ";", "\t"), key=lambda d: (header.count(d), -",;\t".index(d)))
-
-
-def read_delimited(spark: SparkSession, path: str, schema: str | None = None, sep: str | None = None) -> DataFrame:
-    """Delimited text with a header. Without ``sep`` the first line tells the delimiter.
-
-    A doubled quote inside quotes is a quote; an empty quoted field is empty,
-    unlike in some readers that leave a quote there. Cells are trimmed, blank
-    lines dropped.
-    """
-    if sep is None:
-        first = spark.read.text(path).limit(1).collect()
-        sep = best_delimiter(first[0][0].lstrip("﻿")) if first else ","
-    reader = spark.read.option("header", "true").option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", "true")
-    reader = reader.option("ignoreLeadingWhiteSpace", "true").option("ignoreTrailingWhiteSpace", "true").option("encoding", "UTF-8")
-    df = (reader.schema(schema) if schema else reader).csv(path)
-    return df.toDF(*(c.lstrip("﻿").strip() for c in df.columns)).where(F.coalesce(*df.columns).isNotNull()) if not schema else df
+from lakemill.sources.archives import ROW, read_zipped_rows
+from lakemill.sources.delimited import best_delimiter, read_delimited
 
+__all__ = ["best_delimiter", "read_delimited", "read_zipped_rows"]
 
 def decoded(data: bytes) -> str:
     """UTF-8, or Big5 when more than five characters can't be read; a byte order mark is dropped."""
@@ -70,13 +52,8 @@ def decoded_texts(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, text string")
 
 
-def read_zipped_rows(spark: SparkSession, path: str, suffix: str = ".csv") -> DataFrame:
-    """Cells of all delimited files in the archives at a path: (path, entry, line, cells). Names in old archives are in Big5."""
-    return zipped_rows(spark.read.format("binaryFile").load(path), suffix)
-
-
 def zipped_rows(archives: DataFrame, suffix: str = ".csv") -> DataFrame:
-    """The same of archives given as (path, content)."""
+    """Cells of all delimited files in archives given as (path, content), which are held whole; see archives.read_zipped_rows for those that are files."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -84,8 +61,8 @@ def zipped_rows(archives: DataFrame, suffix: str = ".csv") -> DataFrame:
                 with zipfile.ZipFile(io.BytesIO(bytes(content)), metadata_encoding="big5") as archive:
                     for info in archive.infolist():
                         if not info.is_dir() and info.filename.lower().endswith(suffix):
-                            rows = _parsed(decoded(archive.read(info)))
-                            yield pd.DataFrame({"path": source, "entry": info.filename, "line": range(len(rows)), "cells": rows}, columns=["path", "entry", "line", "cells"])
+                            if rows := _parsed(decoded(archive.read(info))):
+                                yield pd.DataFrame({"path": source, "entry": info.filename, "line": range(len(rows)), "cells": rows}, columns=["path", "entry", "line", "cells"])
 
     return archives.select("path", "content").mapInPandas(run, ROW)
 
