@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from lakemill.llm.common import LOWER, batch, chunks, mix, pieces, prefix_sums, scratch, stored, stretch_hash, table, utf8
 
 FEWEST, CONTAINED_PERCENT, TOP = 10, 50, 2000
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Buckets that keys meet in: one for so many of the blocks' keys, and no fewer than the least.
 BUCKET_KEYS, BUCKETS = 1 << 19, 256
 #: A name is block << LOCAL | number in the block.
@@ -95,7 +95,7 @@ def blocks_of(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, index = TaskContext.get().partitionId(), 0
-        for rows in pieces(batches, 4096):
+        for rows in pieces(batches, 2048):
             data, starts = utf8(rows.column(1))
             data = LOWER[data]
             coded = rows.column(0).dictionary_encode()
