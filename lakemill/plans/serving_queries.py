@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from lakemill.functions import text as T
 from lakemill.operators import people as P
 from lakemill.operators import serving as S
+from lakemill.operators import stored_reads as R
 from lakemill.operators import views as V
 from lakemill.plans.identity_queries import person_items
 from lakemill.plans.view_queries import ALL
+from lakemill.session import scratch
 
 SEARCH = """
 SELECT type_rank, type, id, title FROM (
@@ -100,6 +102,38 @@ def searched(t, query: str = "brand#12"):
     return S.search(query, V.public_parties(t), V.public_elections(t), V.public_regions(t), V.public_people(t), V.public_companies(t))
 
 
+def stored_page(t):
+    """The seventh page of a stored list."""
+    folder = scratch(t.spark)
+    R.write_pages(items(t).select("person_id", "name", "role", "status"), folder, block=100)
+    return R.read_page(t.spark, folder, 7, "person_id string, name string, role string, status string", block=100).select("person_id", "place")
+
+
+def indexed_names(t):
+    """People whose name without spaces contains a query, from postings of names."""
+    folder = scratch(t.spark)
+    R.write_index(items(t).select("person_id", "name"), folder, [F.lower(F.regexp_replace("name", f"[{T.SPACES}]+", ""))])
+    return R.find(t.spark, folder, "redw", "person_id string, name string").select("person_id")
+
+
+#: Of each kind what is searched.
+_KINDS = {
+    "party": ("public_parties", "party_id", ("name", "short_name")), "region": ("public_regions", "region_id", ("name", "slug")),
+    "person": ("public_people", "person_id", ("name", "alias", "party", "position", "district")), "company": ("public_companies", "company_id", ("name", "unified_business_no", "representative_name", "address_region")),
+}
+ANY_FIELD = " UNION ALL ".join(f"SELECT '{kind}' AS type, {key} AS id, concat_ws(chr(10), {', '.join(fields)}) AS told FROM {view}_" for kind, (view, key, fields) in _KINDS.items())
+
+
+def indexed_search(t):
+    """Parties, regions, people and companies with a query in any of their fields, from postings of all of them."""
+    folder, rows = scratch(t.spark), None
+    for kind, (view, key, fields) in _KINDS.items():
+        own = getattr(V, view)(t).select(F.lit(kind).alias("type"), F.col(key).alias("id"), F.array(*(F.lower(c) for c in fields)).alias("told"))
+        rows = own if rows is None else rows.unionByName(own)
+    R.write_index(rows.select("type", "id", "told"), folder, [F.get("told", i) for i in range(5)])
+    return R.find(t.spark, folder, "brand#1", "type string, id string, told array<string>").select("type", "id")
+
+
 def add(register) -> None:
     register("u02_search", searched, SEARCH.format("brand#12"), **ALL)
     register("u07_search_groups", lambda t: S.search_groups(searched(t, "nation_1")), "SELECT type_rank, type, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM found GROUP BY 1, 2", **(ALL | {"found": SEARCH.format("nation_1")}))
@@ -136,6 +170,9 @@ def add(register) -> None:
     register("r29_fold_duplicates", lambda t: P.fold_duplicates(person_items(t)), FOLDED, **ITEM_VIEWS)
     register("r30_backfilled_people", lambda t: P.backfilled(V.public_people(t), V.public_person_claims(t)).select("person_id", "gender", "education", "experience"), "SELECT person_id, gender, education, experience FROM items", **ITEM_VIEWS)
     register("o04_person_order", lambda t: P.numbered(items(t)).select("person_id", "place"), f"SELECT person_id, row_number() OVER (ORDER BY {_STATUS}, {_ROLES}, {_STROKES}, name, person_id) AS place FROM items", **ITEM_VIEWS)
+    register("o03_stored_page", stored_page, f"SELECT person_id, place FROM (SELECT person_id, row_number() OVER (ORDER BY {_STATUS}, {_ROLES}, {_STROKES}, name, person_id) AS place FROM items) x WHERE place BETWEEN 121 AND 140", **ITEM_VIEWS)
+    register("p07_indexed_names", indexed_names, "SELECT person_id FROM items WHERE contains(lower(regexp_replace(name, '\\s+', '', 'g')), 'redw')", **ITEM_VIEWS)
+    register("u02_indexed_search", indexed_search, f"SELECT type, id FROM ({ANY_FIELD}) x WHERE contains(lower(told), 'brand#1')", **ALL)
     register("o03_person_page", lambda t: P.page(items(t), 3).select("person_id", "place"), f"SELECT person_id, place FROM (SELECT person_id, row_number() OVER (ORDER BY {_STATUS}, {_ROLES}, {_STROKES}, name, person_id) AS place FROM items) x WHERE place BETWEEN 41 AND 60", **ITEM_VIEWS)
     register("p06_p07_people_filter", lambda t: P.filtered(items(t), query="Red W", status="current").select("person_id"), f"""
         SELECT person_id FROM items WHERE contains(lower(regexp_replace(name, '\\s+', '', 'g')), 'redw') AND status = 'current'""", **ITEM_VIEWS)
