@@ -111,8 +111,16 @@ def party_theme(x: str | Column) -> Column:
 
 def gregorian_year(x: str | Column) -> Column:
     """A leading whole number; below 1911 it counts from 1911."""
-    year = F.regexp_extract(text(x), r"^\s*([+-]?\d{1,9})", 1)
-    number = F.when(year != "", year.cast("int"))
+    return year_of(year_digits(x))
+
+
+def year_digits(x: str | Column) -> Column:
+    return F.regexp_extract(text(x), r"^\s*([+-]?\d{1,9})", 1)
+
+
+def year_of(digits: str | Column) -> Column:
+    """The year that digits, or none, tell."""
+    number = F.when(col(digits) != "", col(digits).cast("int"))
     return F.when(number < 1911, number + 1911).otherwise(number)
 
 
@@ -124,8 +132,16 @@ def year_from_path(x: str | Column) -> Column:
 
 def amount(x: str | Column) -> Column:
     """A leading number after commas are dropped, else 0."""
-    number = F.regexp_extract(F.replace(text(x), F.lit(","), F.lit("")), r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1)
-    return F.when(number != "", number.cast("double")).otherwise(0.0)
+    return amount_of(amount_digits(x))
+
+
+def amount_digits(x: str | Column) -> Column:
+    return F.regexp_extract(F.replace(text(x), F.lit(","), F.lit("")), r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1)
+
+
+def amount_of(digits: str | Column) -> Column:
+    """The number that digits, or none, tell."""
+    return F.when(col(digits) != "", col(digits).cast("double")).otherwise(0.0)
 
 
 def business_number(x: str | Column) -> Column:

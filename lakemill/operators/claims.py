@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakemill.functions import text as T
+from lakemill.operators.store import deleted
 from lakemill.operators.views import REVIEWABLE, published
 
 SENSITIVE = ("legal_case", "family_relation")
@@ -192,9 +193,14 @@ def visible_profile_claims(claims: DataFrame, most: int = 12) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("person_id", "rank", "claim_id", "claim_type", "claim_value")
 
 
+def of_source_only(sources: tuple[str, ...]) -> Column:
+    """Claims without a person, of these sources."""
+    return F.col("person_id").isNull() & F.col("source_name").isin(*sources)
+
+
 def source_only_claims(claims: DataFrame, sources: tuple[str, ...]) -> DataFrame:
     """What stays after claims without a person of these sources are deleted."""
-    return claims.where(~(F.col("person_id").isNull() & F.col("source_name").isin(*sources)))
+    return deleted(claims, of_source_only(sources))
 
 
 def malformed_keys(claims: DataFrame) -> DataFrame:

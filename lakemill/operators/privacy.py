@@ -24,8 +24,9 @@ ACTIONS = ("create_raw_source_record", "create_relation_candidate", "create_comp
 
 def risks(x: Column) -> Column:
     """Names of the rules that a text matches, in order."""
-    # The address pattern starts anew at every word: only texts that can match are tried.
-    hits = [F.when((x.contains("縣") | x.contains("市")) & x.rlike(p) if n == "full_address" else x.rlike(p), F.lit(n)) for n, p in RISK_PATTERNS.items()]
+    # Only texts that can match are tried: the address pattern starts anew at every word, an address of mail has its sign.
+    gates = {"full_address": (x.contains("縣") | x.contains("市")) & x.contains("號"), "email": x.contains("@")}
+    hits = [F.when(gates[n] & x.rlike(p) if n in gates else x.rlike(p), F.lit(n)) for n, p in RISK_PATTERNS.items()]
     return F.array_compact(F.array(*hits, F.when(x.contains(MINOR), F.lit("minor_child_reference"))))
 
 
@@ -33,11 +34,17 @@ def combined(*columns: str) -> Column:
     return F.concat_ws(" ", *(T.text(c) for c in columns))
 
 
+def scanned(rows: DataFrame) -> DataFrame:
+    """Rows with the rules that their texts match, as scan_; a generator works them out once, whatever asks for them."""
+    scan = risks(combined("person_name", "company_name", "evidence_text", "source_name", "source_url"))
+    return rows.select("*", F.explode(F.array(scan)).alias("scan_"))
+
+
 def item_errors(changes: DataFrame) -> DataFrame:
     """Each change item with its position and messages of all it breaks."""
+    changes, scan = scanned(changes), F.col("scan_")
     blank = T.is_blank
     prefix = F.concat(F.lit("changes["), F.col("position").cast("string"), F.lit("]: "))
-    scan = risks(combined("person_name", "company_name", "evidence_text", "source_name", "source_url"))
     rules = [
         (~F.coalesce(F.col("action").isin(*ACTIONS), F.lit(False)), F.concat(F.lit("action not allowed: "), T.text("action"))),
         ((F.col("action") == "create_relation_candidate") & blank("person_name"), F.lit("personName is required for create_relation_candidate.")),
@@ -60,8 +67,8 @@ def item_errors(changes: DataFrame) -> DataFrame:
 def promotion_errors(candidates: DataFrame) -> DataFrame:
     """Each relation candidate with what speaks against promoting it. Level D is never promoted."""
     blank = T.is_blank
+    candidates, scan = scanned(candidates), F.col("scan_")
     level = F.upper(T.text("confidence_suggestion"))
-    scan = risks(combined("person_name", "company_name", "evidence_text", "source_name", "source_url"))
     rules = [
         (blank("person_name"), F.lit("person_name cannot be blank")), (blank("company_name"), F.lit("company_name cannot be blank")),
         (F.lower(T.text("review_status")) != "pending", F.lit("candidate review_status must be pending")),

@@ -112,7 +112,9 @@ def contributions(income: DataFrame, parties: DataFrame, account: str) -> DataFr
     p = parties.select(F.col("name").alias("p_name"), F.col("external_id").alias("party_id"))
     # The account first: the texts of other rows are never parsed.
     rows = income.where((F.col("account") == account) & ~T.is_blank("donor"))
-    rows = rows.select(T.business_number("business_no").alias("company_no"), T.party_name("party").alias("party_"), T.gregorian_year("year").alias("report_year"), T.amount("amount").alias("amount_"))
+    # Patterns run once a row: what a generator gives isn't worked out again for each of the conditions on it.
+    raw = F.struct(T.business_number("business_no").alias("company_no"), T.party_name("party").alias("party_"), T.year_digits("year").alias("year_"), T.amount_digits("amount").alias("digits_"))
+    rows = rows.select(F.inline(F.array(raw))).select("company_no", "party_", T.year_of("year_").alias("report_year"), T.amount_of("digits_").alias("amount_"))
     rows = rows.where(F.col("company_no").isNotNull() & (F.col("report_year") > 0) & (F.col("amount_") > 0))
     joined = rows.join(p, F.col("party_") == F.col("p_name"))
     return joined.groupBy("party_id", "company_no", "report_year").agg(F.round(F.sum("amount_"), 2).alias("amount_total"), F.count("*").alias("donation_count"))
@@ -220,6 +222,13 @@ def page_numbers(count: int, current: int, most: int = 5) -> list[int]:
     return list(range(first, first + shown))
 
 
+def page_window(count: Column, current: Column, most: int = 5) -> Column:
+    """The same of columns, as an array."""
+    shown = F.least(F.lit(most), count)
+    first = F.greatest(F.lit(1), F.least(F.greatest(F.lit(1), current - F.floor(shown / 2)), count - shown + 1))
+    return F.when(shown > 0, F.sequence(first.cast("long"), (first + shown - 1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+
 def default_region(regions: DataFrame) -> DataFrame:
     """The capital by code or name, else the first county, else the first region."""
     rank = T.first_of([((F.col("slug") == "63000") | (F.col("name") == "臺北市"), 0), (F.col("region_type") == "county_city", 1)], 2)

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from lakemill.functions import text as T
 from lakemill.operators import claims as C
-from lakemill.operators import contracts, privacy, store
+from lakemill.operators import contracts, privacy
 from lakemill.operators import views as V
 from lakemill.plans.view_queries import ALL
+from lakemill.session import scratch
+from lakemill.sources.snapshots import Store
 
 ENTITY = C.ENTITY_SOURCE
 _QID = r"CASE WHEN regexp_matches(json_extract_string({0}, '$.wikidataQid'), '(?i)^Q\d+$') THEN upper(json_extract_string({0}, '$.wikidataQid')) END"
@@ -190,6 +192,18 @@ def new_companies(t):
     return changed.unionByName(c.select(F.concat(F.lit("new-"), "id").alias("id"), "name", F.lit("new").alias("status")))
 
 
+def in_store(t, name: str, act):
+    """A table as it is after a change of a store that has been made of it."""
+    kept = Store(t.spark, scratch(t.spark))
+    made = kept.change()
+    made.create(name, t[name], ["id"], 8)
+    made.commit()
+    change = kept.change()
+    act(change)
+    change.commit()
+    return kept.read(name)
+
+
 def add(register) -> None:
     claims = lambda t: t["person_claims"]
     register("r01_r02_exploded_claims", lambda t: C.explode_claims(records(t), "id", FIELDS, F.col("matched")), EXPLODED, records=RECORDS)
@@ -224,12 +238,12 @@ def add(register) -> None:
           FROM (SELECT DISTINCT ON (person_id, claim_type, claim_value) * FROM public_claims_ WHERE claim_type NOT IN ('name', 'external_id', 'education', 'experience', 'platform', 'finance_summary', 'legal_case', 'family_relation')
                 ORDER BY person_id, claim_type, claim_value, review_score DESC, claim_id) a) b WHERE rank <= 12""", **ALL)
     register("k04_malformed_claim_keys", lambda t: C.malformed_keys(claims(t)), "SELECT id AS claim_id, 'archived' AS review_status FROM person_claims WHERE length(claim_key) - length(replace(claim_key, ':', '')) >= 3")
-    register("k06_delete_source_only_claims", lambda t: C.source_only_claims(claims(t), (ENTITY, "other")).groupBy("source_name").agg(F.count("*").alias("n")), f"""
+    register("k06_delete_source_only_claims", lambda t: in_store(t, "person_claims", lambda c: c.delete("person_claims", C.of_source_only((ENTITY, "other")))).groupBy("source_name").agg(F.count("*").alias("n")), f"""
         SELECT source_name, count(*) AS n FROM person_claims WHERE NOT (person_id IS NULL AND source_name IN ('{ENTITY}', 'other')) GROUP BY source_name""")
-    register("k01_upsert_companies", lambda t: store.upserted(t["companies"], new_companies(t), ["id"]).select("id", "name", "status", "address_region"), """
+    register("k01_upsert_companies", lambda t: in_store(t, "companies", lambda c: c.merge("companies", new_companies(t))).select("id", "name", "status", "address_region"), """
         SELECT id, CASE WHEN status = 'active' THEN 'New ' || name ELSE name END AS name, CASE WHEN status = 'active' THEN 'renamed' ELSE status END AS status, address_region FROM companies
         UNION ALL SELECT 'new-' || id, name, 'new', NULL FROM companies""")
-    register("k03_k05_patch_races", lambda t: store.patched(t["races"], F.col("title").startswith("NATION_1") & (F.col("status") == "draft"), status="announced", voting_date=F.coalesce("voting_date", F.lit("2026-11-28"))).select("id", "status", "voting_date"), """
+    register("k03_k05_patch_races", lambda t: in_store(t, "races", lambda c: c.patch("races", F.col("title").startswith("NATION_1") & (F.col("status") == "draft"), status="announced", voting_date=F.coalesce("voting_date", F.lit("2026-11-28")))).select("id", "status", "voting_date"), """
         SELECT id, CASE WHEN title LIKE 'NATION\\_1%' ESCAPE '\\' AND status = 'draft' THEN 'announced' ELSE status END AS status, CASE WHEN title LIKE 'NATION\\_1%' ESCAPE '\\' AND status = 'draft' THEN coalesce(voting_date, '2026-11-28') ELSE voting_date END AS voting_date FROM races""")
     register("k02_r36_planned_races", lambda t: contracts.clone_races(t["races"], t["elections"], "e1999", "e2001"), """
         SELECT 'planned:' || r.id AS id, e.id AS election_id, r.region_id, r.race_type, r.title, e.voting_date, 'announced' AS status FROM races r CROSS JOIN (SELECT * FROM elections WHERE id = 'e2001') e WHERE r.election_id = 'e1999'""")

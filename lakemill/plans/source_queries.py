@@ -38,16 +38,25 @@ def delimited(t) -> DataFrame:
     return files.read_delimited(t.spark, path)
 
 
+#: Lines of a file that a query makes.
+FILE_LINES = 2000
+
+
 def big5_lines(t) -> DataFrame:
-    """Positions in Big5 files and districts in UTF-8 ones, decoded and counted by line. Positions are a small, fixed list."""
+    """Positions in Big5 files and districts in UTF-8 ones, some thousand lines each, decoded line by line."""
     def encoded(parts):
         for part in parts:
-            yield pd.DataFrame({"path": part["path"], "content": [x.encode("big5" if p == "positions" else "utf-8") for p, x in zip(part["path"], part["text"], strict=True)]})
+            yield pd.DataFrame({"path": part["path"], "content": [x.encode("big5" if p.startswith("positions") else "utf-8") for p, x in zip(part["path"], part["text"], strict=True)]})
+
+    def dealt(column: str, name: str) -> DataFrame:
+        lines = t["people"].where(F.col(column).isNotNull()).select("id", F.col(column).alias("line"))
+        shards = F.lit(max(1, lines.count() // FILE_LINES))
+        return lines.select(F.concat(F.lit(f"{name}-"), F.pmod(F.xxhash64("id"), shards).cast("string")).alias("path"), "line")
 
-    positions = t["people"].where("position IS NOT NULL").select(F.lit("positions").alias("path"), F.col("position").alias("line")).distinct()
-    districts = t["people"].where("district IS NOT NULL").select(F.lit("districts").alias("path"), F.col("district").alias("line")).distinct()
-    written = positions.unionByName(districts).groupBy("path").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("text")).mapInPandas(encoded, "path string, content binary")
-    return files.decoded_texts(written).select("path", F.explode(F.split("text", "\n")).alias("line"))
+    files_ = dealt("position", "positions").unionByName(dealt("district", "districts"))
+    written = files_.groupBy("path").agg(F.array_join(F.collect_list("line"), "\n").alias("text")).mapInPandas(encoded, "path string, content binary")
+    lines = files.decoded_texts(written).select(F.substring_index("path", "-", 1).alias("path"), F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy("path", "line").agg(F.count("*").alias("n"))
 
 
 def archives(t) -> DataFrame:
@@ -132,10 +141,12 @@ def batch(t) -> DataFrame:
 
 
 def optional_json(t) -> DataFrame:
-    """Regions from a JSON file that is there, and from one that isn't."""
+    """People from a folder of JSON documents, some thousand people each, that is there, and from one that isn't."""
     path, schema = scratch(t.spark), "id string, name string"
-    t["regions"].agg(F.to_json(F.collect_list(F.struct("id", "name")))).write.text(path)  # a document of a small, fixed table
-    return files.read_json_or(t.spark, path, schema).unionByName(files.read_json_or(t.spark, f"{path}-none", schema))
+    shards = F.lit(max(1, t["people"].count() // FILE_LINES))
+    documents = t["people"].groupBy(F.pmod(F.xxhash64("id"), shards).alias("shard")).agg(F.to_json(F.collect_list(F.struct("id", "name"))).alias("value"))
+    documents.repartition("shard").write.partitionBy("shard").text(path)
+    return files.read_json_or(t.spark, path, schema).select("id", "name").unionByName(files.read_json_or(t.spark, f"{path}-none", schema))
 
 
 def allowed(t) -> DataFrame:
@@ -152,10 +163,10 @@ def allowed(t) -> DataFrame:
 
 
 def shown_pages(t) -> DataFrame:
-    """Page numbers beside every page of the list of regions, ten to a page."""
-    pages = -(-t["regions"].count() // 10)
-    shown = F.create_map(*[x for p in range(1, pages + 1) for x in (F.lit(p), F.array(*map(F.lit, S.page_numbers(pages, p, 3))))])
-    return t.spark.range(1, pages + 1).select("id", F.explode(shown[F.col("id").cast("int")]).alias("page"))
+    """Page numbers beside every page of every region's candidates, ten to a page."""
+    lists = t["candidates"].groupBy("race_id").agg(F.ceil(F.count("*") / 10).cast("long").alias("pages"))
+    each = lists.select("race_id", "pages", F.explode(F.sequence(F.lit(1), "pages")).alias("shown_at"))
+    return each.select("race_id", "shown_at", F.explode(S.page_window(F.col("pages"), F.col("shown_at"), 3)).alias("page"))
 
 
 def number() -> Column:
@@ -165,7 +176,7 @@ def number() -> Column:
 
 def add(register) -> None:
     register("s01_s02_delimited", delimited, """SELECT id, '"' || name || '" ;' AS name, district, party FROM people""")
-    register("s03_big5_texts", big5_lines, "SELECT DISTINCT 'positions' AS path, position AS line FROM people WHERE position IS NOT NULL UNION ALL SELECT DISTINCT 'districts', district FROM people WHERE district IS NOT NULL")
+    register("s03_big5_texts", big5_lines, "SELECT 'positions' AS path, position AS line, count(*) AS n FROM people WHERE position IS NOT NULL GROUP BY ALL UNION ALL SELECT 'districts', district, count(*) FROM people WHERE district IS NOT NULL GROUP BY ALL")
     register("s04_archive_rows", lambda t: files.named_cells(files.zipped_rows(archives(t)), ["county", "sub", "district"]).groupBy("entry", "county", "sub").agg(F.count("district").alias("n")).where("entry LIKE '%elcand.csv'"), """
         SELECT folder || 'elcand.csv' AS entry, '''' || county AS county, '''' || sub AS sub, count(*) AS n FROM archive_cells GROUP BY ALL""")
     register("s10_s11_f19_historic_candidates", lambda t: registries.historic_candidates(files.zipped_rows(archives(t))), _HISTORIC)
@@ -175,7 +186,7 @@ def add(register) -> None:
         SELECT n, CASE WHEN n % 9 = 8 THEN substr(wrapped, instr(wrapped, '{'), length(wrapped) - instr(wrapped, '{')) ELSE substr(wrapped, 9, length(wrapped) - 9) END AS inside FROM delivered_json""")
     register("s07_seed_rows", lambda t: t["delivered_json"].select("n", F.sha2("nested", 256).alias("digest"), F.from_json("nested", "groups array<struct<name: string, candidates: array<struct<no: long>>>>").alias("seed")).select("n", "digest", F.inline("seed.groups")).select("n", "digest", "name", F.size("candidates").alias("many")), """
         SELECT n, sha256(nested) AS digest, label AS name, CAST(2 AS BIGINT) AS many FROM delivered_json UNION ALL SELECT n, sha256(nested), 'none', 0 FROM delivered_json""")
-    register("s08_optional_json", optional_json, "SELECT id, name FROM regions")
+    register("s08_optional_json", optional_json, "SELECT id, name FROM people")
     register("s09_whole_scan", lambda t: t["person_claims"].groupBy("claim_type").agg(F.count("*").alias("n"), F.max("updated_at").alias("last")), "SELECT claim_type, count(*) AS n, max(updated_at) AS last FROM person_claims GROUP BY claim_type")
     register("s12_party_registry", lambda t: registries.party_registry(t["people"].select(F.substring("id", 2, 8).cast("long").alias("line"), F.col("party").alias("政黨名稱"), F.col("name").alias("chair")), ["Brand#11", "Brand#32", "Brand#55", "none"]).select("name_", "line", "chair", "external_id", "status"), """
         SELECT party AS name_, CAST(substr(id, 2) AS BIGINT) AS line, name AS chair, 'moi-party-' || left(sha1(party), 12) AS external_id, 'active' AS status FROM people
@@ -210,8 +221,9 @@ def add(register) -> None:
         jobs.lookup(V.public_people(t), person_id="p00000042").select(F.col("person_id").alias("id"), "name")), """
         SELECT region_id AS id, name FROM public_regions_ WHERE slug = 'n-3' UNION ALL SELECT race_id, title FROM public_races_ WHERE election_id = 'e1995' AND region_id IS NULL UNION ALL SELECT person_id, name FROM public_people_ WHERE person_id = 'p00000042'""", **ALL)
     register("o10_page_numbers", shown_pages, """
-        WITH k AS (SELECT CAST(ceil((SELECT count(*) FROM regions) / 10.0) AS BIGINT) AS pages), each_ AS (SELECT unnest(range(1, pages + 1)) AS id, pages, least(3, pages) AS shown FROM k),
-        low AS (SELECT *, greatest(1, least(greatest(1, id - shown // 2), pages - shown + 1)) AS first FROM each_) SELECT id, unnest(range(first, first + shown)) AS page FROM low""")
+        SELECT race_id, shown_at, unnest(range(first, first + shown)) AS page FROM (
+          SELECT *, greatest(1, least(shown_at - shown // 2, pages - shown + 1)) AS first FROM (
+            SELECT race_id, pages, least(3, pages) AS shown, unnest(range(1, pages + 1)) AS shown_at FROM (SELECT race_id, CAST(ceil(count(*) / 10.0) AS BIGINT) AS pages FROM candidates GROUP BY 1) a) b) c""")
     register("f08_years_of_paths", lambda t: t["people"].select("id", T.year_from_path(F.concat(F.when(F.substring("id", 9, 1) == "1", F.lit("x/")).otherwise(""), F.when(F.substring("id", 9, 1) < "4", F.col("election_year").cast("string")).otherwise((F.col("election_year") - 1911).cast("string")), F.lit("年/t/a.csv"))).alias("year")), """
         SELECT id, CAST(election_year AS BIGINT) AS year FROM people""")
     register("f09_roc_dates", lambda t: t["people"].select("id", T.roc_date(F.concat((F.col("election_year") - 1911).cast("string"), F.lpad((number() % 15).cast("string"), 2, "0"), F.lpad((number() % 33).cast("string"), 2, "0"))).alias("compact"), T.roc_date_words(F.concat(F.lit("生於民國 "), (F.col("election_year") - 1911).cast("string"), F.lit("年"), (number() % 12 + 1).cast("string"), F.lit("月"), (number() % 28 + 1).cast("string"), F.lit("日"))).alias("words")), """

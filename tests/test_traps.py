@@ -186,8 +186,14 @@ def test_a_failed_rename_keeps_the_old_table(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(path).count() == 3
 
 
-def test_pages_are_clamped():
+def test_pages_are_clamped(spark):
     assert serving.page_numbers(10, 1) == [1, 2, 3, 4, 5] and serving.page_numbers(10, 10) == [6, 7, 8, 9, 10] and serving.page_numbers(10, 5) == [3, 4, 5, 6, 7] and serving.page_numbers(2, 9) == [1, 2] and serving.page_numbers(0, 1) == []
+    from pyspark.sql import functions as F
+
+    cases = [(n, at, most) for n in (0, 1, 2, 5, 10) for at in (0, 1, 2, 5, 10, 12) for most in (3, 5)]
+    for most in (3, 5):
+        df = spark.createDataFrame([c[:2] for c in cases if c[2] == most], "n long, at long")
+        assert all(r["w"] == serving.page_numbers(r["n"], r["at"], most) for r in df.withColumn("w", serving.page_window(F.col("n"), F.col("at"), most)).collect())
 
 
 def test_short_queries_find_nothing(spark):
