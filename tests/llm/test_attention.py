@@ -14,16 +14,27 @@ from lakemill.llm import op07_attention as A
 from tests.llm.helpers import documents, odd_rows, prose
 
 
+def counted(seqs, key_of, turned=False):
+    out = np.zeros((int(key_of.max()) + 1) * A.IDS, np.float32)
+    for s in seqs:
+        np.add.at(out, A.pairs_of(s[::-1] if turned else s, key_of), 1)
+    return out.reshape(-1, A.IDS)
+
+
+def made(seqs):
+    """A model that knows the counts of some texts."""
+    seen = np.bincount(np.concatenate([np.append(s, A.END) for s in seqs]), minlength=A.IDS)
+    near = A.neighbours_of(A.ranks_of(seen))
+    m = A.new_model(*A.clusters_of(seen, np.concatenate([counted(seqs, near), counted(seqs, near, turned=True)])), seen)
+    A.with_counts(m, counted(seqs, m.key_of))
+    return m
+
+
 @pytest.fixture(scope="module")
 def model():
     r = np.random.default_rng(0)
     seqs = [r.integers(0, 300, n).astype(np.uint16) for n in (3, 0, 40, 17)]
-    m = A.new_model(*A.clusters_of(seqs))
-    beside = np.zeros((A.KEYS + A.MIX) * A.IDS, np.float32)
-    for s in seqs:
-        np.add.at(beside, A.pairs_of(s, m.key_of), 1)
-    A.with_counts(m, beside.reshape(-1, A.IDS))
-    return m, seqs
+    return made(seqs), seqs
 
 
 def test_gradients(model):
@@ -84,12 +95,7 @@ def test_training_grows_with_the_corpus_and_lowers_held_out_loss(spark):
         rows = [(0, i, A.subwords(text()).tobytes(), 1) for i in range(n)]
         return spark.createDataFrame(rows, "kind int, rid long, ids binary, which long")
 
-    seqs = [A.subwords(text()) for _ in range(40)]
-    m = A.new_model(*A.clusters_of(seqs))
-    beside = np.zeros((A.KEYS + A.MIX) * A.IDS, np.float32)
-    for s in seqs:
-        np.add.at(beside, A.pairs_of(s, m.key_of), 1)
-    A.with_counts(m, beside.reshape(-1, A.IDS))
+    m = made([A.subwords(text()) for _ in range(40)])
     fresh = [A.subwords(text()) for _ in range(20)]
     before = A.log_probabilities(m, fresh).sum()
     few, many = tokens(100), tokens(400)
@@ -133,6 +139,58 @@ def test_nothing_ahead_is_seen(model):
     assert np.allclose(x[:-1], y[:-1], atol=1e-5) and not np.allclose(x[-1], y[-1], atol=1e-5)
 
 
+def test_counts_beside_ids_are_of_all_training_texts(spark):
+    r = np.random.default_rng(5)
+    seqs = [r.integers(0, 900, n).astype(np.uint16) for n in (0, 1, 2, 700, 40, 5000)] * 3
+    rows = [(0, i, s.tobytes(), int(i % 4 != 1)) for i, s in enumerate(seqs)]
+    tokens = spark.createDataFrame([*rows, (2, None, None, 7)], "kind int, rid long, ids binary, which long").repartition(5)
+    near = A.neighbours_of(np.arange(A.IDS))
+    used = [s for i, s in enumerate(seqs) if i % 4 != 1]
+    before, ahead = (np.zeros((A.NEAR + A.HEAPS, A.IDS)) for _ in range(2))
+    for s in used:
+        whole = [A.END, *s.tolist(), A.END]
+        for a, b in zip(whole, whole[1:], strict=False):
+            before[near[a], b] += 1
+            ahead[near[b], a] += 1
+    found = A.beside(tokens, near, near)
+    assert np.array_equal(found[: len(before)], before) and np.array_equal(found[len(before) :], ahead)
+
+
+def test_ids_with_like_neighbours_share_a_cluster():
+    r = np.random.default_rng(6)
+    kinds = [np.arange(200 + 30 * k, 230 + 30 * k) for k in range(3)]  # a text goes round the kinds, any of their ids each time
+    seqs = [np.concatenate([[r.choice(k) for k in kinds] for _ in range(60)]).astype(np.uint16) for _ in range(80)]
+    seen = np.bincount(np.concatenate([np.append(s, A.END) for s in seqs]), minlength=A.IDS)
+    near = A.neighbours_of(A.ranks_of(seen))
+    cluster_of, _ = A.clusters_of(seen, np.concatenate([counted(seqs, near), counted(seqs, near, turned=True)]), classes=4)
+    found = [set(cluster_of[k].tolist()) for k in kinds]
+    assert not (found[0] & found[1] or found[1] & found[2] or found[0] & found[2])
+
+
+def slow_log_probability(m, ids):
+    """Natural logarithm of a text's probability, id by id with plain loops over the window."""
+    text, total = [A.END, *ids, A.END], 0.0
+    for t in range(1, len(text)):
+        window = 0 if t <= A.WINDOW else -(-(t - A.WINDOW) // A.HALF)  # the first that scores this id
+        seen = text[window * A.HALF : t]
+        x = [m.embedding[m.row[a]].astype(float) + m.place[i] for i, a in enumerate(seen)]
+        q, keys, values = x[-1] @ m.qkv[:, : A.WIDTH], [v @ m.qkv[:, A.WIDTH : 2 * A.WIDTH] for v in x], [v @ m.qkv[:, 2 * A.WIDTH :] for v in x]
+        weight = [math.exp(float(q @ k) / math.sqrt(A.WIDTH)) for k in keys]
+        h = x[-1] + sum(w / sum(weight) * v for w, v in zip(weight, values, strict=True)) @ m.out
+        g = h + np.maximum(h @ m.up + m.up_bias, 0) @ m.down
+        mixture = [math.exp(z) for z in (g @ m.mixing + m.mixing_bias).tolist()]
+        own = [*m.spread[text[t]].tolist(), float(m.beside[m.key_of[text[t - 1]], text[t]])]
+        total += math.log(sum(w * p for w, p in zip(mixture, own, strict=True)) / sum(mixture))
+    return total
+
+
+def test_scores_equal_a_plain_loop_over_whole_texts(model):
+    m, seqs = model
+    r = np.random.default_rng(11)
+    texts = [*seqs, *(r.integers(0, 400, n).astype(np.uint16) for n in (1, 7, 8, 15, 16, 17, 23, 24, 25, 33, 120))]
+    assert np.allclose(A.log_probabilities(m, texts), [slow_log_probability(m, t.tolist()) for t in texts], rtol=1e-4, atol=1e-3)
+
+
 def test_base_equals_brute_force(spark):
     import random
 
