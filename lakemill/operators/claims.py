@@ -135,8 +135,13 @@ def keep_review_state(fresh: DataFrame, existing: DataFrame) -> DataFrame:
     qid = T.qid_of("claim_json")
     entity = F.when(F.col("person_id").isNotNull() & qid.isNotNull(), F.concat_ws(":", "person_id", qid))
     statement = F.when(entity.isNotNull(), F.concat_ws(":", "person_id", qid, "claim_type", T.text("claim_value")))
-    joined = fresh.withColumns({"f_entity": entity, "f_statement": statement})
-    joined = joined.join(latest(terminal, F.col("claim_key"), "s1"), F.col("claim_key") == F.col("k_s1"), "left")
+
+    def spread(key: Column) -> Column:
+        """A key that stays apart for each claim without one: an outer join sends all nulls to the same task."""
+        return F.coalesce(key, F.concat(F.lit("\x00"), F.coalesce("id", F.lit(""))))
+
+    joined = fresh.withColumns({"f_key": spread(F.col("claim_key")), "f_entity": spread(entity), "f_statement": spread(statement)})
+    joined = joined.join(latest(terminal, F.col("claim_key"), "s1"), F.col("f_key") == F.col("k_s1"), "left")
     joined = joined.join(latest(terminal.where(F.col("review_status") == "rejected"), entity, "s2"), F.col("f_entity") == F.col("k_s2"), "left")
     joined = joined.join(latest(terminal, statement, "s3"), F.col("f_statement") == F.col("k_s3"), "left").withColumn("s", F.coalesce("s1", "s2", "s3"))
     revived = (F.col("claim_type") == "external_id") & (F.col("confidence_level") == "A") & published() & (F.col("s.review_status") == "archived")
