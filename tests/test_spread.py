@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakemill.operators import claims as C
+from lakemill.operators import identity as I
 
 
 def test_claims_without_an_entity_are_not_one_task(spark):
@@ -23,3 +24,13 @@ def test_claims_without_an_entity_are_not_one_task(spark):
     finally:
         for k, v in kept.items():
             spark.conf.set(k, v)
+
+
+def test_classes_of_one_name_are_not_one_task(spark):
+    n = 6_000
+    rows = spark.range(n).selectExpr(
+        "concat('p', lpad(id, 7, '0')) AS class_id", "'ann' AS n_name", "1L AS n", "'male' AS gender", "false AS has_birth", "concat('d', id % 50) AS district", "concat('o', id) AS position", "concat('b', id % 70) AS party",
+        "CAST(array() AS array<string>) AS external_ids", "CAST(array() AS array<string>) AS birth_dates", "array('r') AS candidate_regions",
+    )
+    sizes = [r["n"] for r in I.class_links(rows).groupBy(F.spark_partition_id()).agg(F.sum("pairs").alias("n")).collect()]
+    assert sum(sizes) == n * (n - 1) // 2 and max(sizes) < sum(sizes) / 3
