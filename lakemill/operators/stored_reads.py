@@ -13,6 +13,8 @@ BUCKETS = 256
 #: Lengths of the pieces that texts are indexed by; a query is looked up by the longest that fits into it.
 SIZES = (1, 2)
 PAGE_BLOCK = 10_000
+#: Of a stored list; each costs a file to write.
+MOST_FOLDERS = 256
 
 
 def bucket_of(gram: str, buckets: int) -> int:
@@ -60,16 +62,28 @@ def find(spark: SparkSession, folder: str, query: str, schema: str, buckets: int
 
 
 def write_pages(items: DataFrame, folder: str, block: int = PAGE_BLOCK) -> None:
-    """The list of people in its order, each with its place, in folders of so many places; and how many there are."""
-    placed = numbered(items).withColumn("block_", F.expr(f"CAST((place - 1) div {int(block)} AS INT)"))
+    """The list of people in its order, each with its place, in folders of so many places, or of more where that would make more than MOST_FOLDERS; and how many people and places there are.
+
+    So the number of files doesn't grow with the list. A folder's rows are sorted by place.
+    """
+    placed = numbered(items)
+    n = placed.count()  # of what numbering has stored
+    block = max(int(block), -(-n // MOST_FOLDERS))
+    placed = placed.withColumn("block_", F.expr(f"CAST((place - 1) div {block} AS INT)"))
     placed.repartition("block_").sortWithinPartitions("block_", "place").write.option("compression", "zstd").partitionBy("block_").parquet(f"{folder}/rows")
-    items.agg(F.count("*").alias("n")).write.parquet(f"{folder}/count")
+    items.sparkSession.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(block).cast("long").alias("block")).write.parquet(f"{folder}/count")
 
 
 def read_page(spark: SparkSession, folder: str, number: int, schema: str, size: int = 20, block: int = PAGE_BLOCK) -> DataFrame:
-    """A page of a stored list with its places; the number is brought within the pages there are. Every page reads one or two blocks of the list."""
-    n = spark.read.schema("n long").parquet(f"{folder}/count").first()["n"]
+    """A page of a stored list with its places; the number is brought within the pages there are.
+
+    Every page reads the folders that hold it, one or two of common size, and looks at no other. The list tells its block; ``block`` is what was asked for.
+    """
+    n, block = spark.read.schema("n long, block long").parquet(f"{folder}/count").first()
     at = min(max(1, number), max(1, -(-n // size)))
-    low, high = (at - 1) * size + 1, at * size
-    rows = spark.read.schema(f"{schema}, place long, block_ int").parquet(f"{folder}/rows")
-    return rows.where(F.col("block_").isin(*range((low - 1) // block, (high - 1) // block + 1)) & F.col("place").between(low, high)).drop("block_")
+    low, high = (at - 1) * size + 1, min(at * size, n)
+    blocks = range((low - 1) // block, (high - 1) // block + 1) if n else []
+    told = f"{schema}, place long, block_ int"
+    base = f"{folder}/rows"
+    rows = spark.read.schema(told).option("basePath", base).parquet(*(f"{base}/block_={b}" for b in blocks)) if n else spark.createDataFrame([], told)
+    return rows.where(F.col("block_").isin(*blocks) & F.col("place").between(low, high)).drop("block_")

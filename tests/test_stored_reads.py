@@ -36,3 +36,14 @@ def test_every_page_reads_one_block(spark, tmp_path):
     assert re.search(r"PartitionFilters: \[[^\]]*block_", plan)
     R.write_pages(people.limit(0), str(tmp_path / "none"), block=100)
     assert R.read_page(spark, str(tmp_path / "none"), 3, schema, block=100).count() == 0
+
+
+def test_folders_of_pages_have_a_bound_and_a_page_looks_at_its_own(spark, tmp_path):
+    people = spark.range(1000).selectExpr("concat('p', lpad(id, 4, '0')) AS person_id", "concat('n', id % 77) AS name", "CASE id % 3 WHEN 0 THEN 'candidate' ELSE 'other' END AS role", "CASE id % 2 WHEN 0 THEN 'current' ELSE 'other' END AS status")
+    folder, schema = str(tmp_path / "pages"), "person_id string, name string, role string, status string"
+    R.write_pages(people, folder, block=1)
+    assert len(list((tmp_path / "pages" / "rows").glob("block_=*"))) <= R.MOST_FOLDERS
+    for number in (1, 13, 50, 51):
+        rows = R.read_page(spark, folder, number, schema, block=1)
+        assert sorted((x["place"], x["person_id"]) for x in rows.collect()) == sorted((x["place"], x["person_id"]) for x in page(people, number).collect())
+        assert len(rows.inputFiles()) <= 6
