@@ -98,3 +98,26 @@ def test_suffixes_are_in_order():
     text = np.append(data, 0)
     order = S.suffix_array(text, np.arange(6, -1, -1))
     assert order.tolist() == [6, 5, 3, 1, 0, 4, 2]
+
+
+def test_what_a_crowd_shares_is_a_row_a_context(spark):
+    """Contexts of one anchor that share a passage: joins make a row for each, not one for each range of starts that it shares."""
+    r = random.Random(8)
+    shared = prose(r, 60)[:240]
+    texts = [(prose(r, 30)[:100] + shared + prose(r, 40)[:160]).encode() for _ in range(40)]
+    places = [(i, 0, max(0, 320 - 272), min(len(t), 320 + 128 + 272), 5, 320, t[max(0, 320 - 272) : 320 + 400]) for i, t in enumerate(texts)]
+    rows = [(i, j, a, a + len(b), h, p, b) for i, j, a, _, h, p, b in places]
+    contexts = spark.createDataFrame(rows, "rid long, rid2 long, at long, upto long, h long, pos long, bytes binary").cache()
+    marks = S.crowd_marks(contexts, 100, 16).collect()
+    assert len(marks) <= 3 * len(texts)
+    covered = {i: set() for i in range(len(texts))}
+    for m in marks:
+        covered[m["rid"]] |= set(range(m["start"], m["end"]))
+    last = 100 - 16
+    strings = {i: {s: t[s : s + 100] for s in range(320 - last, 321) if s >= places[i][2] and s + 100 <= len(t)} for i, t in enumerate(texts)}
+    times: dict = {}
+    for own in strings.values():
+        for s, b in own.items():
+            times[320 - s, b] = times.get((320 - s, b), 0) + 1
+    for i, own in strings.items():
+        assert {x for s, b in own.items() if times[320 - s, b] > 1 for x in range(s, s + 100)} == {x for x in covered[i] if x < len(texts[i])}
