@@ -12,8 +12,8 @@ together, with a mask for what lies ahead and for padding.
 What the model is made of comes from counts over the whole training part: which ids
 have an embedding or stand for themselves as the id before, and the clusters of ids
 that the learned distributions begin as, found by how often the frequent ids stand
-before and behind each id. Training takes a share of all training windows, so it
-grows with the corpus. In a round each task descends on its windows from the same weights; Spark adds up the
+before and behind each id. Training takes all training texts: each id is learned
+from once at least, in windows that don't overlap. In a round each task descends on its windows from the same weights; Spark adds up the
 tasks' weights, and how much each id owes to each distribution, and the next round
 begins from the mean and with distributions made of those sums.
 
@@ -28,6 +28,7 @@ from __future__ import annotations
 import base64
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
@@ -56,8 +57,8 @@ FREQUENT, PROPOSERS = 1 << 17, 8000
 NEAR, HEAPS = 96, 32
 #: Tasks that count pairs of ids, for each core: what they send has a bound a task, so it doesn't grow with the texts.
 COUNTING = 4
-#: Training windows: one of so many, but no fewer than the least if there are; windows of a task; rounds; and how much of a distribution is that which it began with.
-EVERY, LEAST_WINDOWS, TASK_WINDOWS, ROUNDS, KEPT = 128, 40000, 50000, 6, 0.1
+#: Training windows of a round at least, if there are; windows of a task, up to four times as many in a large corpus; rounds; and how much of a distribution is that which it began with.
+LEAST_WINDOWS, TASK_WINDOWS, ROUNDS, KEPT = 40000, 50000, 6, 0.1
 #: Training steps: windows of one, rate at first, and the longest gradient that is followed as it is.
 STEP_WINDOWS, RATE, STEEPEST = 64, 0.01, 1.0
 FOLDS, LEFT_OUT = 7, 2
@@ -78,7 +79,7 @@ def encoding(path: str):
 def subwords(text: str, path: str = VOCABULARY) -> np.ndarray:
     """Ids of a text in lower case (A-Z only)."""
     lower = text.encode("utf-8", "replace").lower().decode("utf-8")
-    return np.array(encoding(path).encode_ordinary(lower), np.uint16)
+    return np.frombuffer(array("H", encoding(path).encode_ordinary(lower)), np.uint16)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,13 +168,15 @@ def tokenized(documents: DataFrame, words: Frequent, path: str) -> DataFrame:
                 place = words.place(hashes[mine])
                 counts += np.bincount(place[place >= 0], minlength=len(counts))
                 total += int(mine.sum()) + int(train[low:high].sum())
-            out = []
+            out, learned = [], []
             for i, text in enumerate(texts.to_pylist()):
                 ids = subwords(text or "", path)
                 out.append(ids.tobytes())
                 if train[i]:
-                    np.add.at(seen, ids, 1)
+                    learned.append(ids)
                     seen[END] += 1
+            if learned:
+                seen += np.bincount(np.concatenate(learned), minlength=IDS)
             m = rows.num_rows
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(m, np.int32)), rows.column(0).cast(pa.int64()), pa.array(out, pa.binary()), pa.array(train.astype(np.int64)), pa.nulls(m, pa.int64())], names=names
@@ -392,29 +395,36 @@ def gradients(m: Model, inputs: np.ndarray, targets: np.ndarray, counted: np.nda
     counted: the targets' probabilities by counts.
     """
     logits, x, qkv, a, mixed, h, u, g = forward(m, m.row[inputs], WINDOW)
-    logits -= logits.max(1, keepdims=True)
-    p = np.exp(logits)
-    p /= p.sum(1, keepdims=True)
+    np.minimum(logits, 60, out=logits)  # as in scoring: no sum of exponentials overflows
+    p = np.exp(logits, out=logits)
     t, real = targets.ravel(), real.ravel()
-    n = max(1, real.sum())
-    owed = np.concatenate([m.spread[t], counted.reshape(-1, 1)], axis=1) * p
-    total = owed.sum(1, keepdims=True)
-    loss = float(-(np.log(total[:, 0] + 1e-30) * real).sum() / n)
-    owed *= real[:, None] / np.maximum(total, 1e-30)
-    p = (p * real[:, None] - owed) / np.float32(n)
+    n = max(1, int(real.sum()))
+    p *= (real / (p @ _ONES[: MIX + 1]))[:, None].astype(np.float32)
+    owed = m.spread[t]
+    owed *= p[:, :MIX]
+    by = counted.ravel() * p[:, MIX]
+    total = owed @ _ONES[:MIX] + by
+    loss = float(-(np.log(total[real] + 1e-30)).sum() / n)
+    total = (real / np.maximum(total, 1e-30)).astype(np.float32)
+    owed *= total[:, None]
+    p[:, :MIX] -= owed
+    p[:, MIX] -= by * total
+    p *= np.float32(1 / n)
     dg = p @ m.mixing.T
     du = (dg @ m.down.T) * (u > 0)
     dh = dg + du @ m.up.T
     dmixed = (dh @ m.out.T).reshape(len(x), WINDOW, WIDTH)
     q, k, v = qkv[:, :, :WIDTH], qkv[:, :, WIDTH : 2 * WIDTH], qkv[:, :, 2 * WIDTH :]
     da = np.matmul(dmixed, v.transpose(0, 2, 1))
-    ds = a * (da - (da * a).sum(2, keepdims=True)) * WIDTH**-0.5
+    da -= ((da * a).reshape(-1, WINDOW) @ _ONES[:WINDOW]).reshape(len(x), WINDOW, 1)
+    da *= a
+    ds = da * np.float32(WIDTH**-0.5)
     dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dmixed)], axis=2).reshape(-1, 3 * WIDTH)
     dx = dh + dqkv @ m.qkv.T
     flat = x.reshape(-1, WIDTH)
     rows = m.row[inputs].ravel()
     de = np.stack([np.bincount(rows, dx[:, d], len(m.embedding)) for d in range(WIDTH)], axis=1).astype(np.float32)
-    return loss, [de, dx.reshape(-1, WINDOW, WIDTH).sum(0), flat.T @ dqkv, mixed.T @ dh, h.T @ du, du.sum(0), u.T @ dg, g.T @ p, p.sum(0)], owed[:, :MIX]
+    return loss, [de, dx.reshape(-1, WINDOW, WIDTH).sum(0), flat.T @ dqkv, mixed.T @ dh, h.T @ du, du.sum(0), u.T @ dg, g.T @ p, p.sum(0)], owed
 
 
 def windows_of(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -444,8 +454,8 @@ def log_probabilities(m: Model, sequences: list[np.ndarray]) -> np.ndarray:
     owner = np.cumsum(number == 0) - 1
     out = np.zeros(len(sequences))
     for asked, chosen in ((WINDOW, np.flatnonzero(number == 0)), (HALF, np.flatnonzero(number > 0))):
-        for at in range(0, len(chosen), 2048):
-            w = chosen[at : at + 2048]
+        for at in range(0, len(chosen), 256):  # what is computed of them stays in the cache
+            w = chosen[at : at + 256]
             logits = forward(m, m.row[inputs[w]], asked)[0]
             t = targets[w][:, -asked:].ravel()
             np.minimum(logits, 60, out=logits)
@@ -482,8 +492,11 @@ def descend(m: Model, inputs: np.ndarray, targets: np.ndarray, counted: np.ndarr
 _BODY = ("embedding", "place", "qkv", "out", "up", "up_bias", "down", "mixing", "mixing_bias")
 
 
-def training_windows(m: Model, tokens: DataFrame, every: int) -> DataFrame:
-    """One of so many windows of the training texts, chosen by a hash: (chosen, ids, counted, real); ids are the inputs and then the targets."""
+def training_windows(m: Model, tokens: DataFrame, every: int = 1) -> DataFrame:
+    """Windows of the training texts in which each id is a target: (chosen, ids, counted, real); ids are the inputs and then the targets.
+
+    Windows that don't overlap, and a text's last one. ``every``: only one of so many, chosen by a hash.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 256):
@@ -492,10 +505,11 @@ def training_windows(m: Model, tokens: DataFrame, every: int) -> DataFrame:
                 inputs, targets, real, number = windows_of(own)
                 rid = b.column(0).to_numpy().view(np.uint64)[np.cumsum(number == 0) - 1]
                 chosen = mix(rid + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                w = np.flatnonzero(chosen % np.uint64(every) == 0)
+                last = np.append(number[1:] == 0, True)
+                w = np.flatnonzero(((number % 2 == 0) | last) & (chosen % np.uint64(every) == 0))
                 ids = np.concatenate([inputs[w], targets[w]], axis=1).astype(np.uint16)
                 counted = by_counts(m, inputs[w], targets[w])
-                columns = (pa.array([x.tobytes() for x in a], pa.binary()) for a in (ids, counted))
+                columns = (pa.FixedSizeBinaryArray.from_buffers(pa.binary(a.itemsize * a.shape[1]), len(a), [None, pa.py_buffer(np.ascontiguousarray(a))]).cast(pa.binary()) for a in (ids, counted))
                 yield pa.RecordBatch.from_arrays([pa.array((chosen[w] // np.uint64(every)).view(np.int64)), *columns, pa.array(real[w].astype(np.int32))], names=["chosen", "ids", "counted", "real"])
 
     return tokens.where("kind = 0 AND which = 1").select("rid", "ids").mapInArrow(run, "chosen long, ids binary, counted binary, real int")
@@ -511,14 +525,18 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["key", "row"])
 
 
-def fit(m: Model, tokens: DataFrame, windows: int, rounds: int = ROUNDS, every: int = EVERY, least: int = LEAST_WINDOWS, rate: float = RATE, size: int = STEP_WINDOWS) -> None:
-    """Trains the model on a share of the training windows, of which there are about so many."""
-    chosen = stored(training_windows(m, tokens, max(1, windows // max(least, windows // every))))
-    many = chosen.count()
-    if not many:
-        return
-    dealt = stored(chosen.repartition(max(1, many // TASK_WINDOWS), "chosen"))
-    began = m.spread.copy()
+def fit(m: Model, tokens: DataFrame, windows: int, rounds: int = ROUNDS, least: int = LEAST_WINDOWS, rate: float = RATE, size: int = STEP_WINDOWS) -> None:
+    """Trains the model on all training texts, which have about so many windows.
+
+    A round takes one of as many parts of the texts as have the least number of
+    windows, up to the number of rounds: all parts are taken, of a small corpus
+    each several times.
+    """
+    many = windows // 2  # windows that don't overlap
+    parts = max(1, min(rounds, many // least))
+    of_task = min(4 * TASK_WINDOWS, max(TASK_WINDOWS, many // parts // 16))  # of a larger corpus more, as each task sends a row an id
+    training = tokens.withColumn("part_", F.pmod(F.xxhash64(F.lit(2), "rid"), F.lit(parts)))
+    began, of_part = m.spread.copy(), {}
     for number in range(rounds):
         bare = replace(m, beside=None, packed=b"")  # what a round sends to its tasks
 
@@ -531,18 +549,24 @@ def fit(m: Model, tokens: DataFrame, windows: int, rounds: int = ROUNDS, every:
                 order = np.argsort(np.concatenate([b.column(0).to_numpy() for b in own]), kind="stable")  # whatever order the rows come in
                 weights, owed = descend(bare, ids[order, :WINDOW], ids[order, WINDOW:], counted[order], real[order], rate * (1 - number / rounds), number, size)
                 some = np.flatnonzero(owed.any(1))
-                rows = [w.astype(np.float32).ravel() * np.float32(len(real)) for w in weights]
+                rows = [w.astype(np.float32).ravel() * np.float32(len(real)) for w in [*weights, np.ones(1)]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.append(-1 - np.arange(len(rows)), some), pa.int64()), pa.array([*(r.tobytes() for r in rows), *(owed[i].tobytes() for i in some)], pa.binary())], names=["key", "row"]
                 )
 
-        owed = np.zeros((IDS, MIX), np.float32)
+        dealt = training_windows(m, training.where(F.col("part_") == number % parts).repartition(max(1, many // parts // of_task), "rid"))
+        owed, sums = np.zeros((IDS, MIX), np.float32), {}
         for r in dealt.mapInArrow(run, "key long, row binary").repartition("key").mapInArrow(_sums, "key long, row binary").toPandas().itertuples():  # a row an id, and one for each array of weights
-            row = np.frombuffer(r.row, np.float32)
             if r.key < 0:
-                getattr(m, _BODY[-1 - r.key])[...] = (row / many).reshape(getattr(m, _BODY[-1 - r.key]).shape)
+                sums[-1 - r.key] = np.frombuffer(r.row, np.float32)
             else:
-                owed[r.key] = row
+                owed[r.key] = np.frombuffer(r.row, np.float32)
+        if not sums:
+            continue
+        of_part[number % parts] = owed
+        for i, name in enumerate(_BODY):
+            getattr(m, name)[...] = (sums[i] / sums[len(_BODY)]).reshape(getattr(m, name).shape)
+        owed = sum(of_part.values())  # what each part owed when it was last taken
         mass = owed.sum(0, dtype=np.float64)
         kept = KEPT * mass + 1
         m.spread = ((owed + kept * began) / (mass + kept)).astype(np.float32)

@@ -211,3 +211,19 @@ def test_base_equals_brute_force(spark):
 
 def test_empty_table(spark):
     assert A.score_texts(documents(spark, [])).count() == 0
+
+
+def test_each_id_of_the_training_texts_is_learned_from(spark):
+    """Rounds take all parts of a corpus: an id that one text alone has is learned from, whichever text that is."""
+    base = [np.resize(np.arange(30 + i % 5), 40 + i).astype(np.uint16) for i in range(60)]
+    texts = [np.append(x, np.full(9, 1000 + i, np.uint16)) for i, x in enumerate(base)]
+    tokens = spark.createDataFrame([(0, i, x.tobytes(), 1) for i, x in enumerate(texts)], "kind int, rid long, ids binary, which long")
+    m = made(texts)
+    learned = np.zeros(A.IDS, np.int64)
+    for x in A.training_windows(m, tokens).collect():
+        learned += np.bincount(np.frombuffer(x["ids"], np.uint16)[A.WINDOW :][: x["real"]], minlength=A.IDS)
+    assert all(learned[1000 + i] >= 9 for i in range(60)) and learned[A.END] == 60
+    began = m.spread.copy()
+    A.fit(m, tokens, sum(len(x) for x in texts) // A.HALF, rounds=3, least=40)
+    share = m.spread / began  # of ids that nothing was learned from it is the same
+    assert (np.abs(share[1000:1060] / share[40000] - 1).max(1) > 1e-4).all()
