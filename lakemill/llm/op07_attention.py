@@ -554,7 +554,8 @@ def fit(m: Model, tokens: DataFrame, windows: int, rounds: int = ROUNDS, least:
                     [pa.array(np.append(-1 - np.arange(len(rows)), some), pa.int64()), pa.array([*(r.tobytes() for r in rows), *(owed[i].tobytes() for i in some)], pa.binary())], names=["key", "row"]
                 )
 
-        dealt = training_windows(m, training.where(F.col("part_") == number % parts).repartition(max(1, many // parts // of_task), "rid"))
+        told = replace(m, spread=began[:1])  # windows ask for counts alone; what is sent is kept on disk
+        dealt = training_windows(told, training.where(F.col("part_") == number % parts).repartition(max(1, many // parts // of_task), "rid"))
         owed, sums = np.zeros((IDS, MIX), np.float32), {}
         for r in dealt.mapInArrow(run, "key long, row binary").repartition("key").mapInArrow(_sums, "key long, row binary").toPandas().itertuples():  # a row an id, and one for each array of weights
             if r.key < 0:
