@@ -39,7 +39,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakemill.llm.common import LOWER, Adam, batch, chunks, fold, map_batches, mix, pieces, prefix_sums, stored, stretch_hash, table, utf8, words_of
+from lakemill.llm.common import LOWER, batch, chunks, fold, map_batches, mix, pieces, prefix_sums, stored, stretch_hash, table, utf8, words_of
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The vocabulary's pre-tokenizer, as published with it.
@@ -61,6 +61,8 @@ COUNTING = 4
 LEAST_WINDOWS, TASK_WINDOWS, ROUNDS, KEPT = 40000, 50000, 6, 0.1
 #: Training steps: windows of one, rate at first, and the longest gradient that is followed as it is.
 STEP_WINDOWS, RATE, STEEPEST = 64, 0.01, 1.0
+#: Weights in a row of what a task sends.
+SENT = 1024
 FOLDS, LEFT_OUT = 7, 2
 _SLOTS = 1 << 21
 
@@ -365,23 +367,50 @@ _ONES = np.ones(max(WINDOW, MIX + 1), np.float32)
 AHEAD = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
 
-def forward(m: Model, inputs: np.ndarray, asked: int) -> tuple[np.ndarray, ...]:
-    """Logits of the mixture at the last ``asked`` places of each window, and what the gradient needs. Padding stands behind and is never looked at."""
-    x = m.embedding[inputs] + m.place
+def hidden(m: Model, inputs: np.ndarray, asked: int) -> tuple[np.ndarray, ...]:
+    """What the mixture is chosen by at the last ``asked`` places of each window, and what the gradient needs. Padding stands behind and is never looked at."""
+    x = m.embedding[inputs]
+    x += m.place
     b = len(x)
     qkv = (x.reshape(-1, WIDTH) @ m.qkv).reshape(b, WINDOW, 3 * WIDTH)
     q, k, v = qkv[:, -asked:, :WIDTH], qkv[:, :, WIDTH : 2 * WIDTH], qkv[:, :, 2 * WIDTH :]
     a = np.matmul(q, k.transpose(0, 2, 1))
-    a *= WIDTH**-0.5
-    np.minimum(a, 60, out=a)  # instead of a shift: no sum of exponentials overflows
+    a *= np.float32(WIDTH**-0.5)
+    _no_more_than_60(a)  # instead of a shift: no sum of exponentials overflows
     a += AHEAD[-asked:]
     np.exp(a, out=a)
     a /= (a.reshape(-1, WINDOW) @ _ONES[:WINDOW]).reshape(b, asked, 1)  # a product sums rows faster than a reduction
     mixed = np.matmul(a, v).reshape(-1, WIDTH)
-    h = x[:, -asked:].reshape(-1, WIDTH) + mixed @ m.out
-    u = np.maximum(h @ m.up + m.up_bias, 0)
-    g = h + u @ m.down
-    return g @ m.mixing + m.mixing_bias, x, qkv, a, mixed, h, u, g
+    h = mixed @ m.out
+    h += x[:, -asked:].reshape(-1, WIDTH)
+    u = h @ m.up
+    u += m.up_bias
+    np.maximum(u, 0, out=u)
+    g = u @ m.down
+    g += h
+    return g, x, qkv, a, mixed, h, u
+
+
+def forward(m: Model, inputs: np.ndarray, asked: int) -> tuple[np.ndarray, ...]:
+    """Logits of the mixture, in front of what they come from."""
+    g, *rest = hidden(m, inputs, asked)
+    return g @ m.mixing + m.mixing_bias, *rest, g
+
+
+def _no_more_than_60(logits: np.ndarray) -> None:
+    if logits.size and logits.max() > 60:  # hardly ever, and a look costs less than a bound
+        np.minimum(logits, 60, out=logits)
+
+
+def mixture(m: Model, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights of the own distributions and of that by counts, and their sums, by which they are yet to be divided."""
+    own, by = g @ m.mixing[:, :MIX], g @ m.mixing[:, MIX]  # apart, so that rows of the larger one are aligned
+    own += m.mixing_bias[:MIX]
+    by += m.mixing_bias[MIX]
+    for logits in (own, by):
+        _no_more_than_60(logits)
+        np.exp(logits, out=logits)
+    return own, by, own @ _ONES[:MIX] + by
 
 
 def by_counts(m: Model, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -394,37 +423,52 @@ def gradients(m: Model, inputs: np.ndarray, targets: np.ndarray, counted: np.nda
 
     counted: the targets' probabilities by counts.
     """
-    logits, x, qkv, a, mixed, h, u, g = forward(m, m.row[inputs], WINDOW)
-    np.minimum(logits, 60, out=logits)  # as in scoring: no sum of exponentials overflows
-    p = np.exp(logits, out=logits)
+    rows = m.row[inputs]
+    g, x, qkv, a, mixed, h, u = hidden(m, rows, WINDOW)
+    p, by, whole = mixture(m, g)
     t, real = targets.ravel(), real.ravel()
     n = max(1, int(real.sum()))
-    p *= (real / (p @ _ONES[: MIX + 1]))[:, None].astype(np.float32)
     owed = m.spread[t]
-    owed *= p[:, :MIX]
-    by = counted.ravel() * p[:, MIX]
-    total = owed @ _ONES[:MIX] + by
+    owed *= p
+    told = counted.ravel() * by
+    total = (owed @ _ONES[:MIX] + told) / whole
     loss = float(-(np.log(total[real] + 1e-30)).sum() / n)
-    total = (real / np.maximum(total, 1e-30)).astype(np.float32)
+    share = (real / whole).astype(np.float32)
+    total = (share / np.maximum(total, 1e-30)).astype(np.float32)
     owed *= total[:, None]
-    p[:, :MIX] -= owed
-    p[:, MIX] -= by * total
-    p *= np.float32(1 / n)
-    dg = p @ m.mixing.T
-    du = (dg @ m.down.T) * (u > 0)
-    dh = dg + du @ m.up.T
+    p *= share[:, None]
+    p -= owed
+    by = by * share - told * total
+    part = np.float32(1 / n)  # p and by are so many times what they are in a mean
+    dg = p @ m.mixing[:, :MIX].T
+    dg += by[:, None] * m.mixing[:, MIX]
+    dg *= part
+    du = dg @ m.down.T
+    du *= u > 0
+    dh = du @ m.up.T
+    dh += dg
     dmixed = (dh @ m.out.T).reshape(len(x), WINDOW, WIDTH)
     q, k, v = qkv[:, :, :WIDTH], qkv[:, :, WIDTH : 2 * WIDTH], qkv[:, :, 2 * WIDTH :]
     da = np.matmul(dmixed, v.transpose(0, 2, 1))
     da -= ((da * a).reshape(-1, WINDOW) @ _ONES[:WINDOW]).reshape(len(x), WINDOW, 1)
     da *= a
-    ds = da * np.float32(WIDTH**-0.5)
-    dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dmixed)], axis=2).reshape(-1, 3 * WIDTH)
-    dx = dh + dqkv @ m.qkv.T
+    da *= np.float32(WIDTH**-0.5)
+    dqkv = np.empty_like(qkv)
+    for at, (one, other) in enumerate(((da, k), (da.transpose(0, 2, 1), q), (a.transpose(0, 2, 1), dmixed))):
+        dqkv[:, :, at * WIDTH : (at + 1) * WIDTH] = np.matmul(one, other)
+    dqkv = dqkv.reshape(-1, 3 * WIDTH)
+    dx = dqkv @ m.qkv.T
+    dx += dh
     flat = x.reshape(-1, WIDTH)
-    rows = m.row[inputs].ravel()
-    de = np.stack([np.bincount(rows, dx[:, d], len(m.embedding)) for d in range(WIDTH)], axis=1).astype(np.float32)
-    return loss, [de, dx.reshape(-1, WINDOW, WIDTH).sum(0), flat.T @ dqkv, mixed.T @ dh, h.T @ du, du.sum(0), u.T @ dg, g.T @ p, p.sum(0)], owed
+    places = rows.ravel()[:, None] * WIDTH + np.arange(WIDTH)
+    de = np.bincount(places.ravel(), dx.ravel(), m.embedding.size).astype(np.float32).reshape(m.embedding.shape)
+    ones = np.ones(len(p), np.float32)
+    dmixing, dbias = np.empty_like(m.mixing), np.empty_like(m.mixing_bias)
+    both = np.concatenate([g, ones[:, None]], axis=1).T @ p
+    dmixing[:, :MIX], dmixing[:, MIX], dbias[:MIX], dbias[MIX] = both[:WIDTH], by @ g, both[WIDTH], by.sum()
+    dmixing *= part
+    dbias *= part
+    return loss, [de, dx.reshape(-1, WINDOW, WIDTH).sum(0), flat.T @ dqkv, mixed.T @ dh, h.T @ du, ones @ du, u.T @ dg, dmixing, dbias], owed
 
 
 def windows_of(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -456,13 +500,10 @@ def log_probabilities(m: Model, sequences: list[np.ndarray]) -> np.ndarray:
     for asked, chosen in ((WINDOW, np.flatnonzero(number == 0)), (HALF, np.flatnonzero(number > 0))):
         for at in range(0, len(chosen), 256):  # what is computed of them stays in the cache
             w = chosen[at : at + 256]
-            logits = forward(m, m.row[inputs[w]], asked)[0]
+            own, by, whole = mixture(m, hidden(m, m.row[inputs[w]], asked)[0])
             t = targets[w][:, -asked:].ravel()
-            np.minimum(logits, 60, out=logits)
-            np.exp(logits, out=logits)
-            whole = logits @ _ONES[: MIX + 1]
-            own = logits[:, :MIX] * m.spread[t]
-            score = np.log((own @ _ONES[:MIX] + logits[:, MIX] * m.beside[m.key_of[inputs[w]][:, -asked:].ravel(), t]) / whole)
+            own *= m.spread[t]
+            score = np.log((own @ _ONES[:MIX] + by * m.beside[m.key_of[inputs[w][:, -asked:].ravel()], t]) / whole)
             score = score.reshape(len(w), asked)
             score[np.arange(WINDOW - asked, WINDOW)[None, :] >= real[w][:, None]] = 0
             out += np.bincount(owner[w], score.sum(1), len(sequences))
@@ -471,22 +512,40 @@ def log_probabilities(m: Model, sequences: list[np.ndarray]) -> np.ndarray:
 
 def descend(m: Model, inputs: np.ndarray, targets: np.ndarray, counted: np.ndarray, real: np.ndarray, rate: float, seed: int, size: int = 256) -> tuple[list[np.ndarray], np.ndarray]:
     """A pass over some windows: the weights that it ends with, and how much each id owes to each own distribution."""
-    mine = replace(m, **{f: getattr(m, f).copy() for f in _BODY})
-    adam, owed = Adam(mine.weights(), rate), np.zeros((IDS, MIX), np.float32)
+    ends = np.cumsum([w.size for w in m.weights()])
+    flat = np.concatenate([w.ravel() for w in m.weights()])  # of which the weights are views: a step is a few operations
+    mine = replace(m, **{f: flat[end - w.size : end].reshape(w.shape) for f, w, end in zip(_BODY, m.weights(), ends, strict=True)})
+    first, second, g, spare = (np.zeros_like(flat) for _ in range(4))
+    owed = np.zeros(IDS * MIX, np.float32)
     order = np.random.default_rng(seed).permutation(len(inputs))
-    for at in range(0, len(order), size):
+    for number, at in enumerate(range(0, len(order), size), 1):
         w = order[at : at + size]
-        _, g, o = gradients(mine, inputs[w], targets[w], counted[w], np.arange(WINDOW)[None, :] < real[w][:, None])
-        norm = float(np.sqrt(sum(float(np.vdot(x, x)) for x in g)))
+        _, found, o = gradients(mine, inputs[w].astype(np.int64), targets[w].astype(np.int64), counted[w], np.arange(WINDOW)[None, :] < real[w][:, None])
+        np.concatenate([x.ravel() for x in found], out=g)
+        norm = float(np.sqrt(np.vdot(g, g)))
         if norm > STEEPEST:
-            g = [x * np.float32(STEEPEST / norm) for x in g]
-        adam.rate = rate * (1 - 0.5 * at / len(order))
-        adam.step(g)
-        t = targets[w].ravel()
-        by = np.argsort(t, kind="stable")
-        new = np.flatnonzero(np.append(True, np.diff(t[by]) != 0))
-        owed[t[by][new]] += np.add.reduceat(o[by], new)
-    return mine.weights(), owed
+            g *= np.float32(STEEPEST / norm)
+        scale = rate * (1 - 0.5 * at / len(order)) * (1 - 0.999**number) ** 0.5 / (1 - 0.9**number)
+        adam_step(flat, g, first, second, spare, scale)
+        places = targets[w].ravel().astype(np.int64)[:, None] * MIX + np.arange(MIX)
+        np.add.at(owed, places.ravel(), o.ravel())
+    return mine.weights(), owed.reshape(IDS, MIX)
+
+
+def adam_step(flat: np.ndarray, g: np.ndarray, first: np.ndarray, second: np.ndarray, spare: np.ndarray, scale: float) -> None:
+    """A step of Adam on all weights at once, in place; ``g`` is used up."""
+    np.multiply(g, g, out=spare)
+    spare -= second
+    spare *= np.float32(0.001)
+    second += spare
+    g -= first
+    g *= np.float32(0.1)
+    first += g
+    np.sqrt(second, out=spare)
+    spare += np.float32(1e-8)
+    np.divide(first, spare, out=spare)
+    spare *= np.float32(scale)
+    flat -= spare
 
 
 _BODY = ("embedding", "place", "qkv", "out", "up", "up_bias", "down", "mixing", "mixing_bias")
@@ -525,6 +584,20 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["key", "row"])
 
 
+def sent(weights: list[np.ndarray], owed: np.ndarray, windows: int) -> pa.RecordBatch:
+    """What a task's pass comes to: rows of so many weights, times its windows and with their number at last, under keys below 0, and a row an id under the id."""
+    flat = np.concatenate([*(w.ravel() for w in weights), np.ones(1)]).astype(np.float32) * np.float32(windows)
+    rows = [flat[at : at + SENT] for at in range(0, len(flat), SENT)]  # none is large: the rows of a key meet in one task
+    some = np.flatnonzero(owed.any(1))
+    keys = np.append(-1 - np.arange(len(rows)), some)
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([*(r.tobytes() for r in rows), *(owed[i].tobytes() for i in some)], pa.binary())], names=["key", "row"])
+
+
+def in_tasks(texts: DataFrame, tasks: int) -> DataFrame:
+    """Dealt by id to so many tasks, not to more if a session deals to more: each task sends a row an id, whatever it has learned from."""
+    return texts.repartition(tasks, "rid").coalesce(tasks)
+
+
 def fit(m: Model, tokens: DataFrame, windows: int, rounds: int = ROUNDS, least: int = LEAST_WINDOWS, rate: float = RATE, size: int = STEP_WINDOWS) -> None:
     """Trains the model on all training texts, which have about so many windows.
 
@@ -543,21 +616,17 @@ def fit(m: Model, tokens: DataFrame, windows: int, rounds: int = ROUNDS, least:
         def run(batches: Iterator[pa.RecordBatch], number: int = number, bare: Model = bare) -> Iterator[pa.RecordBatch]:
             own = [b for b in batches if b.num_rows]
             if own:
-                ids = np.frombuffer(b"".join(x for b in own for x in b.column(1).to_pylist()), np.uint16).astype(np.int64).reshape(-1, 2 * WINDOW)
+                ids = np.frombuffer(b"".join(x for b in own for x in b.column(1).to_pylist()), np.uint16).reshape(-1, 2 * WINDOW)
                 counted = np.frombuffer(b"".join(x for b in own for x in b.column(2).to_pylist()), np.float32).reshape(-1, WINDOW)
                 real = np.concatenate([b.column(3).to_numpy() for b in own])
                 order = np.argsort(np.concatenate([b.column(0).to_numpy() for b in own]), kind="stable")  # whatever order the rows come in
                 weights, owed = descend(bare, ids[order, :WINDOW], ids[order, WINDOW:], counted[order], real[order], rate * (1 - number / rounds), number, size)
-                some = np.flatnonzero(owed.any(1))
-                rows = [w.astype(np.float32).ravel() * np.float32(len(real)) for w in [*weights, np.ones(1)]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.append(-1 - np.arange(len(rows)), some), pa.int64()), pa.array([*(r.tobytes() for r in rows), *(owed[i].tobytes() for i in some)], pa.binary())], names=["key", "row"]
-                )
+                yield sent(weights, owed, len(real))
 
         told = replace(m, spread=began[:1])  # windows ask for counts alone; what is sent is kept on disk
-        dealt = training_windows(told, training.where(F.col("part_") == number % parts).repartition(max(1, many // parts // of_task), "rid"))
+        dealt = training_windows(told, in_tasks(training.where(F.col("part_") == number % parts), max(1, many // parts // of_task)))
         owed, sums = np.zeros((IDS, MIX), np.float32), {}
-        for r in dealt.mapInArrow(run, "key long, row binary").repartition("key").mapInArrow(_sums, "key long, row binary").toPandas().itertuples():  # a row an id, and one for each array of weights
+        for r in dealt.mapInArrow(run, "key long, row binary").repartition("key").mapInArrow(_sums, "key long, row binary").toPandas().itertuples():  # a row an id, and some of weights
             if r.key < 0:
                 sums[-1 - r.key] = np.frombuffer(r.row, np.float32)
             else:
@@ -565,8 +634,11 @@ def fit(m: Model, tokens: DataFrame, windows: int, rounds: int = ROUNDS, least:
         if not sums:
             continue
         of_part[number % parts] = owed
-        for i, name in enumerate(_BODY):
-            getattr(m, name)[...] = (sums[i] / sums[len(_BODY)]).reshape(getattr(m, name).shape)
+        flat = np.concatenate([sums[i] for i in range(len(sums))])
+        flat, at = flat[:-1] / flat[-1], 0
+        for w in m.weights():
+            w[...] = flat[at : at + w.size].reshape(w.shape)
+            at += w.size
         owed = sum(of_part.values())  # what each part owed when it was last taken
         mass = owed.sum(0, dtype=np.float64)
         kept = KEPT * mass + 1

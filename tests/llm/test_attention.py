@@ -227,3 +227,43 @@ def test_each_id_of_the_training_texts_is_learned_from(spark):
     A.fit(m, tokens, sum(len(x) for x in texts) // A.HALF, rounds=3, least=40)
     share = m.spread / began  # of ids that nothing was learned from it is the same
     assert (np.abs(share[1000:1060] / share[40000] - 1).max(1) > 1e-4).all()
+
+
+def test_training_tasks_are_as_many_as_planned(spark, monkeypatch):
+    """Each task sends a row an id: where a session deals to many more partitions than asked for, what is sent would grow with them."""
+    frame = type(spark.range(0))
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *cols, f=frame.repartition: f(self, max(40, n) if cols and isinstance(n, int) else n, *cols))
+    texts = [np.resize(np.arange(30 + i % 5), 200).astype(np.uint16) for i in range(60)]
+    tokens = spark.createDataFrame([(0, i, x.tobytes(), 1) for i, x in enumerate(texts)], "kind int, rid long, ids binary, which long")
+    tasks, m = [], made(texts)
+    summed = frame.mapInArrow
+
+    def counting(self, f, schema, **other):
+        if schema == "key long, row binary" and f is not A._sums:
+            tasks.append(self.rdd.getNumPartitions())
+        return summed(self, f, schema, **other)
+
+    monkeypatch.setattr(frame, "mapInArrow", counting)
+    A.fit(m, tokens, sum(len(x) for x in texts) // A.HALF, rounds=2)
+    assert tasks == [1, 1]
+
+
+def test_weights_travel_in_small_rows(model):
+    m, _ = model
+    owed = np.zeros((A.IDS, A.MIX), np.float32)
+    owed[[3, 500]] = 0.25
+    rows = A.sent(m.weights(), owed, 7)
+    keys, values = rows.column(0).to_pylist(), rows.column(1).to_pylist()
+    assert max(len(v) for v in values) <= 4 * A.SENT and [k for k in keys if k >= 0] == [3, 500]
+    flat = np.concatenate([np.frombuffer(v, np.float32) for k, v in zip(keys, values, strict=True) if k < 0])
+    assert flat[-1] == 7 and np.allclose(flat[:-1] / 7, np.concatenate([w.ravel() for w in m.weights()]), atol=1e-6)
+
+
+def test_large_logits_bound_both_passes_alike(model):
+    """The bound on logits holds where there are some above it, and changes no other."""
+    m, seqs = model
+    steep = A.replace(m, mixing_bias=np.where(np.arange(A.MIX + 1) == 5, 90, m.mixing_bias).astype(np.float32))
+    own, by, whole = A.mixture(steep, np.zeros((1, A.WIDTH), np.float32))
+    bounded = np.minimum(steep.mixing_bias, 60).astype(np.float64)
+    assert np.allclose(np.log(own[0]), bounded[: A.MIX], rtol=1e-5) and np.allclose(np.log(by[0]), bounded[A.MIX], atol=1e-5)
+    assert np.isclose(np.log(whole[0]), 60, atol=1e-3) and np.isfinite(A.log_probabilities(steep, seqs)).all()
