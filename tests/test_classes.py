@@ -78,3 +78,38 @@ def test_people_of_one_name_in_the_queue_stay_linear(spark):
             if born or (a[2] == b[2] and not clash):
                 want += counts[a] * (counts[a] - 1) // 2 if a == b else counts[a] * counts[b]
     assert links.agg({"pairs": "sum"}).first()[0] == want
+
+
+def close_records(seed, n):
+    r = random.Random(seed)
+    some = lambda *x: r.choice([None, "", *x])
+    lists = lambda k, most: r.sample([f"{k}{i}" for i in range(most)], r.choice([0, 0, 1, 2]))
+    names = [f"n{i // r.choice([2, 3, 5])}" for i in range(n)]
+    return [(f"p{i:04}", "x", r.choice([names[i], names[i], "", None]), some("male", "female", "unknown"), some("A", "B"), some("m", "k"), some("d", "e"), lists("q", 6), lists("b", 3), lists("r", 4)) for i in range(n)]
+
+
+def test_the_best_of_a_name_is_that_of_all_its_pairs(spark):
+    ranks, advice = {}, set()
+    for seed in range(4):
+        rows = close_records(seed, 400)
+        want = {}
+        for a, b in combinations(rows, 2):
+            if a[2] and a[2] == b[2]:
+                score, told = scored(a, b)
+                top = want.get(a[2], (0, "do_not_merge_likely"))
+                want[a[2]] = max(top[0], score), min(top[1], told, key=I.ADVICE_RANK.get)
+        found = I.duplicate_groups(spark.createDataFrame(rows, SCHEMA)).collect()
+        assert len(found) == len(want) and {r["normalized_name"]: (r["top_score"], r["top_recommendation"]) for r in found} == want
+        advice |= {x for _, x in want.values()}
+        ranks |= want
+    assert advice == set(I.ADVICE_RANK)
+
+
+def test_groups_of_a_name_form_no_pairs(spark):
+    n = 100_000  # each a kind of its own: 5 billion pairs of kinds
+    rows = spark.range(n).selectExpr(
+        "concat('p', lpad(id, 7, '0')) AS person_id", "'Ann' AS name", "'ann' AS n_name", "CASE id % 2 WHEN 0 THEN 'male' ELSE 'female' END AS gender", "concat('party', id div 50) AS party", "concat('m', id % 50) AS position", "'' AS district",
+        "array(concat('q', id)) AS external_ids", "CASE WHEN id < 2 THEN array('b') ELSE array() END AS birth_dates", "array('r') AS candidate_regions",
+    )
+    group = I.duplicate_groups(rows).collect()
+    assert [(r["record_count"], r["top_score"], r["top_recommendation"]) for r in group] == [(n, 45, "same_name_only")]
