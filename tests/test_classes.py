@@ -113,3 +113,12 @@ def test_groups_of_a_name_form_no_pairs(spark):
     )
     group = I.duplicate_groups(rows).collect()
     assert [(r["record_count"], r["top_score"], r["top_recommendation"]) for r in group] == [(n, 45, "same_name_only")]
+
+
+def test_gaps_need_no_links_of_classes(spark):
+    from lakemill.plans import registry
+    from tests.conftest import SMALL
+
+    for name in ("r17_identity_gaps", "a15_gap_histogram"):
+        plan = registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert "blocks_" not in plan and "parquet" not in plan  # the tables are read once, for a checkpoint
