@@ -122,3 +122,12 @@ def test_gaps_need_no_links_of_classes(spark):
     for name in ("r17_identity_gaps", "a15_gap_histogram"):
         plan = registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
         assert "blocks_" not in plan and "parquet" not in plan  # the tables are read once, for a checkpoint
+
+
+def test_the_histogram_reads_its_gaps_once(spark):
+    from lakemill.operators import reports as R
+
+    gaps = spark.range(3).selectExpr("CASE WHEN id = 0 THEN 'high' ELSE 'low' END AS priority", "CASE WHEN id = 2 THEN 'birth_date,external_id' ELSE 'external_id' END AS missing_signals")
+    out = R.gap_histogram(gaps)
+    assert {tuple(r) for r in out.collect()} == {("priority:high", 1), ("priority:low", 2), ("signal:external_id", 3), ("signal:birth_date", 1)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range") == 1
